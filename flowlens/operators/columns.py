@@ -217,6 +217,11 @@ def constant_features(df: DataFrame, columns: Sequence[str], tolerance: float =
     return wide.unpivot([], list(columns), "column_name", "deviation").where(F.col("deviation") < tolerance)
 
 
+def timed_rows(df: DataFrame, id_col: str = "flow_id") -> DataFrame:
+    """Rows with a start time, in time order; the id breaks ties so that the order is total."""
+    return df.where(F.col("start_ms").isNotNull()).orderBy("start_ms", id_col)
+
+
 def time_span_hours(df: DataFrame) -> DataFrame:
     return df.agg(((F.max("start_ms") - F.min("start_ms")) / 3.6e6).alias("hours"))
 
