@@ -14,11 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.tables import cut, settle
+from flowlens.tables import cut
 
 CHUNK = 4096
 
@@ -53,7 +52,7 @@ def cut_keys(df: DataFrame, by: Sequence[str], key: str, wanted: DataFrame, digi
     along = Window.partitionBy(*by).orderBy("_bucket")
     sizes = sizes.withColumn("_upto", F.sum("_size").over(along))
     edge = sizes.join(wanted, by).where((F.col("_upto") - F.col("_size") < F.col("k")) & (F.col("k") <= F.col("_upto")))
-    edge = settle(edge.select(*by, "cut", "_bucket", (F.col("k") - F.col("_upto") + F.col("_size")).alias("_rank")))
+    edge = cut(edge.select(*by, "cut", "_bucket", (F.col("k") - F.col("_upto") + F.col("_size")).alias("_rank")))
     inside = Window.partitionBy(*by, "cut").orderBy("_key")
     found = (
         keyed.join(edge, [*by, "_bucket"])
@@ -73,53 +72,64 @@ def hash_positions(df: DataFrame, key: Column, out: str, digits: int = 3) -> Dat
     sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_size"))
     offsets = sizes.select("_bucket", (F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size")).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
-    ranked = keyed.join(settle(offsets), "_bucket").withColumn(out, inside + F.col("_offset"))
+    ranked = keyed.join(cut(offsets), "_bucket").withColumn(out, inside + F.col("_offset"))
     return ranked.drop("_key", "_bucket", "_offset")
 
 
-def running(
-    values: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,
-    small: int = 200_000, buckets: int = 256,
-) -> DataFrame:
+def ranged(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
+    """``df`` written in range partitions of ``keys``, each row with the number ``_part`` of its range.
+
+    Ranges ascend with ``_part`` and are balanced by sampling, so a group of any size spreads over many.
+    Writing fixes the ranges: everything computed from ``_part`` later sees the same ones.
+    """
+    return cut(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+
+
+def running(values: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
     """Inclusive running sums ``cum_<name>`` along ``order`` within ``by``; one row per (by, order) expected.
 
-    A table of at most ``small`` rows is ordered directly. A larger one is cut at approximate quantiles
-    into value ranges; each range is ordered on its own and shifted by the totals of the ranges before it.
+    Rows are ordered inside range partitions only and shifted by the totals of the ranges before, a table
+    with one row per group and range.
     """
     by = list(by)
-    values = cut(values)
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    if values.count() <= small:
-        w = Window.partitionBy(*by).orderBy(direction) if by else Window.orderBy(direction)
-        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return values.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums})
-    probabilities = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(values.approxQuantile(order, probabilities, 0.25 / buckets)))
-    binned = Bucketizer(
-        splits=[float("-inf"), *bounds, float("inf")], inputCol=order, outputCol="_range"
-    ).transform(values)
-    totals = binned.groupBy(*by, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    step = F.col("_range").desc() if descending else F.col("_range").asc()
-    along = Window.partitionBy(*by).orderBy(step) if by else Window.orderBy(step)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    inside = Window.partitionBy(*by, "_range").orderBy(direction).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = binned.join(settle(offsets), [*by, "_range"])
+    parts = ranged(values, [*by, direction])
+    totals = parts.groupBy(*by, "_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    before = _within(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    inside = Window.partitionBy(*by, "_part").orderBy(direction).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = parts.join(cut(offsets), [*by, "_part"])
     return joined.withColumns({f"cum_{s}": F.sum(s).over(inside) + F.col(f"_o_{s}") for s in sums}).drop(
-        "_range", *[f"_o_{s}" for s in sums]
+        "_part", *[f"_o_{s}" for s in sums]
     )
 
 
-def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float], small: int = 200_000) -> DataFrame:
+def places(df: DataFrame, by: Sequence[str], keys: Sequence[str], out: str) -> DataFrame:
+    """0-based place of each row in the order of ``keys`` within its group, however large the group."""
+    by = list(by)
+    parts = ranged(df, [*by, *keys])
+    totals = parts.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
+    before = _within(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*by, "_part").orderBy(*keys)
+    joined = parts.join(cut(offsets), [*by, "_part"])
+    return joined.withColumn(out, F.row_number().over(inside) - 1 + F.col("_offset")).drop("_part", "_offset")
+
+
+def _within(by: Sequence[str]):
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated percentiles: one row per group, one column per entry of ``probs``.
 
     The built-in exact percentile keeps every distinct value of a group in one task; this one keeps none.
     """
     by = list(by)
     values = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("n"))
-    ordered = running(values, by, "_v", ["n"], small=small)
+    ordered = cut(running(values, by, "_v", ["n"]))
     sizes = ordered.groupBy(*by).agg(F.max("cum_n").alias("_total"))
-    sized = ordered.join(settle(sizes), by) if by else ordered.withColumn("_total", sizes.select("_total").scalar())
+    sized = ordered.join(cut(sizes), by) if by else ordered.withColumn("_total", sizes.select("_total").scalar())
     picks = []
     for name, p in probs.items():
         place = F.lit(float(p)) * (F.col("_total") - 1)
@@ -134,10 +144,10 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float
     )
 
 
-def average_ranks(values: DataFrame, by: Sequence[str], col: str, out: str, small: int = 200_000) -> DataFrame:
+def average_ranks(values: DataFrame, by: Sequence[str], col: str, out: str) -> DataFrame:
     """Distinct values of ``col`` per group with their average rank (ties share the mean rank).
 
     ``values`` holds one row per (by, col) and the number of rows ``n`` that share the value.
     """
-    ordered = running(values, by, col, ["n"], small=small)
+    ordered = running(values, by, col, ["n"])
     return ordered.select(*by, col, "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias(out))

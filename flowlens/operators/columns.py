@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
-from flowlens.tables import settle
+from flowlens.tables import cut
 
 # Header names accepted for each role, in order of preference.
 ROLE_ALIASES = {
@@ -231,5 +231,5 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("flows"), F.sum("label").alias("attacks"))
 
 
-def settled_classes(df: DataFrame, col: str = "attack") -> DataFrame:
-    return settle(class_index(df, col))
+def written_classes(df: DataFrame, col: str = "attack") -> DataFrame:
+    return cut(class_index(df, col), "classes")

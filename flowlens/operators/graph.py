@@ -7,15 +7,15 @@ and bytes. It is built by one map-side combined aggregation of the flows; everyt
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator  # noqa: F401
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
-from flowlens.tables import cut, settle
+from flowlens.functions.ordering import places
+from flowlens.tables import cut
 
 NODE = ["window_id", "host"]
 
@@ -31,13 +31,8 @@ def nodes(df: DataFrame) -> DataFrame:
 
 
 def local_node_ids(node_table: DataFrame) -> DataFrame:
-    """0-based position of each host in name order inside its window.
-
-    A window's hosts are ordered in two levels: per leading md5-free text bucket would not balance, so the
-    ordered pass runs per window over distinct hosts only, which Spark sorts with spilling and streams.
-    """
-    order = Window.partitionBy("window_id").orderBy("host")
-    return node_table.withColumn("node", (F.row_number().over(order) - 1).cast("bigint"))
+    """0-based position of each host in name order inside its window."""
+    return places(node_table, ["window_id"], ["host"], "node")
 
 
 def flow_bytes(df: DataFrame):
@@ -121,7 +116,7 @@ def pagerank_iterative(pairs: DataFrame, iters: int = 30, damping: float = 0.85,
     """The same values by joins, for windows too large for one batch; lineage is cut every few steps."""
     sent = pairs.groupBy("window_id", F.col("src").alias("host")).agg(F.sum("w").alias("sent"))
     names = pairs.select("window_id", F.explode(F.array("src", "dst")).alias("host")).distinct()
-    sizes = settle(names.groupBy("window_id").agg(F.count("*").cast("double").alias("size")))
+    sizes = cut(names.groupBy("window_id").agg(F.count("*").cast("double").alias("size")))
     base = cut(names.join(sent, NODE, "left").join(sizes, "window_id"))
     step = cut(
         pairs.join(sent.withColumnRenamed("host", "src"), ["window_id", "src"]).select(
@@ -156,7 +151,7 @@ def pagerank(pairs: DataFrame, iters: int = 30, damping: float = 0.85, max_pairs
     facts = sizes.agg(F.sum("n").alias("total"), F.count_if(F.col("n") > max_pairs).alias("large")).first()
     if not facts["large"]:
         return pagerank_batched(pairs, facts["total"] or 0, iters, damping)
-    large = settle(sizes.where(F.col("n") > max_pairs).select("window_id"))
+    large = cut(sizes.where(F.col("n") > max_pairs).select("window_id"))
     small = pairs.join(large, "window_id", "left_anti")
     return pagerank_batched(small, facts["total"], iters, damping).unionByName(
         pagerank_iterative(pairs.join(large, "window_id", "left_semi"), iters, damping)

@@ -82,7 +82,8 @@ def ewma_zscore(history: DataFrame, columns: Sequence[str] = tuple(OBSERVED)) ->
     def z(c: str) -> Column:
         spread = F.sqrt(F.greatest(F.col(f"prior_var_{c}"), F.lit(VARIANCE_FLOOR)))
         raw = (F.col(c) - F.col(f"prior_mean_{c}")) / spread
-        return F.coalesce(F.greatest(F.least(raw, F.lit(Z_LIMIT)), F.lit(-Z_LIMIT)), F.lit(0.0))
+        # greatest and least pass over NULL, so the first window is decided before they see it.
+        return F.when(raw.isNull(), F.lit(0.0)).otherwise(F.greatest(F.least(raw, F.lit(Z_LIMIT)), F.lit(-Z_LIMIT)))
 
     return history.withColumns({f"z_{c[4:] if c.startswith('log_') else c}": z(c) for c in columns})
 

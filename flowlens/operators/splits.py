@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
-from flowlens.functions.ordering import cut_keys, quantiles  # noqa: F401
+from flowlens.functions.ordering import cut_keys
 from flowlens.operators.windows import session_bounds
-from flowlens.tables import cut, settle
+from flowlens.tables import cut
 
 TRAIN, VAL, TEST, UNUSED = 0, 1, 2, 3
 
@@ -62,14 +62,14 @@ def split_blocked_ratio(windows: DataFrame, blocks: int = 10, train: float = 0.7
 def _hash_cut(df: DataFrame, by: Sequence[str], id_col: str, seed: int, wanted: DataFrame, cuts: Sequence[str]) -> DataFrame:
     """``df`` with one column per cut: the digest up to which rows of the group belong to the cut."""
     keyed = df.withColumn("_hash", S.hash_order(seed, F.col(id_col)))
-    keys = settle(cut_keys(keyed, by, "_hash", wanted).groupBy(*by).pivot("cut", list(cuts)).agg(F.first("upto_key")))
+    keys = cut(cut_keys(keyed, by, "_hash", wanted).groupBy(*by).pivot("cut", list(cuts)).agg(F.first("upto_key")))
     return keyed.join(keys, list(by))
 
 
 def _cuts(sizes: DataFrame, by: Sequence[str], **wanted: Column) -> DataFrame:
     """Long form (by, cut, k) of several row numbers per group; written once, as it is read several times."""
     ks = F.explode(F.array(*[F.struct(F.lit(n).alias("cut"), k.cast("bigint").alias("k")) for n, k in wanted.items()]))
-    return settle(sizes.select(*by, ks.alias("_c")).select(*by, "_c.cut", "_c.k"))
+    return cut(sizes.select(*by, ks.alias("_c")).select(*by, "_c.cut", "_c.k"))
 
 
 def split_random_windows(windows: DataFrame, seed: int, train: float = 0.7, val: float = 0.1, cumulative: bool = False) -> DataFrame:
@@ -128,7 +128,7 @@ def split_session(
     coded = _hash_cut(table.where(F.col("_first") == 1), ["has_attack"], "window_id", seed, wanted, ["v"])
     coded = coded.select("window_id", F.when(F.col("_hash") <= F.col("v"), VAL).otherwise(TRAIN).alias("split"))
     rest = table.where(F.col("_first") == 0).select("window_id", F.lit(TEST).alias("split"))
-    return placed.drop("_first").join(settle(coded.unionByName(rest)), "window_id")
+    return placed.drop("_first").join(cut(coded.unionByName(rest)), "window_id")
 
 
 def split_aligned(windows: DataFrame, seconds: float, reference: DataFrame, reference_seconds: float) -> DataFrame:
@@ -191,7 +191,7 @@ def sample_class_capped(df: DataFrame, budget: int, seed: int, label: str = "tar
         top = class_cap(list(counts.values()), budget)
         keep = {c: min(n, top) for c, n in counts.items()}
     rows = [(c, "keep", k) for c, k in sorted(keep.items())]
-    wanted = settle(df.sparkSession.createDataFrame(rows, f"{label} int, cut string, k bigint"))
+    wanted = cut(df.sparkSession.createDataFrame(rows, f"{label} int, cut string, k bigint"))
     cuts = _hash_cut(df, [label], id_col, seed, wanted, ["keep"])
     return cuts.where(F.col("_hash") <= F.col("keep")).drop("_hash", "keep")
 
@@ -209,7 +209,7 @@ def split_summary(df: DataFrame) -> DataFrame:
 
 def class_counts_per_split(df: DataFrame) -> DataFrame:
     """Flows per class with a column per split."""
-    counts = df.groupBy("attack").pivot("split", [TRAIN, VAL, TEST]).agg(F.count("*")).na.fill(0)
+    counts = df.groupBy("attack").pivot("split", [TRAIN, VAL, TEST]).agg(F.count(F.lit(1))).na.fill(0)
     return counts.select("attack", F.col("0").alias("train"), F.col("1").alias("val"), F.col("2").alias("test"))
 
 

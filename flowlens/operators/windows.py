@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.ordering import positions, quantiles
-from flowlens.tables import cut, settle
+from flowlens.tables import cut
 
 HOUR_MS = 3_600_000.0
 
@@ -33,16 +33,16 @@ def window_ordinal(windows: DataFrame) -> DataFrame:
 def min_flows_filter(df: DataFrame, n: int = 2) -> DataFrame:
     """Flows of windows with at least ``n`` flows.
 
-    Counting first and filtering by the window table moves no flow: the table is small by measurement
-    and broadcast, and only beyond the bound does the filter become a shuffle join.
+    Counting is map-side combined and the window table is written, so its size is known: while it is
+    small the filter is a broadcast semi join that moves no flow, beyond that a shuffle join.
     """
-    return df.join(settle(window_table(df, n).select("window_id")), "window_id", "left_semi")
+    return df.join(cut(window_table(df, n).select("window_id")), "window_id", "left_semi")
 
 
 def max_windows(df: DataFrame, k: int, n: int = 2) -> DataFrame:
     """Flows of the first ``k`` kept windows."""
     first = positions(window_table(df, n)).where(F.col("pos") < k).select("window_id")
-    return df.join(settle(first), "window_id", "left_semi")
+    return df.join(cut(first), "window_id", "left_semi")
 
 
 def rewindow(df: DataFrame, seconds: float) -> DataFrame:
@@ -86,7 +86,7 @@ def sessionize(df: DataFrame, gap_ms: float = HOUR_MS) -> DataFrame:
 
     Flows collapse to one row per time bucket and side of a session start, then to sessions.
     """
-    bounds = settle(session_bounds(df, gap_ms))
+    bounds = cut(session_bounds(df, gap_ms))
     width = gap_ms
     # Every bucket lies inside one session except those in which one starts; a session starts at a bucket's
     # first flow, so a bucket never holds flows of two sessions.
@@ -116,7 +116,7 @@ def sessionize(df: DataFrame, gap_ms: float = HOUR_MS) -> DataFrame:
 def timeline(df: DataFrame, minutes: float, classes: list[str], split: str = "split") -> DataFrame:
     """Flows per time bin and class, with the split most flows of the bin belong to (smallest on a tie)."""
     width = minutes * 60_000.0
-    counts = df.groupBy(F.floor(F.col("start_ms") / width).alias("bin"), split).pivot("attack", classes).agg(F.count("*"))
+    counts = df.groupBy(F.floor(F.col("start_ms") / width).alias("bin"), split).pivot("attack", classes).agg(F.count(F.lit(1)))
     counts = counts.na.fill(0, classes)
     total = sum((F.col(f"`{c}`") for c in classes[1:]), F.col(f"`{classes[0]}`"))
     return counts.groupBy("bin").agg(

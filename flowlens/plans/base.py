@@ -9,38 +9,57 @@ from flowlens.operators import columns as C
 from flowlens.operators import splits as T
 from flowlens.operators import windows as W
 from flowlens.sources import views as V
-from flowlens.tables import settle
+from flowlens.tables import cut
 
 DAY = 86_400.0
 N_CLASSES = 7
 
+# Prepared tables of this application: each is written once and read, column-pruned, by every query on it.
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
-def windowed(spark: SparkSession, sf: str) -> DataFrame:
-    return W.assign_windows(V.flows_lineitem(spark, sf), DAY)
 
+def prepared(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = cut(build(), name)
+    return _WRITTEN[key]
 
-def kept(spark: SparkSession, sf: str) -> DataFrame:
-    return W.min_flows_filter(windowed(spark, sf))
+
+def forget() -> None:
+    """Drop the prepared tables, so that the next query builds its own."""
+    _WRITTEN.clear()
+
+
+def windowed(spark: SparkSession, sf: str) -> DataFrame:
+    """All flows with their window, straight from the tables."""
+    return W.assign_windows(V.flows_lineitem(spark, sf), DAY)
 
 
 def window_splits(df: DataFrame) -> DataFrame:
-    """Kept windows with position and chronological split, as a lookup table."""
-    return settle(T.split_chronological(W.window_ordinal(W.window_table(df))).select("window_id", "pos", "n_windows", "split"))
+    """Kept windows with position and chronological split, as a written lookup table."""
+    return cut(T.split_chronological(W.window_ordinal(W.window_table(df))).select("window_id", "pos", "n_windows", "split"))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Kept flows with class number, window position and chronological split."""
-    df = windowed(spark, sf)
-    return df.join(window_splits(df), "window_id").join(C.settled_classes(df), "attack")
+
+    def build() -> DataFrame:
+        df = windowed(spark, sf)
+        return df.join(window_splits(df), "window_id").join(C.written_classes(df), "attack")
+
+    return prepared(spark, sf, "labelled", build)
+
+
+def kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept flows: the clean flow table that graphs and context start from."""
+    return labelled(spark, sf).drop("target", "pos", "n_windows", "split")
 
 
 def predictions(spark: SparkSession, sf: str, split: int = 2) -> DataFrame:
     """Scores of every model and seed on the test (2) or validation (1) flows."""
-    flows = labelled(spark, sf).where(F.col("split") == split).select("flow_id", "window_id", "pos", "src_ip", "dst_ip", "target")
-    return V.scored(flows, N_CLASSES).withColumnRenamed("target", "y_true")
-
 
-def r6(**cols: str) -> list:
-    from flowlens.functions.scalars import r6 as rounded
+    def build() -> DataFrame:
+        flows = labelled(spark, sf).where(F.col("split") == split).select("flow_id", "window_id", "pos", "src_ip", "dst_ip", "target")
+        return V.scored(flows, N_CLASSES).withColumnRenamed("target", "y_true")
 
-    return [rounded(F.col(c)).alias(n) for n, c in cols.items()]
+    return prepared(spark, sf, f"predictions{split}", build)

@@ -12,18 +12,12 @@ from flowlens.plans.oracle import big, r6
 from flowlens.plans.registry import query
 from flowlens.sources import flows as IO
 from flowlens.sources import views as V
-from flowlens.tables import checkpoint_folder
-
-
-def _folder(spark, name):
-    import uuid
-
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+from flowlens.tables import new_path
 
 
 @query("read_flows_csv", f"SELECT count(*) AS flows, count(DISTINCT flow_id) AS ids, {big('sum(CAST(out_bytes AS BIGINT))')} AS bytes_out FROM flows")
 def _(spark, sf):
-    path = _folder(spark, "csv")
+    path = new_path(spark, "csv")
     V.raw_flows(spark, sf).write.option("header", True).csv(path)
     df = IO.read_flows(spark, path, ["flow_id", "OUT_BYTES"])
     per_id = df.groupBy("flow_id").agg(F.count("*").alias("n"), F.sum(S.number(F.col("OUT_BYTES"))).alias("b"))
@@ -38,7 +32,7 @@ def _(spark, sf):
 
 @query("write_load_flows", "SELECT flow_id, src_ip, dst_ip, window_id, attack FROM kept")
 def _(spark, sf):
-    path = _folder(spark, "flows")
+    path = new_path(spark, "flows")
     IO.write_flows(kept(spark, sf), path, days=False)
     return IO.load_flows(spark, path, ["flow_id", "src_ip", "dst_ip", "window_id", "attack"])
 
@@ -47,7 +41,7 @@ def _(spark, sf):
 def _(spark, sf):
     from flowlens.operators import graph as G
 
-    path = _folder(spark, "graphs")
+    path = new_path(spark, "graphs")
     df = kept(spark, sf)
     IO.write_graphs(G.edges(df), G.nodes(df), path)
     edges, nodes = IO.load_graphs(spark, path)
@@ -58,7 +52,7 @@ def _(spark, sf):
 def _(spark, sf):
     from flowlens.plans.base import predictions
 
-    path = _folder(spark, "predictions")
+    path = new_path(spark, "predictions")
     IO.write_predictions(predictions(spark, sf).select("model", "seed", "flow_id", "window_id", "y_true", "y_pred", "scores"), path)
     return IO.load_predictions(spark, path, "forest", [1, 3]).select("flow_id", "seed", "y_true", "y_pred")
 
@@ -68,7 +62,7 @@ def _(spark, sf):
     from flowlens.operators import metrics as E
     from flowlens.plans.base import predictions
 
-    path = _folder(spark, "runs")
+    path = new_path(spark, "runs")
     IO.write_runs(E.run_records(E.per_class_prf(E.class_counts(predictions(spark, sf)), n_classes=7)), path)
     runs = IO.load_runs(spark, path)
     return runs.select(

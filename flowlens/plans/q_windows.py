@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
-from flowlens.operators import columns as C
 from flowlens.operators import windows as W
 from flowlens.plans.base import DAY, kept, labelled, windowed
 from flowlens.plans.oracle import big, r6
 from flowlens.plans.registry import query
 from flowlens.sources import flows as IO
 from flowlens.sources import views as V
+from flowlens.tables import new_path
 
 
 @query("assign_windows", "SELECT flow_id, window_id FROM wf")
@@ -21,10 +21,10 @@ def _(spark, sf):
 
 @query("min_flows_filter", "SELECT flow_id, window_id FROM kept")
 def _(spark, sf):
-    return kept(spark, sf).select("flow_id", "window_id")
+    return W.min_flows_filter(windowed(spark, sf)).select("flow_id", "window_id")
 
 
-@query("max_windows", "SELECT flow_id, window_id FROM kept WHERE window_id IN (SELECT window_id FROM win WHERE pos < 100)")
+@query("max_windows", "SELECT flow_id, window_id FROM kept WHERE window_id IN (SELECT window_id FROM win ORDER BY window_id LIMIT 100)")
 def _(spark, sf):
     return W.max_windows(windowed(spark, sf), 100).select("flow_id", "window_id")
 
@@ -43,14 +43,14 @@ _GAP = 900_000
 
 
 @query("sessionize", f"""
-  SELECT {big('sid')} AS session_id, {r6('min(start_ms)')} AS start_ms, {r6('max(start_ms)')} AS end_ms,
+  SELECT {big('sid')} AS session_id, round(min(start_ms), 3) AS start_ms, round(max(start_ms), 3) AS end_ms,
          {r6('(max(start_ms) - min(start_ms)) / 3600000.0::DOUBLE')} AS hours, count(*) AS flows, {big('sum(label)')} AS attack_flows
   FROM (SELECT *, sum(CASE WHEN gap > {_GAP} THEN 1 ELSE 0 END) OVER (ORDER BY start_ms, flow_id) AS sid FROM
         (SELECT *, start_ms - lag(start_ms) OVER (ORDER BY start_ms, flow_id) AS gap FROM ev)) GROUP BY sid""")
 def _(spark, sf):
     s = W.sessionize(V.flows_events(spark, sf), _GAP)
     return s.select(
-        "session_id", S.r6(F.col("start_ms")).alias("start_ms"), S.r6(F.col("end_ms")).alias("end_ms"), S.r6(F.col("hours")).alias("hours"), "flows", "attack_flows"
+        "session_id", F.round("start_ms", 3).alias("start_ms"), F.round("end_ms", 3).alias("end_ms"), S.r6(F.col("hours")).alias("hours"), "flows", "attack_flows"
     )
 
 
@@ -81,9 +81,7 @@ def _(spark, sf):
 @query("timeline_csv", """
   SELECT CAST(floor(start_ms / 86400000.0::DOUBLE) AS BIGINT) * 86400000 AS bin_start_ms, count(*) AS flows FROM flows GROUP BY ALL""")
 def _(spark, sf):
-    from flowlens.plans.q_columns import _folder
-
-    path = _folder(spark, "timeline")
+    path = new_path(spark, "timeline")
     df = windowed(spark, sf).withColumn("split", F.lit(0))
     classes = ["Benign", "F-0", "F-1", "F-2", "O-0", "O-1", "O-2"]
     IO.write_timeline(W.timeline(df, 1440, classes), path)

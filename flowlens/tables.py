@@ -1,14 +1,18 @@
-"""Cutting lineage, and broadcasting only what has been measured to be small."""
+"""Cutting lineage with written tables.
+
+``cut`` writes a result once, as Parquet in the shared checkpoint folder, and goes on from there. The
+written table survives the loss of executors, is read with column pruning and filter pushdown, and has
+a known size: whether a join against it is broadcast is decided by Catalyst from that size
+(``spark.sql.autoBroadcastJoinThreshold``), never by a hint. A table above the threshold is joined by
+shuffle, where adaptive execution splits hot keys.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only when its counted rows times its row width stay below this.
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -18,35 +22,23 @@ def checkpoint_folder(spark: SparkSession) -> str:
     temporary folder, since on a cluster a machine-local folder is lost with its machine.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(named)
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the written rows."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def row_width(df: DataFrame) -> int:
-    """A rough width of a row in bytes: 48 for text, 8 for everything else, 16 per row."""
-    return 16 + sum(48 if f.dataType.typeName() == "string" else 8 for f in df.schema.fields)
-
+def new_path(spark: SparkSession, name: str = "table") -> str:
+    return f"{checkpoint_folder(spark).rstrip('/')}/flowlens-{name}-{uuid.uuid4().hex}"
 
-def settle(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Materialise a lookup table; hint a broadcast only if its measured size is below ``max_bytes``.
 
-    Beyond the bound the table comes back without a hint, so the join becomes a shuffle join which
-    adaptive execution splits on skew.
-    """
-    written = cut(df)
-    rows = written.count()
-    return F.broadcast(written) if rows * row_width(written) <= max_bytes else written
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and go on from the written rows."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
