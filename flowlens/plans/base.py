@@ -45,7 +45,10 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
     def build() -> DataFrame:
         df = windowed(spark, sf)
-        return df.join(window_splits(df), "window_id").join(C.written_classes(df), "attack")
+        joined = df.join(window_splits(df), "window_id").join(C.written_classes(df), "attack")
+        # Clustered by time, so that window and split filters skip row groups; flow_id as the second key
+        # spreads a busy window over several files.
+        return joined.repartitionByRange("window_id", "flow_id")
 
     return prepared(spark, sf, "labelled", build)
 
