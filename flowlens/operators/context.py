@@ -80,13 +80,13 @@ def host_context(
     """
     pairs = cut(G.pair_table(df))
     ends = G.endpoints(pairs)
-    if behavioural:
+    if behavioural or structural:
         ends = cut(ends)
     table = G.host_counts(ends)
     if behavioural or role:
         table = table.join(port_stats(G.port_counts(df)), G.NODE, "left")
     if structural:
-        table = table.join(G.pagerank(pairs, iters, damping), G.NODE).join(G.clustering(pairs, ends).select(*G.NODE, "clustering"), G.NODE, "left")
+        table = table.join(G.pagerank(pairs, iters, damping), G.NODE).join(G.clustering(ends).select(*G.NODE, "clustering"), G.NODE, "left")
         table = table.withColumns(
             {
                 "in_degree": F.log1p("flows_in"), "out_degree": F.log1p("flows_out"), "unique_peers": F.log1p("peers"),

@@ -158,26 +158,25 @@ def pagerank(pairs: DataFrame, iters: int = 30, damping: float = 0.85, max_pairs
     )
 
 
-def triangles(pairs: DataFrame) -> DataFrame:
+def triangles(ends: DataFrame) -> DataFrame:
     """Triangles through every host of every window's undirected simple graph.
 
     Each edge points from its end of lower degree to the higher one, so no host has more than
     sqrt(2 * edges) outgoing neighbours: that bounds the arrays, and an edge finds its triangles by
     intersecting two of them instead of pairing neighbours.
     """
-    links = simple_edges(pairs)
-    degree = links.select("window_id", F.explode(F.array("a", "b")).alias("host")).groupBy(*NODE).agg(F.count("*").alias("k"))
-    known = links.join(degree.select("window_id", F.col("host").alias("a"), F.col("k").alias("ka")), ["window_id", "a"]).join(
-        degree.select("window_id", F.col("host").alias("b"), F.col("k").alias("kb")), ["window_id", "b"]
+    links = ends.where(F.col("host") != F.col("peer")).select(*NODE, "peer")
+    known = links.join(links.groupBy(*NODE).agg(F.count("*").alias("k")), NODE)
+    first, second = F.least("host", "peer"), F.greatest("host", "peer")
+    # Both directions of an edge meet once, each bringing the degree of its own end.
+    edge = known.groupBy("window_id", first.alias("a"), second.alias("b")).agg(
+        F.max(F.when(F.col("host") == first, F.col("k"))).alias("ka"), F.max(F.when(F.col("host") == second, F.col("k"))).alias("kb")
     )
     forward = F.struct("ka", "a") < F.struct("kb", "b")
-    arcs = cut(
-        known.select("window_id", F.when(forward, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("high"))
-    )
-    out = arcs.groupBy("window_id", "low").agg(F.collect_set("high").alias("near"))
-    both = arcs.join(out, ["window_id", "low"]).join(
-        out.select("window_id", F.col("low").alias("high"), F.col("near").alias("far")), ["window_id", "high"]
-    )
+    low, high = F.when(forward, F.col("a")).otherwise(F.col("b")), F.when(forward, F.col("b")).otherwise(F.col("a"))
+    out = cut(edge.groupBy("window_id", low.alias("low")).agg(F.collect_set(high).alias("near")), "neighbours")
+    arcs = out.select("window_id", "low", "near", F.explode("near").alias("high"))
+    both = arcs.join(out.select("window_id", F.col("low").alias("high"), F.col("near").alias("far")), ["window_id", "high"])
     common = both.select("window_id", "low", "high", F.array_intersect("near", "far").alias("third")).where(F.size("third") > 0)
     hit = lambda host, n: F.struct(host.alias("host"), n.cast("bigint").alias("n"))
     hits = F.concat(
@@ -187,19 +186,10 @@ def triangles(pairs: DataFrame) -> DataFrame:
     return common.select("window_id", F.explode(hits).alias("h")).select("window_id", "h.*").groupBy(*NODE).agg(F.sum("n").alias("triangles"))
 
 
-def simple_edges(pairs: DataFrame) -> DataFrame:
-    """Undirected edges without self-loops, each once, as (window, a < b)."""
-    return (
-        pairs.where(F.col("src") != F.col("dst"))
-        .select("window_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-        .distinct()
-    )
-
-
-def clustering(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+def clustering(ends: DataFrame) -> DataFrame:
     """Share of a host's neighbour pairs that are linked; 0 with fewer than two neighbours."""
     k = ends.where(F.col("host") != F.col("peer")).groupBy(*NODE).agg(F.count("*").alias("k"))
-    found = k.join(triangles(pairs), NODE, "left")
+    found = k.join(triangles(ends), NODE, "left")
     pairs_of = F.col("k") * (F.col("k") - 1) / 2.0
     value = F.when(F.col("k") >= 2, F.coalesce("triangles", F.lit(0)) / pairs_of).otherwise(F.lit(0.0))
     return found.select(*NODE, "k", F.coalesce("triangles", F.lit(0)).alias("triangles"), value.alias("clustering"))
@@ -208,8 +198,8 @@ def clustering(pairs: DataFrame, ends: DataFrame) -> DataFrame:
 def structural_context(df: DataFrame, pairs: DataFrame | None = None, iters: int = 30, damping: float = 0.85) -> DataFrame:
     """log degrees, log peers, PageRank times hosts, clustering."""
     pairs = cut(pair_table(df)) if pairs is None else pairs
-    ends = endpoints(pairs)
-    table = host_counts(ends).join(pagerank(pairs, iters, damping), NODE).join(clustering(pairs, ends), NODE, "left")
+    ends = cut(endpoints(pairs))
+    table = host_counts(ends).join(pagerank(pairs, iters, damping), NODE).join(clustering(ends), NODE, "left")
     return table.select(
         *NODE,
         F.log1p("flows_in").alias("in_degree"), F.log1p("flows_out").alias("out_degree"), F.log1p("peers").alias("unique_peers"),

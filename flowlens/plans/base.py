@@ -44,11 +44,15 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Kept flows with class number, window position and chronological split."""
 
     def build() -> DataFrame:
-        df = windowed(spark, sf)
-        joined = df.join(window_splits(df), "window_id").join(C.written_classes(df), "attack")
-        # Clustered by time, so that window and split filters skip row groups; flow_id as the second key
-        # spreads a busy window over several files.
-        return joined.repartitionByRange("window_id", "flow_id")
+        flows = V.flows_lineitem(spark, sf)
+        # One pruned pass finds the classes and the earliest start; the origin is then a literal.
+        per_class = cut(flows.groupBy("attack").agg(F.min("start_ms").alias("first_ms")), "classes")
+        df = W.assign_windows(flows, DAY, per_class.agg(F.min("first_ms")).first()[0])
+        joined = df.join(window_splits(df), "window_id").join(C.written_classes(per_class), "attack")
+        # Clustered by time, so that window and split filters skip row groups. The salt spreads a busy window
+        # over sixteen files; known positions make the sampling pass of a range partitioning unnecessary.
+        spread = [F.floor(F.col("pos") / 16), F.pmod(F.xxhash64("flow_id"), F.lit(16))]
+        return joined.repartition(*spread).sortWithinPartitions("window_id")
 
     return prepared(spark, sf, "labelled", build)
 

@@ -213,11 +213,11 @@ def _(spark, sf):
     return out.select("is_attacker", "split", *_r("p1", "p99", "largest", "above_train_max"))
 
 
-@query("leak_alarm", f"SELECT model, seed, {r6('macro_f1')} AS macro_f1 FROM runmacro WHERE macro_f1 > 0.6")
+@query("leak_alarm", f"SELECT model, seed, {r6('macro_f1')} AS macro_f1 FROM runmacro WHERE macro_f1 > 0.2")
 def _(spark, sf):
     prf = E.per_class_prf(E.class_counts(predictions(spark, sf)), N_CLASSES)
     # The scores are synthetic, so the alarm is set where some runs pass it and some do not.
-    return A.leak_alarm(E.macro_f1(prf), 0.6).select("model", "seed", *_r("macro_f1"))
+    return A.leak_alarm(E.macro_f1(prf), 0.2).select("model", "seed", *_r("macro_f1"))
 
 
 _EDGES = [1.0, 2.0, 3.0, 5.0, 7.0, 10.0, 15.0, 22.0, 32.0, 46.0, 68.0, 100.0]

@@ -65,8 +65,8 @@ def _(spark, sf):
 
 @query("clustering", f"SELECT window_id, host, {big('k')} AS k, {big('triangles')} AS triangles, {r6('clustering')} AS clustering FROM clust WHERE k > 0")
 def _(spark, sf):
-    pairs = cut(G.pair_table(kept(spark, sf)))
-    return G.clustering(pairs, G.endpoints(pairs)).select("window_id", "host", "k", "triangles", *_r(None, "clustering"))
+    ends = cut(G.endpoints(G.pair_table(kept(spark, sf))))
+    return G.clustering(ends).select("window_id", "host", "k", "triangles", *_r(None, "clustering"))
 
 
 _STRUCTURAL = ["in_degree", "out_degree", "unique_peers", "pagerank", "clustering"]

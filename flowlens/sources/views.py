@@ -120,11 +120,11 @@ def scored(flows: DataFrame, n_classes: int, models: dict[str, float] = MODELS,
     wide = flows.withColumn("_run", runs).select("*", "_run.*").drop("_run")
     digest = F.md5(F.concat_ws(":", "model", F.col("seed").cast("string"), "flow_id"))
     wide = wide.withColumn("_h", digest)
-    raw = [
+    raw = F.array(*[
         S.hash_int(F.col("_h"), 1 + 4 * c, 4) / 65536.0 + F.when(F.col("target") == c, F.col("lean")).otherwise(0.0)
         for c in range(n_classes)
-    ]
-    total = sum(raw[1:], raw[0]) if n_classes > 1 else raw[0]
-    wide = wide.withColumn("_raw", F.array(*raw)).withColumn("_sum", total)
-    scores = F.transform("_raw", lambda x: F.round(x / F.col("_sum"), 4))
-    return wide.withColumn("scores", scores).withColumn("y_pred", S.first_argmax(F.col("scores"))).drop("_h", "_raw", "_sum", "lean")
+    ])
+    # A one-element transform binds the raw array and the scores to a name, so that each is evaluated once.
+    shares = F.transform(F.array(raw), lambda r: F.transform(r, lambda x: F.round(x / F.aggregate(r, F.lit(0.0), lambda t, y: t + y), 4)))
+    both = F.transform(shares, lambda s: F.struct(s.alias("scores"), S.first_argmax(s).alias("y_pred")))
+    return wide.withColumn("_b", both[0]).select("*", "_b.*").drop("_b", "_h", "lean")
