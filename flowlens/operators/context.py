@@ -78,21 +78,15 @@ def host_context(
     once for the port table. Tables per (window, host) share that partitioning, so their joins add no
     shuffle; the history comes last and moves the assembled rows once, to their host.
     """
-    pairs = cut(G.pair_table(df))
+    pairs = cut(G.pair_table(df), "pairs")
     ends = G.endpoints(pairs)
     if behavioural or structural:
-        ends = cut(ends)
+        ends = cut(ends, "endpoints")
     table = G.host_counts(ends)
     if behavioural or role:
         table = table.join(port_stats(G.port_counts(df)), G.NODE, "left")
     if structural:
-        table = table.join(G.pagerank(pairs, iters, damping), G.NODE).join(G.clustering(ends).select(*G.NODE, "clustering"), G.NODE, "left")
-        table = table.withColumns(
-            {
-                "in_degree": F.log1p("flows_in"), "out_degree": F.log1p("flows_out"), "unique_peers": F.log1p("peers"),
-                "clustering": F.coalesce("clustering", F.lit(0.0)),
-            }
-        )
+        table = G.structural_columns(table, pairs, ends, iters, damping)
     if role:
         table = role_columns(table)
     if behavioural:

@@ -73,43 +73,87 @@ def port_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("window_id", F.col("src_ip").alias("host"), "dst_port").agg(F.count("*").alias("n"))
 
 
-def _rank_windows(iters: int, damping: float):
-    """Power iteration over all windows of a batch at once."""
-
+def _rank(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, where: np.ndarray, iters: int, damping: float) -> np.ndarray:
+    """Power iteration over all windows of a batch at once; ``where`` is the window of each node."""
+    n = len(where)
+    size = np.bincount(where)[where].astype(float)
+    sent = np.bincount(src, weights=weight, minlength=n)
+    step, stuck = weight / sent[src], sent == 0
+    rank = 1.0 / size
+    for _ in range(iters):
+        lost = np.bincount(where, weights=np.where(stuck, rank, 0.0))[where]
+        moved = np.bincount(dst, weights=rank[src] * step, minlength=n)
+        rank = (1.0 - damping) / size + damping * (moved + lost / size)
+        rank = rank / np.bincount(where, weights=rank)[where]
+    return rank * size
+
+
+def _simple_triangles(src: np.ndarray, dst: np.ndarray, n: int, dense: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours and triangles of every node of one window's undirected simple graph."""
+    apart = src != dst
+    low, high = np.minimum(src, dst)[apart], np.maximum(src, dst)[apart]
+    if n <= dense:
+        linked = np.zeros((n, n), dtype=np.float32)
+        linked[low, high] = linked[high, low] = 1.0
+        return linked.sum(1), ((linked @ linked) * linked).sum(1) / 2.0
+    edges = np.unique(low * n + high)
+    low, high = edges // n, edges % n
+    k = np.bincount(np.concatenate([low, high]), minlength=n)
+    turned = k[low] > k[high]
+    low, high = np.where(turned, high, low), np.where(turned, low, high)
+    order = np.argsort(low, kind="stable")
+    starts = np.searchsorted(low[order], np.arange(n + 1))
+    near = [set(high[order[starts[i]:starts[i + 1]]].tolist()) for i in range(n)]
+    count = np.zeros(n)
+    for u, v in zip(low.tolist(), high.tolist()):
+        third = near[u] & near[v]
+        if third:
+            count[u] += len(third)
+            count[v] += len(third)
+            count[list(third)] += 1
+    return k, count
+
+
+def _structure_of(iters: int, damping: float, with_triangles: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = len(pdf)
         host, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))
         window, windows = pd.factorize(pdf["window_id"])
         node, flat = np.unique(np.concatenate([window, window]) * len(names) + host, return_inverse=True)
         src, dst, where = flat[:m], flat[m:], node // len(names)
-        size = np.bincount(where)[where].astype(float)
-        weight = pdf["w"].to_numpy(float)
-        sent = np.bincount(src, weights=weight, minlength=len(node))
-        step = weight / sent[src]
-        stuck = sent == 0
-        rank = 1.0 / size
-        for _ in range(iters):
-            lost = np.bincount(where, weights=np.where(stuck, rank, 0.0))[where]
-            moved = np.bincount(dst, weights=rank[src] * step, minlength=len(node))
-            rank = (1.0 - damping) / size + damping * (moved + lost / size)
-            rank = rank / np.bincount(where, weights=rank)[where]
-        return pd.DataFrame(
-            {"window_id": np.asarray(windows)[where], "host": np.asarray(names)[node % len(names)], "pagerank": rank * size}
-        )
+        out = {
+            "window_id": np.asarray(windows)[where], "host": np.asarray(names)[node % len(names)],
+            "pagerank": _rank(src, dst, pdf["w"].to_numpy(float), where, iters, damping),
+        }
+        if with_triangles:
+            # Nodes are numbered window by window, so a window is a slice of nodes and a slice of sorted pairs.
+            order, k, tri = np.argsort(window, kind="stable"), [], []
+            pair_at = np.searchsorted(window[order], np.arange(len(windows) + 1))
+            node_at = np.searchsorted(where, np.arange(len(windows) + 1))
+            for i in range(len(windows)):
+                mine, base = order[pair_at[i]:pair_at[i + 1]], node_at[i]
+                a, b = _simple_triangles(src[mine] - base, dst[mine] - base, node_at[i + 1] - base)
+                k.append(a)
+                tri.append(b)
+            out |= {"k": np.concatenate(k).astype("int64"), "triangles": np.concatenate(tri).round().astype("int64")}
+        return pd.DataFrame(out)
 
     return run
 
 
-def pagerank_batched(pairs: DataFrame, total_pairs: int, iters: int = 30, damping: float = 0.85, batch: int = 200_000) -> DataFrame:
-    """PageRank times the number of nodes, for windows whose pair count is bounded by the caller.
+def structure_batched(
+    pairs: DataFrame, total_pairs: int, iters: int = 30, damping: float = 0.85, with_triangles: bool = True, batch: int = 200_000,
+) -> DataFrame:
+    """PageRank times hosts, neighbours and triangles for windows whose pair count the caller has bounded.
 
     Windows are spread over hash buckets of about ``batch`` pairs; a bucket is one vectorised call.
     """
     cores = pairs.sparkSession.sparkContext.defaultParallelism
     buckets = max(cores, math.ceil(total_pairs / batch))
     spread = pairs.select("window_id", "src", "dst", "w").withColumn("_bucket", F.pmod(F.xxhash64("window_id"), F.lit(buckets)))
-    schema = f"window_id {dict(pairs.dtypes)['window_id']}, host string, pagerank double"
-    return spread.groupBy("_bucket").applyInPandas(lambda pdf: _rank_windows(iters, damping)(pdf), schema)
+    schema = f"window_id {dict(pairs.dtypes)['window_id']}, host string, pagerank double" + (", k bigint, triangles bigint" if with_triangles else "")
+    work = _structure_of(iters, damping, with_triangles)
+    return spread.groupBy("_bucket").applyInPandas(lambda pdf: work(pdf), schema)
 
 
 def pagerank_iterative(pairs: DataFrame, iters: int = 30, damping: float = 0.85, every: int = 5) -> DataFrame:
@@ -140,22 +184,37 @@ def pagerank_iterative(pairs: DataFrame, iters: int = 30, damping: float = 0.85,
     return rank.select(*NODE, (F.col("rank") * F.col("size")).alias("pagerank"))
 
 
-def pagerank(pairs: DataFrame, iters: int = 30, damping: float = 0.85, max_pairs: int = 200_000) -> DataFrame:
-    """PageRank times the number of hosts of the window, on the weighted multigraph.
+def structure(
+    pairs: DataFrame, ends: DataFrame | None = None, iters: int = 30, damping: float = 0.85, max_pairs: int = 200_000, with_triangles: bool = True,
+) -> DataFrame:
+    """PageRank times the number of hosts of the window, with neighbours ``k`` and ``triangles`` if asked.
 
-    The rank of hosts without sent flows is spread evenly; ranks are renormalised at every step. Windows
-    of up to ``max_pairs`` pairs are ranked in batches inside tasks, larger ones by distributed joins.
-    ``pairs`` should be a written table, since it is read more than once.
+    Ranks follow the weighted multigraph; the rank of hosts without sent flows is spread evenly and ranks
+    are renormalised at every step. Windows of up to ``max_pairs`` pairs are worked in batches inside
+    tasks, larger ones by distributed joins. ``pairs`` (and ``ends``) should be written tables, since they
+    are read more than once.
     """
     sizes = pairs.groupBy("window_id").agg(F.count("*").alias("n"))
     facts = sizes.agg(F.sum("n").alias("total"), F.count_if(F.col("n") > max_pairs).alias("large")).first()
     if not facts["large"]:
-        return pagerank_batched(pairs, facts["total"] or 0, iters, damping)
+        return structure_batched(pairs, facts["total"] or 0, iters, damping, with_triangles)
     large = cut(sizes.where(F.col("n") > max_pairs).select("window_id"))
-    small = pairs.join(large, "window_id", "left_anti")
-    return pagerank_batched(small, facts["total"], iters, damping).unionByName(
-        pagerank_iterative(pairs.join(large, "window_id", "left_semi"), iters, damping)
-    )
+    small = structure_batched(pairs.join(large, "window_id", "left_anti"), facts["total"], iters, damping, with_triangles)
+    ranks = pagerank_iterative(pairs.join(large, "window_id", "left_semi"), iters, damping)
+    if with_triangles:
+        ends = endpoints(pairs) if ends is None else ends
+        found = clustering(ends.join(large, "window_id", "left_semi")).select(*NODE, "k", "triangles")
+        ranks = ranks.join(found, NODE, "left").na.fill(0, ["k", "triangles"])
+    return small.unionByName(ranks)
+
+
+def pagerank(pairs: DataFrame, iters: int = 30, damping: float = 0.85, max_pairs: int = 200_000) -> DataFrame:
+    return structure(pairs, None, iters, damping, max_pairs, with_triangles=False)
+
+
+def clustering_of(k, found):
+    """Linked share of the k * (k - 1) / 2 neighbour pairs; 0 with fewer than two neighbours."""
+    return F.when(k >= 2, found / (k * (k - 1) / 2.0)).otherwise(F.lit(0.0))
 
 
 def triangles(ends: DataFrame) -> DataFrame:
@@ -187,24 +246,29 @@ def triangles(ends: DataFrame) -> DataFrame:
 
 
 def clustering(ends: DataFrame) -> DataFrame:
-    """Share of a host's neighbour pairs that are linked; 0 with fewer than two neighbours."""
+    """Clustering coefficient of every host with a neighbour, by joins."""
     k = ends.where(F.col("host") != F.col("peer")).groupBy(*NODE).agg(F.count("*").alias("k"))
-    found = k.join(triangles(ends), NODE, "left")
-    pairs_of = F.col("k") * (F.col("k") - 1) / 2.0
-    value = F.when(F.col("k") >= 2, F.coalesce("triangles", F.lit(0)) / pairs_of).otherwise(F.lit(0.0))
-    return found.select(*NODE, "k", F.coalesce("triangles", F.lit(0)).alias("triangles"), value.alias("clustering"))
+    found = k.join(triangles(ends), NODE, "left").na.fill(0, ["triangles"])
+    return found.withColumn("clustering", clustering_of(F.col("k"), F.col("triangles")))
+
+
+def structural_columns(table: DataFrame, pairs: DataFrame, ends: DataFrame, iters: int = 30, damping: float = 0.85) -> DataFrame:
+    """Structural context columns for a host-count table."""
+    joined = table.join(structure(pairs, ends, iters, damping), NODE)
+    return joined.withColumns(
+        {
+            "in_degree": F.log1p("flows_in"), "out_degree": F.log1p("flows_out"), "unique_peers": F.log1p("peers"),
+            "clustering": clustering_of(F.col("k"), F.col("triangles")),
+        }
+    )
 
 
-def structural_context(df: DataFrame, pairs: DataFrame | None = None, iters: int = 30, damping: float = 0.85) -> DataFrame:
+def structural_context(df: DataFrame, iters: int = 30, damping: float = 0.85) -> DataFrame:
     """log degrees, log peers, PageRank times hosts, clustering."""
-    pairs = cut(pair_table(df)) if pairs is None else pairs
-    ends = cut(endpoints(pairs))
-    table = host_counts(ends).join(pagerank(pairs, iters, damping), NODE).join(clustering(ends), NODE, "left")
-    return table.select(
-        *NODE,
-        F.log1p("flows_in").alias("in_degree"), F.log1p("flows_out").alias("out_degree"), F.log1p("peers").alias("unique_peers"),
-        "pagerank", F.coalesce("clustering", F.lit(0.0)).alias("clustering"),
-    )
+    pairs = cut(pair_table(df), "pairs")
+    ends = cut(endpoints(pairs), "endpoints")
+    out = structural_columns(host_counts(ends), pairs, ends, iters, damping)
+    return out.select(*NODE, "in_degree", "out_degree", "unique_peers", "pagerank", "clustering")
 
 
 def endpoint_context(df: DataFrame, node_table: DataFrame, columns: list[str]) -> DataFrame:

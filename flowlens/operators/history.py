@@ -67,13 +67,13 @@ def ewma_history(obs: DataFrame, columns: Sequence[str] = tuple(OBSERVED), alpha
     whole = Window.partitionBy(host).orderBy(order)
     df = obs.withColumn("_r", F.row_number().over(whole) - 1)
     first = F.col("_r") == 0
+    # The value before a window follows from the recurrence itself, s[t-1] = (s[t] - u[t]) / decay: no lag is needed.
     df = _recurrence(df, {f"mean_{c}": F.when(first, F.col(c)).otherwise(alpha * F.col(c)) for c in columns}, decay, host, order)
-    df = df.withColumns({f"prior_mean_{c}": F.lag(f"mean_{c}").over(whole) for c in columns})
-    gap = {c: F.col(c) - F.col(f"prior_mean_{c}") for c in columns}
-    df = _recurrence(
-        df, {f"var_{c}": F.when(first, F.lit(1.0)).otherwise(decay * alpha * gap[c] * gap[c]) for c in columns}, decay, host, order
-    )
-    return df.withColumns({f"prior_var_{c}": F.lag(f"var_{c}").over(whole) for c in columns}).withColumnRenamed("_r", "earlier_windows")
+    df = df.withColumns({f"prior_mean_{c}": F.when(~first, (F.col(f"mean_{c}") - alpha * F.col(c)) / decay) for c in columns})
+    step = {c: decay * alpha * F.pow(F.col(c) - F.col(f"prior_mean_{c}"), 2) for c in columns}
+    df = _recurrence(df, {f"var_{c}": F.when(first, F.lit(1.0)).otherwise(step[c]) for c in columns}, decay, host, order)
+    df = df.withColumns({f"prior_var_{c}": F.when(~first, (F.col(f"var_{c}") - step[c]) / decay) for c in columns})
+    return df.withColumnRenamed("_r", "earlier_windows")
 
 
 def ewma_zscore(history: DataFrame, columns: Sequence[str] = tuple(OBSERVED)) -> DataFrame:

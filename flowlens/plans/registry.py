@@ -34,7 +34,5 @@ def query(name: str, check: str | None = None, extra: dict[str, str] | None = No
 
 
 def load() -> None:
-    from importlib.util import find_spec
     for m in MODULES:
-        if find_spec(f"flowlens.plans.q_{m}") is None: continue
         import_module(f"flowlens.plans.q_{m}")
