@@ -63,35 +63,35 @@ def require_roles(columns: Sequence[str]) -> dict[str, str]:
     return found
 
 
-def epoch_ms(df: DataFrame, col: str, out: str = "start_ms") -> DataFrame:
-    """Start time as epoch milliseconds, whatever the unit.
+def time_unit(col: Column) -> Column:
+    """Aggregate: the unit of a start-time column, read from where its median lies.
 
-    The unit is read from where the median lies: above 1e17 nanoseconds, above 1e14 microseconds,
-    between 0 and 1e11 seconds, else milliseconds. "More than half the values lie beyond x" decides that
-    with constant memory. If at most 90 % of the cells are numbers, they are read as UTC timestamps.
+    Above 1e17 nanoseconds, above 1e14 microseconds, between 0 and 1e11 seconds, else milliseconds; "text"
+    if at most 90 % of the cells are numbers. "More than half the values lie beyond x" decides where the
+    median lies with constant memory.
     """
-    x = S.number(F.col(col))
-    above = lambda limit: F.avg((x > limit).cast("double")) > 0.5
-    below = F.avg(((x < 1e11)).cast("double")) > 0.5
-    unit = (
+    x = S.number(col)
+    most = lambda c: F.avg(c.cast("double")) > 0.5
+    return (
         F.when(F.avg(x.isNotNull().cast("double")) <= 0.9, F.lit("text"))
-        .when(above(1e17), F.lit("ns"))
-        .when(above(1e14), F.lit("us"))
-        .when(above(0.0) & below, F.lit("s"))
+        .when(most(x > 1e17), F.lit("ns"))
+        .when(most(x > 1e14), F.lit("us"))
+        .when(most(x > 0) & most(x < 1e11), F.lit("s"))
         .otherwise(F.lit("ms"))
     )
-    chosen = df.agg(unit.alias("unit")).scalar()
-    text = F.try_to_timestamp(F.col(col).cast("string"))
-    from_text = F.expr("timestampdiff(MICROSECOND, timestamp'1970-01-01 00:00:00Z', _parsed)") / 1000.0
-    staged = df.withColumn("_unit", chosen).withColumn("_parsed", text)
-    value = (
-        F.when(F.col("_unit") == "text", from_text)
-        .when(F.col("_unit") == "ns", x / 1e6)
-        .when(F.col("_unit") == "us", x / 1e3)
-        .when(F.col("_unit") == "s", x * 1000.0)
-        .otherwise(x)
-    )
-    return staged.withColumn(out, value).drop("_unit", "_parsed")
+
+
+def in_epoch_ms(col: Column, unit: Column) -> Column:
+    """A start-time cell in epoch milliseconds; text is read as a UTC timestamp, NULL if it is none."""
+    x = S.number(col)
+    parsed = F.unix_micros(F.try_to_timestamp(col.cast("string"))) / 1000.0
+    return F.when(unit == "text", parsed).when(unit == "ns", x / 1e6).when(unit == "us", x / 1e3).when(unit == "s", x * 1000.0).otherwise(x)
+
+
+def epoch_ms(df: DataFrame, col: str, out: str = "start_ms") -> DataFrame:
+    """Start time as epoch milliseconds, whatever the unit."""
+    staged = df.withColumn("_unit", df.agg(time_unit(F.col(col)).alias("unit")).scalar())
+    return staged.withColumn(out, in_epoch_ms(F.col(col), F.col("_unit"))).drop("_unit")
 
 
 def numeric_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -100,17 +100,21 @@ def numeric_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.unpivot([], list(columns), "column_name", "numeric_share")
 
 
+def feature_candidates(columns: Sequence[str], exclude: Sequence[str] = (), leaky: Sequence[str] = tuple(LEAKY_COLUMNS)) -> list[str]:
+    found = resolve_columns(columns)
+    banned = {found[r] for r in NON_FEATURE_ROLES if r in found} | set(exclude) | set(leaky_columns(columns, leaky))
+    return [c for c in columns if c not in banned]
+
+
 def select_feature_columns(df: DataFrame, exclude: Sequence[str] = (), leaky: Sequence[str] = tuple(LEAKY_COLUMNS)) -> list[str]:
     """Columns that are neither identifiers, targets nor leaky and hold numbers in at least half their cells.
 
     Returns names, since they shape the schema; what reaches the driver is one number per column.
     """
-    found = resolve_columns(df.columns)
-    banned = {found[r] for r in NON_FEATURE_ROLES if r in found} | set(exclude) | set(leaky_columns(df.columns, leaky))
-    candidates = [c for c in df.columns if c not in banned]
+    candidates = feature_candidates(df.columns, exclude, leaky)
     if not candidates:
         return []
-    shares = {r["column_name"]: r["numeric_share"] for r in numeric_shares(df, candidates).collect()}
+    shares = df.agg(*[F.avg(S.number(F.col(c)).isNotNull().cast("double")).alias(c) for c in candidates]).first()
     return [c for c in candidates if (shares[c] or 0.0) >= 0.5]
 
 
@@ -139,10 +143,20 @@ def clean_flows(raw: DataFrame, leaky: Sequence[str] = tuple(LEAKY_COLUMNS), car
     """Raw capture rows to the clean flow table: roles, label, class, numeric features, audit-only copies.
 
     Rows without a start time are dropped. ``carry`` keeps key columns such as ``flow_id`` as they are.
+    Two passes: one aggregation to a single row decides the time unit, the kind of label and the feature
+    columns; the second is a projection.
     """
     roles = require_roles(raw.columns)
-    features = select_feature_columns(raw, exclude=carry, leaky=leaky)
-    df = binary_label(epoch_ms(raw, roles["start_time"], "_start"), roles["label"], "_label")
+    candidates = feature_candidates(raw.columns, carry, leaky)
+    filled = lambda c: F.avg(S.number(F.col(c)).isNotNull().cast("double"))
+    facts = raw.agg(
+        time_unit(F.col(roles["start_time"])).alias("unit"), (filled(roles["label"]) <= 0.9).alias("is_text"),
+        *[filled(c).alias(f"share__{c}") for c in candidates],
+    ).first()
+    features = [c for c in candidates if (facts[f"share__{c}"] or 0.0) >= 0.5]
+    label_cell = F.col(roles["label"])
+    label = S.label_from_text(label_cell.cast("string")) if facts["is_text"] else S.label_from_number(label_cell)
+    df = raw.withColumns({"_start": in_epoch_ms(F.col(roles["start_time"]), F.lit(facts["unit"])), "_label": label})
     attack = F.col(roles["attack"]).cast("string") if "attack" in roles else None
     port = lambda role: S.port_number(F.col(roles[role])) if role in roles else F.lit(0)
     if "protocol" in roles and roles["protocol"] in features:
