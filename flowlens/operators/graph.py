@@ -156,32 +156,34 @@ def structure_batched(
     return spread.groupBy("_bucket").applyInPandas(lambda pdf: work(pdf), schema)
 
 
-def pagerank_iterative(pairs: DataFrame, iters: int = 30, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """The same values by joins, for windows too large for one batch; lineage is cut every few steps."""
+def pagerank_iterative(pairs: DataFrame, iters: int = 30, damping: float = 0.85) -> DataFrame:
+    """The same values by joins, for windows too large for one batch. Each step is written, so that a step
+    never re-plans the ones before it and a lost executor costs one step.
+
+    Rank that moves plus rank that is spread adds up to one, so only rounding needs the renormalisation:
+    it is done once, at the end.
+    """
     sent = pairs.groupBy("window_id", F.col("src").alias("host")).agg(F.sum("w").alias("sent"))
     names = pairs.select("window_id", F.explode(F.array("src", "dst")).alias("host")).distinct()
     sizes = cut(names.groupBy("window_id").agg(F.count("*").cast("double").alias("size")))
-    base = cut(names.join(sent, NODE, "left").join(sizes, "window_id"))
+    base = cut(names.join(sent, NODE, "left").join(sizes, "window_id").select(*NODE, "size", F.col("sent").isNull().alias("stuck"), "sent"))
     step = cut(
-        pairs.join(sent.withColumnRenamed("host", "src"), ["window_id", "src"]).select(
+        pairs.join(base.select("window_id", F.col("host").alias("src"), "sent"), ["window_id", "src"]).select(
             "window_id", F.col("src").alias("host"), "dst", (F.col("w") / F.col("sent")).alias("step")
         )
     )
-    rank = base.select(*NODE, "sent", "size", (F.lit(1.0) / F.col("size")).alias("rank"))
-    for i in range(1, iters + 1):
-        lost = rank.groupBy("window_id").agg(F.coalesce(F.sum(F.when(F.col("sent").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
+    base = base.drop("sent")
+    rank = base.withColumn("rank", F.lit(1.0) / F.col("size"))
+    for _ in range(iters):
+        lost = rank.where("stuck").groupBy("window_id").agg(F.sum("rank").alias("lost"))
         moved = step.join(rank.select(*NODE, "rank"), NODE).groupBy("window_id", F.col("dst").alias("host")).agg(
             F.sum(F.col("rank") * F.col("step")).alias("moved")
         )
-        raw = base.join(moved, NODE, "left").join(lost, "window_id").select(
-            *NODE, "sent", "size",
-            ((1.0 - damping) / F.col("size") + damping * (F.coalesce("moved", F.lit(0.0)) + F.col("lost") / F.col("size"))).alias("raw"),
-        )
-        if i % every == 0 or i == iters:
-            raw = cut(raw)
-        whole = raw.groupBy("window_id").agg(F.sum("raw").alias("whole"))
-        rank = raw.join(whole, "window_id").select(*NODE, "sent", "size", (F.col("raw") / F.col("whole")).alias("rank"))
-    return rank.select(*NODE, (F.col("rank") * F.col("size")).alias("pagerank"))
+        flow = F.coalesce("moved", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("size")
+        stepped = base.join(moved, NODE, "left").join(lost, "window_id", "left")
+        rank = cut(stepped.select(*NODE, "size", "stuck", ((1.0 - damping) / F.col("size") + damping * flow).alias("rank")), "rank")
+    whole = rank.groupBy("window_id").agg(F.sum("rank").alias("whole"))
+    return rank.join(whole, "window_id").select(*NODE, (F.col("rank") / F.col("whole") * F.col("size")).alias("pagerank"))
 
 
 def structure(
