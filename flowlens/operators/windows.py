@@ -81,21 +81,19 @@ def session_bounds(df: DataFrame, gap_ms: float = HOUR_MS) -> DataFrame:
     )
 
 
-def sessionize(df: DataFrame, gap_ms: float = HOUR_MS) -> DataFrame:
-    """Sessions with start, end, hours, flows and attack flows.
+def session_buckets(df: DataFrame, gap_ms: float = HOUR_MS) -> DataFrame:
+    """Occupied time buckets of length ``gap_ms`` with their session, first and last start, flows and attacks.
 
-    Flows collapse to one row per time bucket and side of a session start, then to sessions.
+    A session starts at a bucket's first flow, so a bucket never holds flows of two sessions.
     """
-    bounds = cut(session_bounds(df, gap_ms))
-    width = gap_ms
-    # Every bucket lies inside one session except those in which one starts; a session starts at a bucket's
-    # first flow, so a bucket never holds flows of two sessions.
+    starts = session_bounds(df, gap_ms)
+    attacks = F.sum("label") if "label" in df.columns else F.sum(F.lit(0))
     per_bucket = (
-        df.withColumn("_b", F.floor(F.col("start_ms") / width))
+        df.withColumn("_b", F.floor(F.col("start_ms") / gap_ms))
         .groupBy("_b")
-        .agg(F.min("start_ms").alias("start_ms"), F.max("start_ms").alias("end_ms"), F.count("*").alias("flows"), F.sum("label").alias("attacks"))
+        .agg(F.min("start_ms").alias("start_ms"), F.max("start_ms").alias("end_ms"), F.count("*").alias("flows"), attacks.alias("attacks"))
     )
-    marks = bounds.select(F.floor(F.col("session_start") / width).alias("_b"), "session_id")
+    marks = starts.select(F.floor(F.col("session_start") / gap_ms).alias("_b"), "session_id")
     marked = cut(per_bucket.join(marks, "_b", "left")).withColumn("_chunk", F.floor(F.col("_b") / 4096))
     # Last session number seen so far: inside a chunk by an ordered pass, before it by the chunk table.
     tops = marked.groupBy("_chunk").agg(F.max("session_id").alias("_top"))
@@ -103,8 +101,18 @@ def sessionize(df: DataFrame, gap_ms: float = HOUR_MS) -> DataFrame:
     tops = tops.select("_chunk", F.max("_top").over(earlier).alias("_carry"))
     inside = Window.partitionBy("_chunk").orderBy("_b")
     known = marked.withColumn("_seen", F.max("session_id").over(inside)).join(tops, "_chunk")
-    numbered = known.withColumn("session_id", F.coalesce("_seen", "_carry"))
-    return numbered.groupBy("session_id").agg(
+    return known.withColumn("session_id", F.coalesce("_seen", "_carry")).drop("_seen", "_carry", "_chunk")
+
+
+def assign_sessions(df: DataFrame, gap_ms: float = HOUR_MS) -> DataFrame:
+    """Rows with the number of their session: an equi-join on the time bucket."""
+    table = cut(session_buckets(df, gap_ms).select("_b", "session_id"))
+    return df.withColumn("_b", F.floor(F.col("start_ms") / gap_ms)).join(table, "_b").drop("_b")
+
+
+def sessionize(df: DataFrame, gap_ms: float = HOUR_MS) -> DataFrame:
+    """Sessions with start, end, hours, flows and attack flows; flows collapse to time buckets first."""
+    return session_buckets(df, gap_ms).groupBy("session_id").agg(
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
         ((F.max("end_ms") - F.min("start_ms")) / HOUR_MS).alias("hours"),

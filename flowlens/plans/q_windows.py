@@ -61,9 +61,7 @@ def _(spark, sf):
       GROUP BY 1 HAVING count(*) >= 2))""")
 def _(spark, sf):
     table = W.window_table(W.assign_windows(V.flows_events(spark, sf), 600)).withColumn("start_ms", F.col("window_id") * 600000.0)
-    bounds = W.session_bounds(table, W.HOUR_MS)
-    near = (table["start_ms"] >= bounds["session_start"]) & (table["start_ms"] < bounds["next_start"])
-    return table.join(bounds, near).select("session_id", "window_id")
+    return W.assign_sessions(table, W.HOUR_MS).select("session_id", "window_id")
 
 
 @query("timeline", f"""
