@@ -71,6 +71,7 @@ def test_large_windows_give_the_same_structure(spark):
     ends = cut(G.endpoints(pairs))
     key = lambda d: {(r["window_id"], r["host"]): (round(r["pagerank"], 9), r["k"], r["triangles"]) for r in d.collect()}
     batched = key(G.structure(pairs, ends))
+    assert key(G.structure(pairs, ends, max_pairs=10)) == batched
     sizes = sorted(r["count"] for r in pairs.groupBy("window_id").count().collect())
     assert key(G.structure(pairs, ends, max_pairs=sizes[1])) == batched
 
