@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from flowlens.llm import q_mixing, q_simhash
+from flowlens.llm import q_bpe, q_mixing, q_simhash
 
-MODULES = [q_mixing, q_simhash]
+MODULES = [q_mixing, q_bpe, q_simhash]
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
