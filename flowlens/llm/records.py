@@ -15,6 +15,7 @@ before it in the file (u64 each): a reader in shuffled order seeks with it.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -33,7 +34,7 @@ from flowlens.tables import cut, new_path
 HEAD = struct.Struct("<QI")
 START = struct.Struct("<BqB")
 #: Distinct pieces of text whose ids a worker remembers, bytes of text worked on at once, and bytes a reader holds.
-PIECES, BLOCK, HELD = 200_000, 1 << 21, 1 << 23
+PIECES, BLOCK, HELD = 300_000, 1 << 20, 1 << 23
 
 
 def masked(data: bytes) -> int:
@@ -91,31 +92,60 @@ class Library:
     """Ids of texts by the tokenizers library, each distinct piece of a text encoded once.
 
     A text is cut where white space follows something else. No token of the byte-level split crosses such a place, and
-    the split of a piece depends on nothing outside it, so the ids of a text are those of its pieces in a row.
+    the split of a piece depends on nothing outside it, so the ids of a text are those of its pieces in a row. New pieces
+    are given to the library in a row as well; the bytes that each token stands for tell where one ends.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, list[int]] = {}
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.bytes[i] = len(token)  # one character of a byte-level token per byte
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.bytes[i] = len(token.content.encode())
+        self.known: dict[bytes, bytes] = {}
 
     @staticmethod
     def cuts(data: np.ndarray) -> np.ndarray:
         """Where a byte of ASCII white space follows a character that is no white space of any kind."""
         space = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
-        p1, p2, p3 = (np.concatenate((np.zeros(k, np.uint8), data[:-k] if k else data)) for k in (1, 2, 3))
+        p1, p2, p3 = (np.concatenate((np.zeros(k, np.uint8), data))[: len(data)] for k in (1, 2, 3))
         wide = ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | (((p3 >= 0xE1) & (p3 <= 0xE3)) & np.isin(p2, (0x80, 0x81, 0x9A)))
         before = np.concatenate(([False], ~space[:-1]))
         return np.flatnonzero(space & before & ~wide)
 
+    def look_up(self, new: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces, as unsigned 32-bit numbers."""
+        out = [b""] * len(new)
+        row = [i for i, p in enumerate(new) if p[:1].isspace() and not p.decode()[-1].isspace() and p[-1] > 31]
+        rest = set(range(len(new))) - set(row)
+        for i in rest:
+            out[i] = np.array(self._ids(new[i]), "<u4").tobytes()
+        for lo in range(0, len(row), 4096):
+            part = row[lo : lo + 4096]
+            ids = np.array(self._ids(b"".join(new[i] for i in part)), "<u4")
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(new[i]) for i in part])) + 1
+            data = ids.tobytes()
+            for i, a, b in zip(part, [0, *(ends[:-1] * 4).tolist()], (ends * 4).tolist()):
+                out[i] = data[a:b]
+        return out
+
+    def _ids(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in ``data`` and the offsets of the texts in them."""
         lo = int(offsets[0])
         data, offsets = data[lo : int(offsets[-1])], offsets - lo
-        edges = np.union1d(self.cuts(data), offsets) if len(data) else np.zeros(1, np.int64)
+        mark = np.zeros(len(data) + 1, bool)
+        mark[self.cuts(data)] = True
+        mark[offsets] = True
+        edges = np.flatnonzero(mark)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data.tobytes())])
         coded = pieces.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -124,16 +154,27 @@ class Library:
         if len(self.known) + len(new) > PIECES:
             self.known.clear()
             new = distinct
-        found = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False))))
-        lists = [found[p] if p in found else self.known[p] for p in distinct]
+        found = dict(zip(new, self.look_up(new)))
+        ids = [found[p] if p in found else self.known[p] for p in distinct]
         self.known.update((p, i) for p, i in found.items() if len(p) <= 64)
-        flat = np.fromiter((t for x in lists for t in x), np.uint32)
-        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         n = count[code]
         before = np.concatenate(([0], np.cumsum(n)))
         begin = np.cumsum(count) - count
-        ids = flat[np.arange(before[-1]) - np.repeat(before[:-1], n) + np.repeat(begin[code], n)]
-        return ids, before[np.searchsorted(edges, offsets)]
+        out = flat[np.arange(before[-1]) - np.repeat(before[:-1], n) + np.repeat(begin[code], n)]
+        return out, before[np.searchsorted(edges, offsets)]
+
+
+_LIBRARIES: dict[str, Library] = {}
+
+
+def library_of(path: str) -> Library:
+    """The worker's own library, with what it remembers from earlier tasks."""
+    if path not in _LIBRARIES:
+        _LIBRARIES.clear()
+        _LIBRARIES[path] = Library(path)
+    return _LIBRARIES[path]
 
 
 def write_records(
@@ -164,7 +205,7 @@ def write_records(
             while lo < len(names):
                 hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1)
                 if library is None:
-                    library = Library(tokenizer)
+                    library = library_of(tokenizer)
                     width = 2 if library.tokenizer.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
                     store, where = pafs.FileSystem.from_uri(path)
                     store.create_dir(where.rpartition("/")[0], recursive=True)
