@@ -31,10 +31,13 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import utf8
 from flowlens.tables import cut, new_path
 
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b",.;:!?\"$%&*#)(/+-")] = True
+_LETTER[65:91] = _LETTER[97:123] = True
 HEAD = struct.Struct("<QI")
 START = struct.Struct("<BqB")
 #: Distinct pieces of text whose ids a worker remembers, bytes of text worked on at once, and bytes a reader holds.
-PIECES, BLOCK, HELD = 300_000, 1 << 20, 1 << 23
+PIECES, BLOCK, HELD = 200_000, 1 << 20, 1 << 23
 
 
 def masked(data: bytes) -> int:
@@ -91,9 +94,10 @@ def read_at(path: str, numbers: list[int]) -> list[tuple[int | None, np.ndarray]
 class Library:
     """Ids of texts by the tokenizers library, each distinct piece of a text encoded once.
 
-    A text is cut where white space follows something else. No token of the byte-level split crosses such a place, and
-    the split of a piece depends on nothing outside it, so the ids of a text are those of its pieces in a row. New pieces
-    are given to the library in a row as well; the bytes that each token stands for tell where one ends.
+    A text is cut where white space follows something else, and where a mark follows a letter. No token of the byte-level
+    split crosses such a place, and the split of a piece depends on nothing outside it, so the ids of a text are those of its
+    pieces in a row. New pieces that begin with white space are given to the library in a row as well; the bytes that
+    each token stands for tell where one ends. Pieces are remembered in two generations, so that frequent ones stay known.
     """
 
     def __init__(self, path: str):
@@ -109,15 +113,19 @@ class Library:
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self.bytes[i] = len(token.content.encode())
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def cuts(data: np.ndarray) -> np.ndarray:
-        """Where a byte of ASCII white space follows a character that is no white space of any kind."""
+        """Where ASCII white space follows a character that is no white space of any kind, or a mark follows an ASCII letter.
+
+        The apostrophe can begin a contraction and the bar can stand inside a special token, so they do not count as marks.
+        """
         space = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
         p1, p2, p3 = (np.concatenate((np.zeros(k, np.uint8), data))[: len(data)] for k in (1, 2, 3))
         wide = ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | (((p3 >= 0xE1) & (p3 <= 0xE3)) & np.isin(p2, (0x80, 0x81, 0x9A)))
         before = np.concatenate(([False], ~space[:-1]))
-        return np.flatnonzero(space & before & ~wide)
+        return np.flatnonzero((space & before & ~wide) | (_MARK[data] & _LETTER[p1]))
 
     def look_up(self, new: list[bytes]) -> list[bytes]:
         """Ids of distinct pieces, as unsigned 32-bit numbers."""
@@ -150,13 +158,19 @@ class Library:
         coded = pieces.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         distinct = coded.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(new) > PIECES:
-            self.known.clear()
-            new = distinct
-        found = dict(zip(new, self.look_up(new)))
-        ids = [found[p] if p in found else self.known[p] for p in distinct]
-        self.known.update((p, i) for p, i in found.items() if len(p) <= 64)
+        ids = [self.known.get(p) for p in distinct]
+        new = []
+        for i in [i for i, found in enumerate(ids) if found is None]:
+            if (found := self.older.get(distinct[i])) is None:
+                new.append(i)
+            else:
+                ids[i] = self.known[distinct[i]] = found
+        for i, found in zip(new, self.look_up([distinct[i] for i in new])):
+            ids[i] = found
+            if len(distinct[i]) <= 64:
+                self.known[distinct[i]] = found
+        if len(self.known) > PIECES:
+            self.known, self.older = {}, self.known
         flat = np.frombuffer(b"".join(ids), "<u4")
         count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         n = count[code]
