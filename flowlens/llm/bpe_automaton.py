@@ -11,7 +11,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from flowlens.llm.common import packed, unpacked
 
 #: The split pattern of the vocabularies that this encoder reads, and its contractions.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -293,10 +295,8 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids: str =
     """
     tables = docs.sparkSession.sparkContext.broadcast(load(path))
     key = uuid.uuid4().hex
-    keep = docs.drop(ids, decoded)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields) + f", `{ids}` array<int>, `{decoded}` string"
-    source = keep.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    names = keep.columns
+    source = packed(docs, text_col, (ids, decoded))
+    schema = T.StructType([source.schema["_row"], T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def work(batches):
         encoder = _ENCODERS.get(key)
@@ -313,8 +313,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids: str =
                     hi += 1
                 got, offsets, back = encoder.encode(texts[lo:hi])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))
-                kept = [b.column(i).slice(lo, hi - lo) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(back, pa.string())], names=[*names, ids, decoded])
+                yield pa.RecordBatch.from_arrays([b.column("_row").slice(lo, hi - lo), lists, pa.array(back, pa.string())], names=["_row", ids, decoded])
                 lo = hi
 
-    return source.mapInArrow(work, schema)
+    return unpacked(source.mapInArrow(work, schema), ids, decoded)

@@ -26,6 +26,21 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+def packed(df: DataFrame, text_col: str, new: tuple[str, ...] = (), **more) -> DataFrame:
+    """Every row as one column ``_row``, its text (null: empty) as ``_text``, and more columns: no name in the rows can clash with a name at work.
+
+    Columns named like ``new`` ones are left out of the row.
+    """
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in new}]
+    row = F.struct(*keep) if keep else F.struct(F.lit(None).cast("string").alias("_none"))
+    return df.select(row.alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[c.alias(n) for n, c in more.items()])
+
+
+def unpacked(df: DataFrame, *new: str) -> DataFrame:
+    """The columns of ``_row`` and the new ones behind them."""
+    return df.select("_row.*", *[F.col(f"`{n}`") for n in new])
+
+
 def fold(column, modulus: int):
     """crc32 of a number written as text, modulo ``modulus``."""
     return F.crc32(column.cast("string").cast("binary")) % modulus

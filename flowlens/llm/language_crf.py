@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from flowlens.llm.common import packed, unpacked
 from flowlens.tables import cut
 
 #: Labelled rows that a language is learned from, at most; words of the lexicon; rounds of fitting and their rate.
@@ -268,11 +270,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang: str =
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     new = [c for c in (lang, score, mixture) if c]
-    keep = docs.drop(*new)
-    names = keep.columns
-    source = keep.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields)
-    schema += f", `{lang}` string, `{score}` double" + (f", `{mixture}` map<string, double>" if mixture else "")
+    source = packed(docs, text_col, tuple(new))
+    kinds = [T.StringType(), T.DoubleType(), T.MapType(T.StringType(), T.DoubleType())]
+    schema = T.StructType([source.schema["_row"], *[T.StructField(n, k) for n, k in zip(new, kinds)]])
 
     def work(batches):
         model = held.value
@@ -280,9 +280,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang: str =
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 got, sure, share = predict(model, part.column("_text").to_pylist())
-                out = [*(part.column(i) for i in range(len(names))), pa.array(got), pa.array(sure, pa.float64())]
+                out = [part.column("_row"), pa.array(got, pa.string()), pa.array(sure, pa.float64())]
                 if mixture:
                     out.append(pa.array([list(zip(model.langs, s)) for s in share.tolist()], pa.map_(pa.string(), pa.float64())))
-                yield pa.RecordBatch.from_arrays(out, names=[*names, *new])
+                yield pa.RecordBatch.from_arrays(out, names=["_row", *new])
 
-    return source.mapInArrow(work, schema)
+    return unpacked(source.mapInArrow(work, schema), *new)

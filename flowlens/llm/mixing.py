@@ -97,18 +97,22 @@ def mix(
     empty table gives an empty result; a source of size 0 has target 0.
     """
     rows = cut(sized(docs, id_col, text_col, source_col, seed), "sizes")
-    return taken_of(rows, weights, most)
+    return with_taken(rows, cut_table(rows, weights, most))
 
 
-def taken_of(rows: DataFrame, weights: list[int] | None = None, most: int = 3) -> DataFrame:
-    """``mix`` for rows that already carry source, size and key; further columns stay."""
+def cut_table(rows: DataFrame, weights: list[int] | None = None, most: int = 3) -> DataFrame:
+    """One row per source: its size, target, whole epochs, and where in the order of keys its rest ends. ``rows`` has source, size, key."""
     shares = cut(budgets(rows.select("source", "size"), weights or [1, 2, 3], most), "shares")
     found = cuts(rows.select("source", "size", "key"), shares)
     s = shares.select(F.col("source").alias("_s"), "source_size", "target", "epochs")
     c = found.select(F.col("source").alias("_c"), "cut_key", F.col("left").alias("_left"), F.col("tied").alias("_tied"))
-    per = s.join(c, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c")
+    return s.join(c, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c")
+
+
+def with_taken(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with source, size and key, and the words that a mix takes of each; further columns stay."""
     more = F.when(F.col("cut_key").isNull() | (F.col("key") > F.col("cut_key")), F.lit(0)).when(
         F.col("key") < F.col("cut_key"), F.col("size")
     ).otherwise(F.expr("(_left * size) div _tied"))
-    joined = rows.join(per, F.col("source").eqNullSafe(F.col("_s")))
+    joined = rows.join(table, F.col("source").eqNullSafe(F.col("_s")))
     return joined.withColumn("taken", (F.col("epochs") * F.col("size") + more).cast("bigint")).drop("_s", "epochs", "cut_key", "_left", "_tied")

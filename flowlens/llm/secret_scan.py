@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.common import packed, unpacked
+
 # The shapes. Every key word is matched in either case.
 _KEYS = ["password", "passwd", "secret", "token", "api_?key"]
 _EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in _KEYS)
@@ -125,8 +127,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "spans") ->
     empty; other columns stay, except one named like ``out``, which is replaced. Texts of any length are scanned whole.
     """
     text = F.col("_text")
-    keep = [c for c in docs.columns if c != out]
-    df = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    df = packed(docs, text_col, (out,))
     lowered = text.rlike(f"{_EITHER}")
     df = _with_matches(df, "assign", ASSIGN, lowered)
     value = F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2))
@@ -143,11 +144,11 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "spans") ->
             lambda c, at: F.transform(entropy_windows(c), lambda w: F.struct((at + w["start"]).alias("start"), (at + w["end"]).alias("end"), F.lit(3).alias("kind"))),
         )
     )
-    df = df.select(*keep, *[x.alias(f"_s{i}") for i, x in enumerate((long_enough, _as_spans("access", 1), _as_spans("hex", 2), found))])
+    df = df.select("_row", *[x.alias(f"_s{i}") for i, x in enumerate((long_enough, _as_spans("access", 1), _as_spans("hex", 2), found))])
     order = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     ordered = F.array_sort(F.transform(F.concat(*[F.coalesce(f"_s{i}", _no_spans()) for i in range(4)]), order))
     back = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-    return df.select(*keep, F.transform(ordered, back).alias(out))
+    return unpacked(df.select("_row", F.transform(ordered, back).alias(out)), out)
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

@@ -49,8 +49,12 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
 
 def fingerprint_of(text: bytes | None, words: int) -> int:
     """Bit i is set if it is set in over half of the shingle hashes; no word: zero. As a signed 64-bit number."""
+    return fingerprint_from(shingle_hashes(text or b"", words))
+
+
+def fingerprint_from(hashes) -> int:
     ones, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text or b"", words):
+    for h in hashes:
         for piece in np.array_split(h, max(1, len(h) // 65_536)):
             ones += np.unpackbits(piece.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
@@ -150,11 +154,15 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(old[place] == label, new[place], label)
 
 
-def tree_edges(group: np.ndarray, fps: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join the linked fingerprints of each group, at most one per fingerprint.
+def tree_edges(
+    group: np.ndarray, fps: np.ndarray, role: np.ndarray, radius: int, names: np.ndarray | None = None, alike=None, leaders: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the linked fingerprints of each group, at most one per fingerprint, written with ``names`` (the fingerprints themselves).
 
-    role 1: in the tree and searching, 2: in the tree only, 0: searching only.
+    role 1: in the tree and searching, 2: in the tree only, 0: searching only. ``alike`` decides about pairs of rows that the trees
+    found. With ``leaders`` only rows that no row before them is linked with search, so that a large group costs its size.
     """
+    names = fps if names is None else names
     _, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
     some = count[inverse] > 1
     index = np.flatnonzero(some)
@@ -162,7 +170,7 @@ def tree_edges(group: np.ndarray, fps: np.ndarray, role: np.ndarray, radius: int
     local = fps[some]
     member = np.flatnonzero(role > 0)
     if not len(member):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return names[:0], names[:0]
     forest = Forest(group[member], local[member])
     heads = group[member][forest.first]
     label = np.arange(len(local))
@@ -170,12 +178,26 @@ def tree_edges(group: np.ndarray, fps: np.ndarray, role: np.ndarray, radius: int
     at = np.minimum(np.searchsorted(heads, group[search]), len(heads) - 1)
     known = heads[at] == group[search]
     search, root = search[known], forest.first[at[known]]
-    for lo in range(0, len(search), 4096):
-        mine = search[lo : lo + 4096]
-        for q, node in forest.search(local[mine], root[lo : lo + 4096], radius):
-            label = _joined(label, mine[q], member[node])
-    linked = np.flatnonzero(label != np.arange(len(label)))
-    return fps[index[linked]], fps[index[label[linked]]]
+    step = 256 if leaders else 4096
+    linked = np.zeros(len(local), bool)
+    while len(search):
+        if leaders:
+            still = ~linked[search]
+            search, root = search[still], root[still]
+        mine = search[:step]
+        for q, node in forest.search(local[mine], root[:step], radius):
+            q, node = mine[q], member[node]
+            keep = label[q] != label[node]
+            q, node = q[keep], node[keep]
+            if alike is not None and len(q):
+                keep = alike(index[q], index[node])
+                q, node = q[keep], node[keep]
+            if len(q):
+                label = _joined(label, q, node)
+                linked[node] = True
+        search, root = search[step:], root[step:]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return names[index[moved]], names[index[label[moved]]]
 
 
 def fingerprint_edges(distinct: DataFrame, radius: int = 3, blocks: int = 5, tree: int = TREE) -> DataFrame:
@@ -246,3 +268,90 @@ def near_duplicates(
     """
     rows = cut(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], "text", words), "simhash")
     return rows.join(groups(rows, "id", radius, blocks, tree), "fp").select("id", "fp", F.col("lead").alias("component_id"))
+
+
+#: Minima of a sketch, minima of a band, and the bits by which similar texts may differ in their fingerprints.
+SKETCH, BAND, WIDE = 64, 4, 20
+
+
+def sketch_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """The least value of every one of SKETCH hash functions over the shingles; no shingle: the largest value."""
+    low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    odd = np.random.default_rng(64).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for h in hashes:
+        for piece in np.array_split(h, max(1, len(h) // 4096)):
+            mixed = piece ^ (piece >> np.uint64(31))
+            for i in range(SKETCH):
+                low[i] = min(low[i], int(((mixed * odd[i]) >> np.uint64(32)).min()))
+    return low
+
+
+def similar_groups(
+    docs: DataFrame, lead_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = WIDE, tree: int = TREE
+) -> DataFrame:
+    """(lead, first): for every row of ``docs`` the smallest ``lead_col`` of its group of similar texts.
+
+    Texts whose shingle sets have a Jaccard similarity of 0.8 differ in more fingerprint bits than blocks of bits can tell apart, so shards are
+    dealt by bands of least shingle hashes: at a similarity of 0.8 two texts meet in one of the 16 shards with a probability of 0.9998. Each shard is a BK-tree
+    over fingerprints; what it finds within ``radius`` bits is linked if the sketches agree in ``similarity`` of
+    their minima, less one standard error. In a shard only rows that are linked with no earlier one search, so a group of copies costs its size.
+    Texts with equal fingerprint and sketch are one row from the start. A shard larger than ``tree`` becomes several trees.
+
+    Null and wordless texts are similar to each other only. An empty table gives an empty result.
+    """
+    least = similarity - (similarity * (1 - similarity) / SKETCH) ** 0.5
+    narrow = docs.select(F.col(lead_col).alias("lead"), F.col(text_col).cast("binary").alias("_text"))
+
+    def work(batches):
+        for b in batches:
+            fps, sketches = [], []
+            for t in b.column("_text").to_pylist():
+                hashes = list(shingle_hashes(t or b"", words))
+                fps.append(fingerprint_from(hashes))
+                sketches.append(sketch_of(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("lead"), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], names=["lead", "fp", "sketch"])
+
+    rows = narrow.mapInArrow(work, f"lead {narrow.schema['lead'].dataType.simpleString()}, fp bigint, sketch binary")
+    rows = cut(rows.withColumn("node", F.xxhash64("fp", "sketch")), "sketches")
+    per = cut(rows.groupBy("node", "fp", "sketch").agg(F.min("lead").alias("lead")), "texts")
+    bands = [F.struct(F.lit(i).alias("way"), F.xxhash64(F.substring("sketch", 4 * BAND * i + 1, 4 * BAND)).alias("shard")) for i in range(SKETCH // BAND)]
+    dealt = per.select("node", F.explode(F.array(*bands)).alias("_w")).select("node", "_w.way", "_w.shard")
+    shards = dealt.groupBy("way", "shard").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    shards = cut(shards.select("way", "shard", F.ceil(F.col("n") / tree).cast("int").alias("trees")), "shards")
+    dealt = dealt.join(shards, ["way", "shard"]).join(per.select("node", "fp", "sketch"), "node")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+    dealt = dealt.select("way", "shard", "tree", (F.col("tree") == F.col("own")).cast("int").alias("role"), "fp", "node", "sketch")
+    keys: list[str | Column] = ["way", "shard", "tree"]
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, F.col("role").desc(), "fp", "node")
+
+    def link(batches):
+        held, n = [], 0
+
+        def settle(last: bool):
+            nonlocal held, n
+            way, shard, part, role, fps, node, sketch = (np.concatenate([h[i] for h in held]) for i in range(7))
+            new = np.ones(len(fps), bool)
+            new[1:] = (way[1:] != way[:-1]) | (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])
+            group = np.cumsum(new)
+            alike = lambda i, j: np.concatenate([(sketch[i[k : k + 65_536]] == sketch[j[k : k + 65_536]]).mean(1) >= least for k in range(0, len(i), 65_536)])
+            a, b = tree_edges(group, fps, role, radius, node, alike, leaders=True)
+            held, n = [], 0
+            if not last:
+                stay = (group == group[-1]) & (role > 0)
+                held, n = [[way[stay], shard[stay], part[stay], np.full(stay.sum(), 2), fps[stay], node[stay], sketch[stay]]], int(stay.sum())
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            ints = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)]
+            held.append([*ints, np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32).reshape(-1, SKETCH)])
+            n += batch.num_rows
+            if n >= HELD // 2 + len(held[0][0]):
+                yield settle(False)
+        if held:
+            yield settle(True)
+
+    edges = dealt.mapInArrow(link, "a bigint, b bigint")
+    roots = cut(connected(edges), "roots")
+    named = per.select("node", "lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = cut(named.join(named.groupBy("root").agg(F.min("lead").alias("first")), "root").select("node", "first"), "groups")
+    return rows.select("lead", "node").join(named, "node").select("lead", "first")

@@ -10,8 +10,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowlens.llm.common import LOWER_ASCII
+from flowlens.llm.common import LOWER_ASCII, packed, unpacked
 from flowlens.llm.language_crf import labelled_sample
 
 #: Labelled rows of a class that are learned from, at most; the share of them that the dictionaries are made of (the rest calibrates).
@@ -163,9 +164,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     nothing; an empty table stays empty; a column named like ``out`` is replaced. A long text is compressed window by window.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.drop(out)
-    names = keep.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields) + f", `{out}` double"
+    source = packed(docs, text_col, (out,))
 
     def work(batches):
         model = held.value
@@ -173,7 +172,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                scores = [score(model, meter, t) for t in part.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(scores, pa.float64())], names=[*names, out])
+                scores = [score(model, meter, t.encode()) for t in part.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(scores, pa.float64())], names=["_row", out])
 
-    return keep.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")).cast("binary")).mapInArrow(work, schema)
+    return unpacked(source.mapInArrow(work, T.StructType([source.schema["_row"], T.StructField(out, T.DoubleType())])), out)
