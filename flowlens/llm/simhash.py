@@ -271,13 +271,13 @@ def near_duplicates(
 
 
 #: Minima of a sketch, minima of a band, and the bits by which similar texts may differ in their fingerprints.
-SKETCH, BAND, WIDE = 64, 4, 20
+SKETCH, BAND, WIDE = 128, 5, 20
 
 
 def sketch_of(hashes: list[np.ndarray]) -> np.ndarray:
     """The least value of every one of SKETCH hash functions over the shingles; no shingle: the largest value."""
     low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
-    odd = np.random.default_rng(64).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    odd = np.random.default_rng(SKETCH).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for h in hashes:
         for piece in np.array_split(h, max(1, len(h) // 4096)):
             mixed = piece ^ (piece >> np.uint64(31))
@@ -292,14 +292,14 @@ def similar_groups(
     """(lead, first): for every row of ``docs`` the smallest ``lead_col`` of its group of similar texts.
 
     Texts whose shingle sets have a Jaccard similarity of 0.8 differ in more fingerprint bits than blocks of bits can tell apart, so shards are
-    dealt by bands of least shingle hashes: at a similarity of 0.8 two texts meet in one of the 16 shards with a probability of 0.9998. Each shard is a BK-tree
+    dealt by bands of least shingle hashes: at a similarity of 0.8 two texts meet in one of the 25 shards with a probability of 0.9999. Each shard is a BK-tree
     over fingerprints; what it finds within ``radius`` bits is linked if the sketches agree in ``similarity`` of
-    their minima, less one standard error. In a shard only rows that are linked with no earlier one search, so a group of copies costs its size.
+    their minima, less two standard errors. In a shard only rows that are linked with no earlier one search, so a group of copies costs its size.
     Texts with equal fingerprint and sketch are one row from the start. A shard larger than ``tree`` becomes several trees.
 
     Null and wordless texts are similar to each other only. An empty table gives an empty result.
     """
-    least = similarity - (similarity * (1 - similarity) / SKETCH) ** 0.5
+    least = similarity - 2 * (similarity * (1 - similarity) / SKETCH) ** 0.5
     narrow = docs.select(F.col(lead_col).alias("lead"), F.col(text_col).cast("binary").alias("_text"))
 
     def work(batches):
