@@ -167,7 +167,7 @@ def tree_edges(
     some = count[inverse] > 1
     index = np.flatnonzero(some)
     group, role = group[some], role[some]
-    local = fps[some]
+    local = np.ascontiguousarray(fps[some]).view(np.uint64)  # bits of signed numbers are counted without their sign
     member = np.flatnonzero(role > 0)
     if not len(member):
         return names[:0], names[:0]
