@@ -244,21 +244,24 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float], np.
     return names, np.clip(np.where(known, share[np.arange(len(top)), top], 0.0), 0, 1).tolist(), share
 
 
-def labelled_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> list:
-    """At most ``per_language`` labelled rows of each language: the row with the least hash in each of so many hash buckets."""
-    own = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = own.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    bucket = F.pmod(F.xxhash64(F.lit("bucket"), "id"), F.lit(per_language))
-    chosen = ids.groupBy("lang", bucket.alias("b")).agg(F.min(F.struct(F.xxhash64(F.lit("order"), "id").alias("h"), "id")).alias("m"))
-    chosen = cut(chosen.select(F.col("m.id").alias("_id")), "sample")
-    rows = own.join(chosen, F.col(id_col).eqNullSafe(F.col("_id"))).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return sorted(rows.dropDuplicates(["lang", "id"]).collect(), key=lambda r: (r.lang, str(r.id), r.text))
+def labelled_sample(docs: DataFrame, told: DataFrame, id_col: str, text_col: str, per_label: int) -> list:
+    """(id, label, text) of at most ``per_label`` rows of each label of ``told`` (id, label): the row with the least hash in each of so many buckets.
+
+    The rows are chosen by their ids alone, in one pre-aggregated pass; the texts are then looked up for the chosen ones, whose number is bounded.
+    """
+    bucket = F.pmod(F.xxhash64(F.lit("bucket"), "id"), F.lit(per_label))
+    chosen = told.groupBy("label", bucket.alias("b")).agg(F.min(F.struct(F.xxhash64(F.lit("order"), "id").alias("h"), "id")).alias("m"))
+    chosen = cut(chosen.select(F.col("m.id").alias("_id"), F.col("label").alias("_label")), "sample")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(chosen, F.col("id").eqNullSafe(F.col("_id"))).where(F.col("text").isNotNull()).select("id", F.col("_label").alias("label"), "text")
+    return sorted(rows.dropDuplicates(["label", "id"]).collect(), key=lambda r: (r.label, str(r.id), r.text))
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model learned from the rows where ``learn`` holds: whole texts of at most ``per_language`` of them for each language."""
-    rows = labelled_sample(docs, learn, id_col, text_col, lang_col, per_language)
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    told = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"))
+    rows = labelled_sample(docs, told, id_col, text_col, per_language)
+    return fit([r.text for r in rows], [r.label for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred", score: str = "lang_score", mixture: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from flowlens.llm.common import LOWER_ASCII, packed, unpacked
 from flowlens.llm.language_crf import labelled_sample
+from flowlens.tables import cut
 
 #: Labelled rows of a class that are learned from, at most; the share of them that the dictionaries are made of (the rest calibrates).
 PER_CLASS, SHARE = 1500, 0.65
@@ -148,12 +149,11 @@ def score(model: Model, meter: Meter, text: bytes) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """A model learned from whole texts of at most ``per_class`` labelled rows of each class, where ``learn`` holds."""
-    told = labels.where(F.col(label_col).isin(0, 1) & learn).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    rate = told.agg(F.avg("_label")).first()[0]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(told, F.col("id") == F.col("_id")).select("id", "text", "_label")
-    rows = labelled_sample(rows, F.lit(True), "id", "text", "_label", per_class)
-    rows = sorted(rows, key=lambda r: zlib.crc32(r.text.encode()))
-    distinct = {r.text: r.lang for r in rows}
+    told = labels.where(F.col(label_col).isin(0, 1) & learn & F.col(id_col).isNotNull())
+    told = cut(told.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")), "told")
+    rate = told.agg(F.avg("label")).first()[0]
+    rows = sorted(labelled_sample(docs, told, id_col, text_col, per_class), key=lambda r: zlib.crc32(r.text.encode()))
+    distinct = {r.text: r.label for r in rows}
     return fit([t.encode() for t in distinct], list(distinct.values()), rate or 0.0)
 
 
