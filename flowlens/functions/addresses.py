@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,10 +15,10 @@ PRIVATE_V4 = [
     "255.255.255.255/32",
 ]
 PUBLIC_V4 = ["192.0.0.9", "192.0.0.10"]
-# IPv6 networks that are not globally reachable, and networks excepted from them.
+# IPv6 networks that are not globally reachable, and networks excepted from them, as Python 3.13 lists them.
 PRIVATE_V6 = [
-    "::1/128", "::/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16",
-    "3fff::/20", "fc00::/7", "fe80::/10",
+    "::1/128", "::/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16",
+    "fc00::/7", "fe80::/10",
 ]
 PUBLIC_V6 = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
 
@@ -74,13 +75,39 @@ def _in_v6(groups: Column, network: str) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _plain_v6(text: Column) -> Column:
+    """IPv6 text without its scope and with a dotted tail written as two groups; NULL if either is malformed."""
+    bare = F.when(text.contains("%"), F.when(text.rlike("^[^%]*%[^%]+$"), F.split_part(text, F.lit("%"), F.lit(1)))).otherwise(text)
+
+    def undotted(bare: Column) -> Column:
+        dotted = F.regexp_extract(bare, r":([0-9.]*\.[0-9.]*)$", 1)
+        pair = lambda v: F.concat_ws(":", F.lower(F.hex(F.shiftright(v, 16))), F.lower(F.hex(v.bitwiseAND(65535))))
+        head = F.left(bare, F.length(bare) - F.length(dotted))
+        return F.when(dotted == "", bare).otherwise(_with(ipv4_number(dotted), lambda v: F.when(v.isNotNull(), F.concat(head, pair(v)))))
+
+    return _with(bare, undotted)
+
+
+def _private_v4(value: Column) -> Column:
+    return reduce(lambda a, b: a | b, [_in_v4(value, n) for n in PRIVATE_V4]) & ~value.isin([_v4_int(a) for a in PUBLIC_V4])
+
+
 def is_private(address: Column) -> Column:
-    """1.0 for an address that is not globally reachable, 0.0 for the others and for malformed text."""
-    value = ipv4_number(address)
-    v4 = reduce(lambda a, b: a | b, [_in_v4(value, n) for n in PRIVATE_V4]) & ~value.isin([_v4_int(a) for a in PUBLIC_V4])
-    low = F.lower(address)
-    groups = _ipv6_groups(low)
-    v6 = reduce(lambda a, b: a | b, [_in_v6(groups, n) for n in PRIVATE_V6])
-    v6 = v6 & ~reduce(lambda a, b: a | b, [_in_v6(groups, n) for n in PUBLIC_V6])
-    answer = F.when(value.isNotNull(), v4).when(low.contains(":") & low.rlike(V6_PATTERN), v6).otherwise(F.lit(False))
+    """1.0 for an address that is not globally reachable, 0.0 for the others and for malformed text.
+
+    A mapped address (``::ffff:a.b.c.d``) is judged by its IPv4 part, and a scope (``%eth0``) does not matter.
+    """
+    def of_groups(groups: Column) -> Column:
+        listed = reduce(lambda a, b: a | b, [_in_v6(groups, n) for n in PRIVATE_V6])
+        listed = listed & ~reduce(lambda a, b: a | b, [_in_v6(groups, n) for n in PUBLIC_V6])
+        mapped = F.get(groups, F.lit(6)).cast("bigint") * 65536 + F.get(groups, F.lit(7))
+        return F.when(_in_v6(groups, "::ffff:0:0/96"), _with(mapped, _private_v4)).otherwise(listed)
+
+    v6 = _with(_plain_v6(F.lower(address)), lambda low: F.when(low.rlike(V6_PATTERN), _with(_ipv6_groups(low), of_groups)))
+    answer = F.when(address.contains(":"), v6).otherwise(_with(ipv4_number(address), _private_v4))
     return F.coalesce(answer, F.lit(False)).cast("double")

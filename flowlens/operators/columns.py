@@ -82,9 +82,15 @@ def time_unit(col: Column) -> Column:
 
 
 def in_epoch_ms(col: Column, unit: Column) -> Column:
-    """A start-time cell in epoch milliseconds; text is read as a UTC timestamp, NULL if it is none."""
-    x = S.number(col)
-    parsed = F.unix_micros(F.try_to_timestamp(col.cast("string"))) / 1000.0
+    """A start-time cell in epoch milliseconds; NULL if it is no time.
+
+    Text is read as a UTC timestamp, whatever the session's zone, unless it names a zone or an offset itself.
+    """
+    x, text = S.number(col), F.trim(col.cast("string"))
+    timed = text.rlike(r"\d[T ]+\d")
+    zoned = text.rlike(r"(?i)(Z|UTC|GMT|UT|[+-]\d{1,2}(:?\d{2}){0,2}|[a-z]+/[a-z_/]+)\s*$")
+    instant = F.unix_micros(F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z")))))
+    parsed = F.when(timed, instant / 1000.0).otherwise(F.unix_date(text.try_cast("date")) * 86_400_000.0)
     return F.when(unit == "text", parsed).when(unit == "ns", x / 1e6).when(unit == "us", x / 1e3).when(unit == "s", x * 1000.0).otherwise(x)
 
 
@@ -196,14 +202,14 @@ def with_target(df: DataFrame, classes: DataFrame, col: str = "attack") -> DataF
     return df.join(classes, col)
 
 
-def log_columns(columns: Sequence[str]) -> list[str]:
-    heavy = re.compile(HEAVY_TAIL, re.IGNORECASE)
-    return [c for c in columns if heavy.search(c) and not c.startswith("proto_is_")]
+def heavy_tailed(name: str) -> bool:
+    """Does the name say bytes, packets, times and the like? Indicators of a protocol never do."""
+    return not name.startswith("proto_is_") and re.search(HEAVY_TAIL, name, re.IGNORECASE) is not None
 
 
 def log_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """log(1 + max(x, 0)) on the heavy-tailed columns among ``columns``."""
-    return df.withColumns({c: S.log1p_clip(F.col(c)) for c in log_columns(columns)})
+    return df.withColumns({c: S.log1p_clip(F.col(c)) for c in filter(heavy_tailed, columns)})
 
 
 def drop_features(df: DataFrame, names: Sequence[str]) -> DataFrame:

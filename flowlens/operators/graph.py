@@ -6,8 +6,6 @@ and bytes. It is built by one map-side combined aggregation of the flows; everyt
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -88,30 +86,35 @@ def _rank(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, where: np.ndarra
     return rank * size
 
 
-def _simple_triangles(src: np.ndarray, dst: np.ndarray, n: int, dense: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbours and triangles of every node of one window's undirected simple graph."""
+def _simple_triangles(src: np.ndarray, dst: np.ndarray, n: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours and triangles of every node of an undirected simple graph, which may hold many windows side by side.
+
+    Every edge leads from its end of fewer neighbours to the other one, so a node has few onward edges; two onward edges of one node are
+    sides of a triangle if their ends are linked. Pairs of onward edges are looked up in bounded slices.
+    """
     apart = src != dst
-    low, high = np.minimum(src, dst)[apart], np.maximum(src, dst)[apart]
-    if n <= dense:
-        linked = np.zeros((n, n), dtype=np.float32)
-        linked[low, high] = linked[high, low] = 1.0
-        return linked.sum(1), ((linked @ linked) * linked).sum(1) / 2.0
-    edges = np.unique(low * n + high)
+    edges = np.unique(np.minimum(src, dst)[apart].astype(np.int64) * n + np.maximum(src, dst)[apart])
     low, high = edges // n, edges % n
-    k = np.bincount(np.concatenate([low, high]), minlength=n)
-    turned = k[low] > k[high]
-    low, high = np.where(turned, high, low), np.where(turned, low, high)
-    order = np.argsort(low, kind="stable")
-    starts = np.searchsorted(low[order], np.arange(n + 1))
-    near = [set(high[order[starts[i]:starts[i + 1]]].tolist()) for i in range(n)]
-    count = np.zeros(n)
-    for u, v in zip(low.tolist(), high.tolist()):
-        third = near[u] & near[v]
-        if third:
-            count[u] += len(third)
-            count[v] += len(third)
-            count[list(third)] += 1
-    return k, count
+    k = np.bincount(low, minlength=n) + np.bincount(high, minlength=n)
+    back = (k[low] > k[high]) | ((k[low] == k[high]) & (low > high))
+    low, high = np.where(back, high, low), np.where(back, low, high)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    key = low * n + high
+    onward = np.searchsorted(low, low, "right") - np.arange(len(low)) - 1  # later onward edges of the same node
+    upto, count, at = np.cumsum(onward), np.zeros(n), 0
+    while at < len(low):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + step, "right")))
+        one = np.repeat(np.arange(at, end), onward[at:end])
+        two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(onward[at:end]) - onward[at:end], onward[at:end])
+        a, b = high[one], high[two]
+        first = np.searchsorted(key, a * n + b)
+        second = np.searchsorted(key, b * n + a)
+        linked = (key[np.minimum(first, len(key) - 1)] == a * n + b) | (key[np.minimum(second, len(key) - 1)] == b * n + a)
+        for node in (low[one], a, b):
+            count += np.bincount(node[linked], minlength=n)
+        at = end
+    return k.astype(float), count
 
 
 def _structure_of(iters: int, damping: float, with_triangles: bool):
@@ -126,30 +129,19 @@ def _structure_of(iters: int, damping: float, with_triangles: bool):
             "pagerank": _rank(src, dst, pdf["w"].to_numpy(float), where, iters, damping),
         }
         if with_triangles:
-            # Nodes are numbered window by window, so a window is a slice of nodes and a slice of sorted pairs.
-            order, k, tri = np.argsort(window, kind="stable"), [], []
-            pair_at = np.searchsorted(window[order], np.arange(len(windows) + 1))
-            node_at = np.searchsorted(where, np.arange(len(windows) + 1))
-            for i in range(len(windows)):
-                mine, base = order[pair_at[i]:pair_at[i + 1]], node_at[i]
-                a, b = _simple_triangles(src[mine] - base, dst[mine] - base, node_at[i + 1] - base)
-                k.append(a)
-                tri.append(b)
-            out |= {"k": np.concatenate(k).astype("int64"), "triangles": np.concatenate(tri).round().astype("int64")}
+            k, tri = _simple_triangles(src, dst, len(node))  # no edge leaves its window
+            out |= {"k": k.astype("int64"), "triangles": tri.astype("int64")}
         return pd.DataFrame(out)
 
     return run
 
 
-def structure_batched(
-    pairs: DataFrame, total_pairs: int, iters: int = 30, damping: float = 0.85, with_triangles: bool = True, batch: int = 200_000,
-) -> DataFrame:
-    """PageRank times hosts, neighbours and triangles for windows whose pair count the caller has bounded.
+def structure_grouped(pairs: DataFrame, iters: int = 30, damping: float = 0.85, with_triangles: bool = True) -> DataFrame:
+    """PageRank times hosts, neighbours and triangles, each window whole in one task; many windows share a vectorised call.
 
-    Windows are spread over hash buckets of about ``batch`` pairs; a bucket is one vectorised call.
+    The windows are dealt over ``spark.sql.shuffle.partitions`` hash buckets. The caller knows that a bucket of windows fits into a task.
     """
-    cores = pairs.sparkSession.sparkContext.defaultParallelism
-    buckets = max(cores, math.ceil(total_pairs / batch))
+    buckets = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = pairs.select("window_id", "src", "dst", "w").withColumn("_bucket", F.pmod(F.xxhash64("window_id"), F.lit(buckets)))
     schema = f"window_id {dict(pairs.dtypes)['window_id']}, host string, pagerank double" + (", k bigint, triangles bigint" if with_triangles else "")
     work = _structure_of(iters, damping, with_triangles)
@@ -157,7 +149,7 @@ def structure_batched(
 
 
 def pagerank_iterative(pairs: DataFrame, iters: int = 30, damping: float = 0.85) -> DataFrame:
-    """The same values by joins, for windows too large for one batch. Each step is written, so that a step
+    """The same values by joins, for windows too large for one task. Each step is written, so that a step
     never re-plans the ones before it and a lost executor costs one step.
 
     Rank that moves plus rank that is spread adds up to one, so only rounding needs the renormalisation:
@@ -187,31 +179,26 @@ def pagerank_iterative(pairs: DataFrame, iters: int = 30, damping: float = 0.85)
 
 
 def structure(
-    pairs: DataFrame, ends: DataFrame | None = None, iters: int = 30, damping: float = 0.85, max_pairs: int = 200_000, with_triangles: bool = True,
+    pairs: DataFrame, ends: DataFrame | None = None, iters: int = 30, damping: float = 0.85, with_triangles: bool = True, grouped: bool = True,
 ) -> DataFrame:
     """PageRank times the number of hosts of the window, with neighbours ``k`` and ``triangles`` if asked.
 
-    Ranks follow the weighted multigraph; the rank of hosts without sent flows is spread evenly and ranks
-    are renormalised at every step. Windows of up to ``max_pairs`` pairs are worked in batches inside
-    tasks, larger ones by distributed joins. ``pairs`` (and ``ends``) should be written tables, since they
-    are read more than once.
+    Ranks follow the weighted multigraph; the rank of hosts without sent flows is spread evenly. The caller, not the data, says how: with
+    ``grouped`` a window is worked whole inside a task, as windows bounded by a time span allow; without it distributed joins
+    do the work, for windows of any size. Both give the same values. ``pairs`` (and ``ends``) should be written tables,
+    since they are read more than once.
     """
-    sizes = pairs.groupBy("window_id").agg(F.count("*").alias("n"))
-    facts = sizes.agg(F.sum("n").alias("total"), F.count_if(F.col("n") > max_pairs).alias("large")).first()
-    if not facts["large"]:
-        return structure_batched(pairs, facts["total"] or 0, iters, damping, with_triangles)
-    large = cut(sizes.where(F.col("n") > max_pairs).select("window_id"))
-    small = structure_batched(pairs.join(large, "window_id", "left_anti"), facts["total"], iters, damping, with_triangles)
-    ranks = pagerank_iterative(pairs.join(large, "window_id", "left_semi"), iters, damping)
+    if grouped:
+        return structure_grouped(pairs, iters, damping, with_triangles)
+    ranks = pagerank_iterative(pairs, iters, damping)
     if with_triangles:
-        ends = endpoints(pairs) if ends is None else ends
-        found = clustering(ends.join(large, "window_id", "left_semi")).select(*NODE, "k", "triangles")
+        found = clustering(endpoints(pairs) if ends is None else ends).select(*NODE, "k", "triangles")
         ranks = ranks.join(found, NODE, "left").na.fill(0, ["k", "triangles"])
-    return small.unionByName(ranks)
+    return ranks
 
 
-def pagerank(pairs: DataFrame, iters: int = 30, damping: float = 0.85, max_pairs: int = 200_000) -> DataFrame:
-    return structure(pairs, None, iters, damping, max_pairs, with_triangles=False)
+def pagerank(pairs: DataFrame, iters: int = 30, damping: float = 0.85, grouped: bool = True) -> DataFrame:
+    return structure(pairs, None, iters, damping, with_triangles=False, grouped=grouped)
 
 
 def clustering_of(k, found):

@@ -40,9 +40,15 @@ def _chunk_rows(decay: float) -> int:
 
 
 def _recurrence(df: DataFrame, inputs: dict[str, Column], decay: float, host: str, order: str) -> DataFrame:
-    """Adds ``s[t] = decay * s[t-1] + u[t]`` per host for every named input ``u``. Needs the row number ``_r``."""
-    rows = _chunk_rows(decay)
+    """Adds ``s[t] = decay * s[t-1] + u[t]`` per host for every named input ``u``. Needs the row number ``_r``.
+
+    Without decay the sum is a running sum, with full decay it is the input.
+    """
     whole = Window.partitionBy(host).orderBy(order)
+    if decay in (0.0, 1.0):
+        upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({n: F.sum(u).over(upto) if decay else u for n, u in inputs.items()})
+    rows = _chunk_rows(decay)
     inside = Window.partitionBy(host, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_chunk", F.floor(F.col("_r") / rows)).withColumn("_at", F.col("_r") % rows)
@@ -63,16 +69,19 @@ def ewma_history(obs: DataFrame, columns: Sequence[str] = tuple(OBSERVED), alpha
     mean += alpha * (x - mean) and var = (1 - alpha) * (var + alpha * (x - mean)^2). Gaps do not decay.
     Columns: ``mean_<c>``, ``var_<c>`` after the window; ``prior_mean_<c>``, ``prior_var_<c>`` before it.
     """
+    if not 0.0 <= alpha <= 1.0:
+        raise ValueError("alpha lies between 0 and 1")
     decay = 1.0 - alpha
     whole = Window.partitionBy(host).orderBy(order)
+    # The value before a window follows from the recurrence itself, s[t-1] = (s[t] - u[t]) / decay; with full decay nothing is left of it in s[t].
+    before = lambda now, own: (now - own) / decay if decay else F.lag(now).over(whole)
     df = obs.withColumn("_r", F.row_number().over(whole) - 1)
     first = F.col("_r") == 0
-    # The value before a window follows from the recurrence itself, s[t-1] = (s[t] - u[t]) / decay: no lag is needed.
     df = _recurrence(df, {f"mean_{c}": F.when(first, F.col(c)).otherwise(alpha * F.col(c)) for c in columns}, decay, host, order)
-    df = df.withColumns({f"prior_mean_{c}": F.when(~first, (F.col(f"mean_{c}") - alpha * F.col(c)) / decay) for c in columns})
+    df = df.withColumns({f"prior_mean_{c}": F.when(~first, before(F.col(f"mean_{c}"), alpha * F.col(c))) for c in columns})
     step = {c: decay * alpha * F.pow(F.col(c) - F.col(f"prior_mean_{c}"), 2) for c in columns}
     df = _recurrence(df, {f"var_{c}": F.when(first, F.lit(1.0)).otherwise(step[c]) for c in columns}, decay, host, order)
-    df = df.withColumns({f"prior_var_{c}": F.when(~first, (F.col(f"var_{c}") - step[c]) / decay) for c in columns})
+    df = df.withColumns({f"prior_var_{c}": F.when(~first, before(F.col(f"var_{c}"), step[c])) for c in columns})
     return df.withColumnRenamed("_r", "earlier_windows")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
@@ -167,31 +167,31 @@ def mark_unused(df: DataFrame, limit: int, seed: int, label: str = "target", id_
     return marked.withColumn("split", F.when(outside, UNUSED).otherwise(F.col("split"))).drop("_hash", "_keep")
 
 
-def class_cap(sizes: list[int], budget: int) -> int:
-    """Largest cap under which classes cut at the cap fit the budget; small classes stay whole."""
-    remaining, left = budget, len(sizes)
-    for n in sorted(sizes):
-        if n * left > remaining:
-            return remaining // left
-        remaining, left = remaining - n, left - 1
-    return max(sizes, default=0)
+def class_quotas(sizes: DataFrame, budget: int, label: str = "target") -> DataFrame:
+    """(label, k): rows of each class in a training sample of about ``budget`` rows; ``sizes`` has one row (label, n) per class.
 
+    If attacks exceed half of the budget, every class is cut at one level, the highest that the budget bears. Going through the classes by
+    size, the level is what the smaller ones leave, shared by the class and the larger ones, at the first class that is too large for
+    it. Otherwise all attacks are taken and benign rows (class 0) fill the rest.
+    """
+    every, by_size = Window.partitionBy(F.lit(0)), Window.orderBy("n", label)
+    smaller = F.coalesce(F.sum("n").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    larger = F.count("*").over(by_size.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    ranked = sizes.withColumns({
+        "_share": F.floor((F.lit(budget) - smaller) / larger),
+        "_attacks": F.coalesce(F.sum(F.when(F.col(label) > 0, F.col("n"))).over(every), F.lit(0)),
+    })
+    ranked = ranked.withColumn("_tight", F.col("n") > F.col("_share")).withColumn("_first", F.min(F.when(F.col("_tight"), F.struct("n", label, "_share"))).over(every))
+    level = F.coalesce(F.col("_first._share"), F.col("n"))
+    filled = F.when(F.col(label) > 0, F.col("n")).otherwise(F.least("n", F.lit(budget) - F.col("_attacks")))
+    k = F.when(F.col("_attacks") <= budget // 2, filled).otherwise(F.least("n", level))
+    return ranked.select(label, k.cast("bigint").alias("k"))
 
-def sample_class_capped(df: DataFrame, budget: int, seed: int, label: str = "target", id_col: str = "flow_id") -> DataFrame:
-    """Training sample of about ``budget`` rows. If attacks exceed half of it, every class is capped so
-    that rare classes stay whole; otherwise all attacks and random benign rows are taken.
 
-    Only the class counts (one row per class) reach the driver.
-    """
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    attacks = sum(n for c, n in counts.items() if c > 0)
-    if attacks <= budget // 2:
-        keep = {c: n if c > 0 else min(n, budget - attacks) for c, n in counts.items()}
-    else:
-        top = class_cap(list(counts.values()), budget)
-        keep = {c: min(n, top) for c, n in counts.items()}
-    rows = [(c, "keep", k) for c, k in sorted(keep.items())]
-    wanted = cut(df.sparkSession.createDataFrame(rows, f"{label} int, cut string, k bigint"))
+def sample_class_capped(df: DataFrame, budget: int, seed: int, label: str = "target", id_col: str = "flow_id") -> DataFrame:
+    """Training sample of about ``budget`` rows, see ``class_quotas``; within a class the rows of least hash are taken."""
+    quotas = class_quotas(df.groupBy(label).agg(F.count("*").alias("n")), budget, label)
+    wanted = cut(quotas.select(label, F.lit("keep").alias("cut"), "k"))
     cuts = _hash_cut(df, [label], id_col, seed, wanted, ["keep"])
     return cuts.where(F.col("_hash") <= F.col("keep")).drop("_hash", "keep")
 

@@ -93,7 +93,7 @@ def _(spark, sf):
 
 @query("to_epoch_ms", f"""
   SELECT unit, count(*) AS flows, {r6('min(ms)')} AS first_ms, {r6('max(ms)')} AS last_ms, {r6('avg(ms)')} AS mean_ms
-  FROM (SELECT CAST(unnest(['iso', 'ms', 'ns', 's', 'us']) AS VARCHAR) AS unit, floor(start_ms / 1000) * 1000 AS ms FROM flows) GROUP BY ALL""")
+  FROM (SELECT CAST(unnest(['iso', 'ms', 'ns', 's', 'text', 'us']) AS VARCHAR) AS unit, floor(start_ms / 1000) * 1000 AS ms FROM flows) GROUP BY ALL""")
 def _(spark, sf):
     f = V.flows_lineitem(spark, sf).select(F.floor(F.col("start_ms") / 1000).alias("s"))
     forms = {
@@ -102,6 +102,7 @@ def _(spark, sf):
         "us": (F.col("s") * 1000000).cast("string"),
         "ns": (F.col("s") * 1000000000).cast("string"),
         "iso": F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        "text": F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd HH:mm:ss"),
     }
     out = None
     for unit, text in forms.items():
@@ -195,13 +196,13 @@ def _(spark, sf):
 
 
 @query("is_private", f"""
-  SELECT host, CASE WHEN host LIKE '10.%' THEN 1.0 ELSE 0.0 END::DOUBLE AS private, CASE WHEN host LIKE '10.%' THEN 1.0 ELSE 0.0 END::DOUBLE AS private_v6, count(*) AS flows FROM
+  SELECT host, CASE WHEN host LIKE '10.%' THEN 1.0 ELSE 0.0 END::DOUBLE AS private, CASE WHEN host LIKE '10.%' THEN 1.0 ELSE 0.0 END::DOUBLE AS private_v6, CASE WHEN host LIKE '10.%' THEN 1.0 ELSE 0.0 END::DOUBLE AS private_mapped, count(*) AS flows FROM
   (SELECT src_ip AS host FROM flows UNION ALL SELECT dst_ip FROM flows) GROUP BY ALL""")
 def _(spark, sf):
     f = V.flows_lineitem(spark, sf)
     hosts = f.select(F.explode(F.array("src_ip", "dst_ip")).alias("host")).groupBy("host").agg(F.count("*").alias("flows"))
     v6 = F.when(F.col("host").startswith("10."), F.lit("fd00::1")).otherwise(F.lit("2606:4700::1111"))
-    return hosts.select("host", A.is_private(F.col("host")).alias("private"), A.is_private(v6).alias("private_v6"), "flows")
+    return hosts.select("host", A.is_private(F.col("host")).alias("private"), A.is_private(v6).alias("private_v6"), A.is_private(F.concat(F.lit("::ffff:"), "host")).alias("private_mapped"), "flows")
 
 
 @query("is_service_port", """

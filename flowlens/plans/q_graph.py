@@ -63,6 +63,11 @@ def _(spark, sf):
     return G.pagerank(cut(G.pair_table(kept(spark, sf)))).select("window_id", "host", *_r(None, "pagerank"))
 
 
+@query("pagerank_joins", f"SELECT window_id, host, {r6('rank * n')} AS pagerank FROM pr30")
+def _(spark, sf):
+    return G.pagerank(cut(G.pair_table(kept(spark, sf))), grouped=False).select("window_id", "host", *_r(None, "pagerank"))
+
+
 @query("clustering", f"SELECT window_id, host, {big('k')} AS k, {big('triangles')} AS triangles, {r6('clustering')} AS clustering FROM clust WHERE k > 0")
 def _(spark, sf):
     ends = cut(G.endpoints(G.pair_table(kept(spark, sf))))

@@ -70,17 +70,35 @@ def test_large_windows_give_the_same_structure(spark):
     pairs = cut(G.pair_table(df))
     ends = cut(G.endpoints(pairs))
     key = lambda d: {(r["window_id"], r["host"]): (round(r["pagerank"], 9), r["k"], r["triangles"]) for r in d.collect()}
-    batched = key(G.structure(pairs, ends))
-    assert key(G.structure(pairs, ends, max_pairs=10)) == batched
-    sizes = sorted(r["count"] for r in pairs.groupBy("window_id").count().collect())
-    assert key(G.structure(pairs, ends, max_pairs=sizes[1])) == batched
+    assert key(G.structure(pairs, ends, grouped=False)) == key(G.structure(pairs, ends))
 
 
-def test_sparse_triangles_match_dense():
+def test_triangles_match_the_matrix():
     rng = np.random.default_rng(0)
-    src, dst = rng.integers(0, 60, 500), rng.integers(0, 60, 500)
-    for a, b in zip(G._simple_triangles(src, dst, 60), G._simple_triangles(src, dst, 60, dense=0)):
-        assert np.allclose(a, b)
+    for n, m in ((60, 500), (5, 3), (40, 0), (30, 4000)):
+        src, dst = rng.integers(0, n, m), rng.integers(0, n, m)
+        linked = np.zeros((n, n))
+        linked[src, dst] = linked[dst, src] = 1
+        np.fill_diagonal(linked, 0)
+        for step in (1, 50, 1 << 20):
+            k, found = G._simple_triangles(src, dst, n, step)
+            assert np.allclose(k, linked.sum(1)) and np.allclose(found, ((linked @ linked) * linked).sum(1) / 2)
+
+
+def test_history_without_and_with_full_decay(spark):
+    from flowlens.operators.history import ewma_history
+
+    values = [1.0, 4.0, 2.0, 8.0]
+    obs = spark.createDataFrame([(i, "h", v) for i, v in enumerate(values)], "window_id bigint, host string, x double")
+    for alpha in (0.0, 1.0, 0.5):
+        mean, var, want = values[0], 1.0, [(values[0], 1.0, None, None)]
+        for v in values[1:]:
+            gap = v - mean
+            want.append((mean + alpha * gap, (1 - alpha) * (var + alpha * gap * gap), mean, var))
+            mean, var = want[-1][:2]
+        rows = ewma_history(obs, ["x"], alpha).orderBy("window_id").collect()
+        for r, w in zip(rows, want):
+            assert [r["mean_x"], r["var_x"], r["prior_mean_x"], r["prior_var_x"]] == [v if v is None else pytest.approx(v) for v in w]
 
 
 def test_role_columns(star):

@@ -138,7 +138,7 @@ def test_offset_search_against_brute_force(spark):
     pred = predictions(spark, 4, n=150, classes=4, models=("a",), seeds=(1, 2)).withColumn("scores", F.transform("scores", lambda x: x * 3))
     weighted = pred.withColumn("w", 1 + F.crc32("flow_id") % 3)
     for weight in (None, "w"):
-        got = K.fit_offsets(weighted, 4, weight=weight)
+        got = {(r["model"], r["seed"]): r["offsets"] for r in K.fit_offsets(weighted, 4, weight=weight).collect()}
         for s in (1, 2):
             rows = [(r["y_true"], r["scores"], r["w"] if weight else 1) for r in weighted.where(F.col("seed") == s).collect()]
             assert got[("a", s)] == brute_offsets(rows, 4)

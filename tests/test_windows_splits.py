@@ -91,10 +91,14 @@ def test_sample_keeps_attacks_and_marks_the_rest(spark):
     assert kept == {r[0] for r in taken.select("flow_id").collect()}
 
 
-def test_class_cap():
-    assert T.class_cap([10, 20, 1000], 300) == 270
-    assert T.class_cap([10, 20, 30], 300) == 30
-    assert T.class_cap([500, 500, 500], 300) == 100
+def test_class_quotas(spark):
+    def most(sizes, budget):
+        table = spark.createDataFrame([(c + 1, n) for c, n in enumerate(sizes)], "target int, n bigint")
+        return max(r["k"] for r in T.class_quotas(table, budget).collect())
+
+    assert most([10, 20, 1000], 300) == 270
+    assert most([100, 120, 30], 300) == 120
+    assert most([500, 500, 500], 300) == 100
 
 
 def test_capped_sample_keeps_rare_classes(spark):
