@@ -97,6 +97,11 @@ def comparison_table(spark: SparkSession, comparisons: dict[str, Sequence[tuple[
     return spark.createDataFrame(rows, "comparison string, part int, model string, coef double")
 
 
+def _compared(pred: DataFrame, comparisons: dict[str, Sequence[tuple[str, float]]]) -> DataFrame:
+    """The predictions of the models that take part."""
+    return pred.where(F.col("model").isin(sorted({model for parts in comparisons.values() for model, _ in parts})))
+
+
 def _interval(col: str, level: float, name: str) -> list[Column]:
     """Percentile interval over the replicates of one comparison: n_boot values, by construction."""
     tail = (1.0 - level) / 2.0
@@ -104,7 +109,11 @@ def _interval(col: str, level: float, name: str) -> list[Column]:
 
 
 def paired_bootstrap(pred: DataFrame, comparisons: dict[str, Sequence[tuple[str, float]]], n_boot: int = 2000, block: int = 10, seed: int = 0) -> DataFrame:
-    """Difference of seed-averaged macro-F1 with a window-resampling interval and P(difference <= 0)."""
+    """Difference of seed-averaged macro-F1 with a window-resampling interval and P(difference <= 0).
+
+    Raises if the runs compared did not score the same flows.
+    """
+    require_same_rows(_compared(pred, comparisons))
     counts, n = positioned_counts(pred)
     table = comparison_table(pred.sparkSession, comparisons)
     mean = lambda f, by: f.groupBy(*by, "model", "metric").agg(F.avg("f").alias("f"))
@@ -156,8 +165,9 @@ def contrast(
     Replicates draw blocks of windows shared by all models and, per model, its seeds. Intervals: two-level
     at 95 %, 90 % and Bonferroni, windows only, seeds only. Two parts with coefficients 1 and -1 give a
     difference, four a difference of differences. ``robust`` adds the two-level interval with the median
-    and the 20 % trimmed mean over the drawn seeds in place of the mean.
+    and the 20 % trimmed mean over the drawn seeds in place of the mean. Raises if the runs compared did not score the same flows.
     """
+    require_same_rows(_compared(pred, comparisons))
     counts, n = positioned_counts(pred)
     table = cut(comparison_table(pred.sparkSession, comparisons))
     whole = cut(whole_macros(counts))

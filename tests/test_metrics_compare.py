@@ -169,3 +169,12 @@ def test_permutation_moves_whole_rows(spark):
     got = A.permuted_rows(df, "flow_id", ["id", "twice"], 3).collect()
     assert sorted(r["id"] for r in got) == list(range(200)) and all(r["twice"] == 2 * r["id"] for r in got)
     assert sum(int(r["flow_id"]) == r["id"] for r in got) < 20
+
+
+def test_comparisons_refuse_runs_on_different_flows(spark):
+    pred = predictions(spark, 7, n=60)
+    lacking = pred.where(~((F.col("model") == "a") & (F.col("seed") == 1) & F.col("flow_id").isin(pred.select("flow_id").first()[0])))
+    parts = {"a-b": [("a", 1.0), ("b", -1.0)]}
+    for compare in (C.paired_bootstrap, C.contrast):
+        with pytest.raises(ValueError, match="exactly once"):
+            compare(lacking, parts, 5)
