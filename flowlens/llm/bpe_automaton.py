@@ -20,7 +20,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: Words whose codes a worker remembers, characters worked on at once, and answers kept of the transition test.
-WORDS, BLOCK, ANSWERS = 200_000, 1 << 21, 1_000_000
+WORDS, BLOCK, ANSWERS = 150_000, 1 << 19, 200_000
 
 Automaton = namedtuple("Automaton", "left rank parent created excluded target")
 
@@ -304,16 +304,18 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids: str =
             _ENCODERS.clear()
             encoder = _ENCODERS[key] = Encoder(tables.value)
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= BLOCK):
-                    size += len(texts[hi])
-                    hi += 1
-                got, offsets, back = encoder.encode(texts[lo:hi])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("_row").slice(lo, hi - lo), lists, pa.array(back, pa.string())], names=["_row", ids, decoded])
-                lo = hi
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                texts = part.column("_text").to_pylist()
+                at = 0
+                while at < len(texts):
+                    end, size = at, 0
+                    while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK):
+                        size += len(texts[end])
+                        end += 1
+                    got, offsets, back = encoder.encode(texts[at:end])
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([part.column("_row").slice(at, end - at), lists, pa.array(back, pa.string())], names=["_row", ids, decoded])
+                    at = end
 
     return unpacked(source.mapInArrow(work, schema), ids, decoded)

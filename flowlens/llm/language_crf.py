@@ -20,7 +20,7 @@ PER_LANGUAGE, LEXICON, ROUNDS, RATE = 100, 20_000, 30, 1.0
 #: Orders of the n-grams (with both word ends marked, so that the ones at an end are affixes), bits of their tables.
 ORDERS, BITS = (2, 3, 4), 16
 #: Characters worked on at once, and chains that run side by side.
-BLOCK, LANES = 1 << 20, 1024
+BLOCK, LANES = 1 << 18, 1024
 
 UNKNOWN = "und"
 Model = namedtuple("Model", "langs weights lexicon transition initial")
@@ -280,8 +280,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang: str =
     def work(batches):
         model = held.value
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
                 got, sure, share = predict(model, part.column("_text").to_pylist())
                 out = [part.column("_row"), pa.array(got, pa.string()), pa.array(sure, pa.float64())]
                 if mixture:
