@@ -106,7 +106,8 @@ def cut_table(rows: DataFrame, weights: list[int] | None = None, most: int = 3)
     found = cuts(rows.select("source", "size", "key"), shares)
     s = shares.select(F.col("source").alias("_s"), "source_size", "target", "epochs")
     c = found.select(F.col("source").alias("_c"), "cut_key", F.col("left").alias("_left"), F.col("tied").alias("_tied"))
-    return s.join(c, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c")
+    # Written, so that its size is known and rows are joined to it where they are.
+    return cut(s.join(c, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c"), "mix")
 
 
 def with_taken(rows: DataFrame, table: DataFrame) -> DataFrame:
