@@ -155,12 +155,12 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tree_edges(
-    group: np.ndarray, fps: np.ndarray, role: np.ndarray, radius: int, names: np.ndarray | None = None, alike=None, leaders: bool = False
+    group: np.ndarray, fps: np.ndarray, role: np.ndarray, radius: int, names: np.ndarray | None = None, alike=None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join the linked fingerprints of each group, at most one per fingerprint, written with ``names`` (the fingerprints themselves).
 
     role 1: in the tree and searching, 2: in the tree only, 0: searching only. ``alike`` decides about pairs of rows that the trees
-    found. With ``leaders`` only rows that no row before them is linked with search, so that a large group costs its size.
+    found; pairs that links found before have joined already are not looked at again.
     """
     names = fps if names is None else names
     _, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
@@ -178,12 +178,8 @@ def tree_edges(
     at = np.minimum(np.searchsorted(heads, group[search]), len(heads) - 1)
     known = heads[at] == group[search]
     search, root = search[known], forest.first[at[known]]
-    step = 256 if leaders else 4096
-    linked = np.zeros(len(local), bool)
+    step = 4096 if alike is None else 256
     while len(search):
-        if leaders:
-            still = ~linked[search]
-            search, root = search[still], root[still]
         mine = search[:step]
         for q, node in forest.search(local[mine], root[:step], radius):
             q, node = mine[q], member[node]
@@ -194,7 +190,6 @@ def tree_edges(
                 q, node = q[keep], node[keep]
             if len(q):
                 label = _joined(label, q, node)
-                linked[node] = True
         search, root = search[step:], root[step:]
     moved = np.flatnonzero(label != np.arange(len(label)))
     return names[index[moved]], names[index[label[moved]]]
@@ -294,7 +289,7 @@ def similar_groups(
     Texts whose shingle sets have a Jaccard similarity of 0.8 differ in more fingerprint bits than blocks of bits can tell apart, so shards are
     dealt by bands of least shingle hashes: at a similarity of 0.8 two texts meet in one of the 25 shards with a probability of 0.9999. Each shard is a BK-tree
     over fingerprints; what it finds within ``radius`` bits is linked if the sketches agree in ``similarity`` of
-    their minima, less two standard errors. In a shard only rows that are linked with no earlier one search, so a group of copies costs its size.
+    their minima, less two standard errors. Every row searches.
     Texts with equal fingerprint and sketch are one row from the start. A shard larger than ``tree`` becomes several trees.
 
     Null and wordless texts are similar to each other only. An empty table gives an empty result.
@@ -334,7 +329,7 @@ def similar_groups(
             new[1:] = (way[1:] != way[:-1]) | (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])
             group = np.cumsum(new)
             alike = lambda i, j: np.concatenate([(sketch[i[k : k + 65_536]] == sketch[j[k : k + 65_536]]).mean(1) >= least for k in range(0, len(i), 65_536)])
-            a, b = tree_edges(group, fps, role, radius, node, alike, leaders=True)
+            a, b = tree_edges(group, fps, role, radius, node, alike)
             held, n = [], 0
             if not last:
                 stay = (group == group[-1]) & (role > 0)

@@ -96,6 +96,73 @@ def test_similar_texts(spark):
     assert got[1000] == got[1001] == 1000 and got[1002] == 1002
 
 
+def brute_similar(texts, similarity=0.8, n=5):
+    """The smallest position of every text's component over exact Jaccard similarities of shingle sets."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in words]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def similar(spark, texts, parts=3):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+    got = dict((r.lead, r.first) for r in S.similar_groups(rows, "doc_id").collect())
+    return [got[i] for i in range(len(texts))]
+
+
+def test_similar_chain(spark):
+    rng, texts = random.Random(5), []
+    for length in (1300, 300):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(150)]
+        for _ in range(length):
+            words[rng.randint(0, 149)] = f"w{rng.randint(0, 10**9)}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    want = brute_similar(texts)
+    assert len(set(want)) == 2
+    assert similar(spark, texts) == want
+
+
+def test_every_row_of_a_shard_searches(spark, monkeypatch):
+    """One shard; the link between two large groups joins two rows that earlier rows have linked."""
+    same = {"x": [1] * 63, "b": [1] * 32 + [2] * 31, "c": [3] * 32 + [2] * 31, "y": [3] * 32 + [4] * 31}
+    kinds: dict[int, str] = {}
+    monkeypatch.setattr(S, "BAND", 65)
+    monkeypatch.setattr(S, "sketch_of", lambda hashes: np.array([0] * 65 + same[kinds[int(hashes[0][0])]], np.uint32))
+    rng = random.Random(8)
+
+    def changed(words, places):
+        new = {at: f"w{rng.randint(0, 10**9)}" for at in places}
+        return [new.get(at, w) for at, w in enumerate(words)]
+
+    signs: list[bool] = []
+    while signs != [True, False, False, True]:  # b and c come last in the order of fingerprints
+        x = changed([""] * 300, range(300))
+        b = changed(x, [0, *range(10, 260, 50)])
+        c = changed(b, [0, *range(20, 270, 50)])
+        y = changed(c, [0, *range(30, 280, 50)])
+        signs = [S.fingerprint_of(" ".join(w).encode(), 5) < 0 for w in (x, b, c, y)]
+    texts = []
+    for name, words, count in (("x", x, 300), ("b", b, 1), ("c", c, 1), ("y", y, 300)):
+        kinds[int(next(S.shingle_hashes(" ".join(words).encode(), 5))[0])] = name
+        texts += [" ".join(words)] + [" ".join(changed(words, [285 + i % 10])) for i in range(count - 1)]
+    want = brute_similar(texts)
+    assert set(want) == {0}
+    assert similar(spark, texts) == want
+
+
 def test_forest_finds_all():
     rng = np.random.default_rng(4)
     fps = rng.integers(0, 2**63, 500, dtype=np.uint64) & np.uint64(0xFFF0F)
