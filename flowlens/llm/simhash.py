@@ -154,15 +154,11 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(old[place] == label, new[place], label)
 
 
-def tree_edges(
-    group: np.ndarray, fps: np.ndarray, role: np.ndarray, radius: int, names: np.ndarray | None = None, alike=None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join the linked fingerprints of each group, at most one per fingerprint, written with ``names`` (the fingerprints themselves).
+def tree_edges(group: np.ndarray, fps: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the linked fingerprints of each group, at most one per fingerprint.
 
-    role 1: in the tree and searching, 2: in the tree only, 0: searching only. ``alike`` decides about pairs of rows that the trees
-    found; pairs that links found before have joined already are not looked at again.
+    role 1: in the tree and searching, 2: in the tree only, 0: searching only.
     """
-    names = fps if names is None else names
     _, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
     some = count[inverse] > 1
     index = np.flatnonzero(some)
@@ -170,7 +166,7 @@ def tree_edges(
     local = np.ascontiguousarray(fps[some]).view(np.uint64)  # bits of signed numbers are counted without their sign
     member = np.flatnonzero(role > 0)
     if not len(member):
-        return names[:0], names[:0]
+        return fps[:0], fps[:0]
     forest = Forest(group[member], local[member])
     heads = group[member][forest.first]
     label = np.arange(len(local))
@@ -178,21 +174,17 @@ def tree_edges(
     at = np.minimum(np.searchsorted(heads, group[search]), len(heads) - 1)
     known = heads[at] == group[search]
     search, root = search[known], forest.first[at[known]]
-    step = 4096 if alike is None else 256
+    step = 4096
     while len(search):
         mine = search[:step]
         for q, node in forest.search(local[mine], root[:step], radius):
             q, node = mine[q], member[node]
             keep = label[q] != label[node]
-            q, node = q[keep], node[keep]
-            if alike is not None and len(q):
-                keep = alike(index[q], index[node])
-                q, node = q[keep], node[keep]
-            if len(q):
-                label = _joined(label, q, node)
+            if keep.any():
+                label = _joined(label, q[keep], node[keep])
         search, root = search[step:], root[step:]
     moved = np.flatnonzero(label != np.arange(len(label)))
-    return names[index[moved]], names[index[label[moved]]]
+    return fps[index[moved]], fps[index[label[moved]]]
 
 
 def fingerprint_edges(distinct: DataFrame, radius: int = 3, blocks: int = 5, tree: int = TREE) -> DataFrame:
@@ -265,8 +257,10 @@ def near_duplicates(
     return rows.join(groups(rows, "id", radius, blocks, tree), "fp").select("id", "fp", F.col("lead").alias("component_id"))
 
 
-#: Minima of a sketch, minima of a band, and the bits by which similar texts may differ in their fingerprints.
-SKETCH, BAND, WIDE = 128, 5, 20
+#: Minima of a sketch and minima of a band.
+SKETCH, BAND = 128, 5
+#: Standard errors by which the sketches of a pair may agree less than asked before the pair is compared by its shingles.
+SLACK = 4
 
 
 def sketch_of(hashes: list[np.ndarray]) -> np.ndarray:
@@ -281,71 +275,167 @@ def sketch_of(hashes: list[np.ndarray]) -> np.ndarray:
     return low
 
 
+def shingle_set(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+
+def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after uniting the classes of ``a`` and ``b``, and which of the pairs were needed for it."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    used = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            used[k] = True
+    return _joined(label, a[used], b[used]), used
+
+
+def apart_pairs(group: np.ndarray, role: np.ndarray, label: np.ndarray, alike, spanning: bool, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group for which ``alike`` holds and whose labels differ.
+
+    Groups are runs of rows, tree rows first: role 2 has met the tree, 1 has not, 0 meets the tree only. With ``spanning`` a pair
+    gives its rows one label, so no more pairs come than unite the rows.
+    """
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.concatenate((first, [len(group)])))
+    few = np.repeat(size <= small, size)
+
+    def met(i, j):
+        nonlocal label
+        keep = (label[i] != label[j]) & (role[i] > 0) & ((role[i] < 2) | (role[j] < 2))
+        i, j = i[keep], j[keep]
+        keep = np.concatenate([alike(i[k : k + 65_536], j[k : k + 65_536]) for k in range(0, len(i), 65_536)] or [np.zeros(0, bool)])
+        i, j = i[keep], j[keep]
+        if spanning and len(i):
+            label, used = _united(label, i, j)
+            i, j = i[used], j[used]
+        return i, j
+
+    for k in range(1, min(small, int(size.max()))):
+        i = np.flatnonzero(few[k:] & (group[k:] == group[:-k]))
+        yield met(i, i + k)
+    for s, n in zip(first[size > small].tolist(), size[size > small].tolist()):
+        e, at, step = s + n, s, 1
+        while at < e and role[at] > 0:
+            end = min(at + step, e)
+            i, j = np.nonzero(label[at:end, None] != label[None, at:e])
+            i, j = i[j > i] + at, j[j > i] + at
+            yield met(i, j)
+            at, step = end, min(2 * step, 16)
+
+
 def similar_groups(
-    docs: DataFrame, lead_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = WIDE, tree: int = TREE
+    docs: DataFrame, lead_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, tree: int = TREE
 ) -> DataFrame:
     """(lead, first): for every row of ``docs`` the smallest ``lead_col`` of its group of similar texts.
 
-    Texts whose shingle sets have a Jaccard similarity of 0.8 differ in more fingerprint bits than blocks of bits can tell apart, so shards are
-    dealt by bands of least shingle hashes: at a similarity of 0.8 two texts meet in one of the 25 shards with a probability of 0.9999. Each shard is a BK-tree
-    over fingerprints; what it finds within ``radius`` bits is linked if the sketches agree in ``similarity`` of
-    their minima, less two standard errors. Every row searches.
-    Texts with equal fingerprint and sketch are one row from the start. A shard larger than ``tree`` becomes several trees.
+    Texts are linked if their shingle sets have a Jaccard similarity of ``similarity`` or more, which is computed for every link. What is compared: shards
+    are dealt by bands of least shingle hashes, and at a similarity of 0.8 two texts meet in one of the 25 shards with a probability of 0.9999.
+    In a shard every row meets all others, and those whose sketches agree in ``similarity`` of their minima, less SLACK standard errors, are
+    candidates. First come the candidates that unite the rows whose sketches agree in full ``similarity``; then, over the groups
+    that these have proved, all candidates between different groups. So a group of copies costs its size and no link is left out.
+    Texts of one shingle set are one row from the start. A shard larger than ``tree`` is worked in several parts.
 
     Null and wordless texts are similar to each other only. An empty table gives an empty result.
     """
-    least = similarity - 2 * (similarity * (1 - similarity) / SKETCH) ** 0.5
+    least = similarity - SLACK * (similarity * (1 - similarity) / SKETCH) ** 0.5
+    band, ways = BAND, SKETCH // BAND
     narrow = docs.select(F.col(lead_col).alias("lead"), F.col(text_col).cast("binary").alias("_text"))
+    lead_type = narrow.schema["lead"].dataType.simpleString()
 
     def work(batches):
         for b in batches:
-            fps, sketches = [], []
+            nodes, sketches = [], []
             for t in b.column("_text").to_pylist():
                 hashes = list(shingle_hashes(t or b"", words))
-                fps.append(fingerprint_from(hashes))
+                nodes.append(xxhash.xxh64_intdigest(shingle_set(hashes).tobytes(), SEED))
                 sketches.append(sketch_of(hashes).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("lead"), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], names=["lead", "fp", "sketch"])
+            nodes = pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("lead"), nodes, pa.array(sketches, pa.binary())], names=["lead", "node", "sketch"])
+
+    def sets(batches):
+        for b in batches:
+            held = [shingle_set(list(shingle_hashes(t or b"", words))).view(np.int64) for t in b.column("_text").to_pylist()]
+            nodes = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in held], pa.uint64()).to_numpy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(held, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    rows = narrow.mapInArrow(work, f"lead {narrow.schema['lead'].dataType.simpleString()}, fp bigint, sketch binary")
-    rows = cut(rows.withColumn("node", F.xxhash64("fp", "sketch")), "sketches")
-    per = cut(rows.groupBy("node", "fp", "sketch").agg(F.min("lead").alias("lead")), "texts")
-    bands = [F.struct(F.lit(i).alias("way"), F.xxhash64(F.substring("sketch", 4 * BAND * i + 1, 4 * BAND)).alias("shard")) for i in range(SKETCH // BAND)]
+    rows = cut(narrow.mapInArrow(work, f"lead {lead_type}, node bigint, sketch binary"), "sketches")
+    per = cut(rows.groupBy("node").agg(F.min("lead").alias("lead"), F.first("sketch").alias("sketch")), "texts")
+    bands = [F.struct(F.lit(i).alias("way"), F.xxhash64(F.substring("sketch", 4 * band * i + 1, 4 * band)).alias("shard")) for i in range(ways)]
     dealt = per.select("node", F.explode(F.array(*bands)).alias("_w")).select("node", "_w.way", "_w.shard")
     shards = dealt.groupBy("way", "shard").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     shards = cut(shards.select("way", "shard", F.ceil(F.col("n") / tree).cast("int").alias("trees")), "shards")
-    dealt = dealt.join(shards, ["way", "shard"]).join(per.select("node", "fp", "sketch"), "node")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-    dealt = dealt.select("way", "shard", "tree", (F.col("tree") == F.col("own")).cast("int").alias("role"), "fp", "node", "sketch")
+    dealt = cut(dealt.join(shards, ["way", "shard"]), "dealt")
+    meeting = per.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "lead", "sketch")
+    wanted = meeting.select(F.col("lead").alias("_lead")).distinct()
+    texts = narrow.join(wanted, F.col("lead").eqNullSafe(F.col("_lead")), "left_semi").select("_text")
+    shingles = cut(texts.mapInArrow(sets, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
     keys: list[str | Column] = ["way", "shard", "tree"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, F.col("role").desc(), "fp", "node")
 
-    def link(batches):
-        held, n = [], 0
+    def candidates(labels: DataFrame, spanning: bool) -> DataFrame:
+        """Pairs (a, b) of nodes to compare; ``labels`` (node, label, sketch)."""
+        all_of = dealt.join(labels, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
+        all_of = all_of.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+        all_of = all_of.select("way", "shard", "tree", (F.col("tree") == F.col("own")).cast("int").alias("role"), "node", "label", "sketch")
+        bound = similarity if spanning else least
 
-        def settle(last: bool):
-            nonlocal held, n
-            way, shard, part, role, fps, node, sketch = (np.concatenate([h[i] for h in held]) for i in range(7))
-            new = np.ones(len(fps), bool)
-            new[1:] = (way[1:] != way[:-1]) | (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])
-            group = np.cumsum(new)
-            alike = lambda i, j: np.concatenate([(sketch[i[k : k + 65_536]] == sketch[j[k : k + 65_536]]).mean(1) >= least for k in range(0, len(i), 65_536)])
-            a, b = tree_edges(group, fps, role, radius, node, alike)
+        def link(batches):
             held, n = [], 0
-            if not last:
-                stay = (group == group[-1]) & (role > 0)
-                held, n = [[way[stay], shard[stay], part[stay], np.full(stay.sum(), 2), fps[stay], node[stay], sketch[stay]]], int(stay.sum())
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            ints = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)]
-            held.append([*ints, np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32).reshape(-1, SKETCH)])
-            n += batch.num_rows
-            if n >= HELD // 2 + len(held[0][0]):
-                yield settle(False)
-        if held:
-            yield settle(True)
 
-    edges = dealt.mapInArrow(link, "a bigint, b bigint")
+            def settle(last: bool):
+                nonlocal held, n
+                way, shard, part, role, node, label, sketch = (np.concatenate([h[i] for h in held]) for i in range(7))
+                new = np.ones(len(node), bool)
+                new[1:] = (way[1:] != way[:-1]) | (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])
+                group = np.cumsum(new)
+
+                def alike(i, j):
+                    same = sketch[i] == sketch[j]
+                    keep = same.mean(1) >= bound
+                    if not spanning:  # the first shard in which a pair meets names it
+                        keep[keep] = same[keep][:, : ways * band].reshape(-1, ways, band).all(2).argmax(1) == way[i[keep]]
+                    return keep
+
+                for i, j in apart_pairs(group, role, label, alike, spanning):
+                    if len(i):
+                        a, b = node[i], node[j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                held, n = [], 0
+                if not last:  # the last shard goes on: its rows are kept, and have met each other
+                    stay = (group == group[-1]) & (role > 0)
+                    held, n = [[way[stay], shard[stay], part[stay], np.full(stay.sum(), 2), node[stay], label[stay], sketch[stay]]], int(stay.sum())
+
+            for batch in batches:
+                ints = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)]
+                held.append([*ints, np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32).reshape(-1, SKETCH)])
+                n += batch.num_rows
+                if n >= HELD // 2 + len(held[0][0]):
+                    yield from settle(False)
+            if held:
+                yield from settle(True)
+
+        ordered = all_of.repartition(*keys).sortWithinPartitions(*keys, F.col("role").desc(), "node")
+        return cut(ordered.mapInArrow(link, "a bigint, b bigint").distinct(), "candidates")
+
+    def proved(pairs: DataFrame) -> DataFrame:
+        side = lambda c, x: shingles.select(F.col("node").alias(c), F.col("shingles").alias(x))
+        both = F.size(F.array_intersect("x", "y"))
+        met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        sizes = met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+        return cut(sizes.where(F.col("both") >= F.lit(similarity) * (F.col("sum") - F.col("both"))).select("a", "b"), "links")
+
+    known = proved(candidates(meeting.select("node", F.col("node").alias("label"), "sketch"), True))
+    groups = cut(connected(known), "proved")
+    labels = meeting.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "sketch")
+    edges = known.unionByName(proved(candidates(labels, False)))
     roots = cut(connected(edges), "roots")
     named = per.select("node", "lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named.join(named.groupBy("root").agg(F.min("lead").alias("first")), "root").select("node", "first"), "groups")

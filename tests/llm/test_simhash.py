@@ -163,6 +163,21 @@ def test_every_row_of_a_shard_searches(spark, monkeypatch):
     assert similar(spark, texts) == want
 
 
+def test_similar_near_the_threshold(spark):
+    rng, texts = random.Random(7), []
+    for f in range(60):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
+        texts.append(" ".join(words))
+        for changed in (3, 5, 6, 7, 8, 10, 12)[f % 7 :][: 1 + f % 3]:
+            own = list(words)
+            for at in range(7, 300, 23)[:changed]:
+                own[at] = f"w{rng.randint(0, 10**9)}"
+            texts.append(" ".join(own))
+    want = brute_similar(texts)
+    assert 60 < len(set(want)) < len(texts) - 20
+    assert similar(spark, texts) == want
+
+
 def test_forest_finds_all():
     rng = np.random.default_rng(4)
     fps = rng.integers(0, 2**63, 500, dtype=np.uint64) & np.uint64(0xFFF0F)
