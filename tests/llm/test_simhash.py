@@ -163,6 +163,14 @@ def test_every_row_of_a_shard_searches(spark, monkeypatch):
     assert similar(spark, texts) == want
 
 
+def test_similar_by_sets_not_counts(spark):
+    rng, texts = random.Random(6), []
+    for _ in range(40):
+        lines = [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(10)) for _ in range(20)]
+        texts += ["\n".join(lines[:8] + lines[8:10] * n + lines[10:]) for n in (1, 60)]
+    assert similar(spark, texts) == brute_similar(texts) == [i - i % 2 for i in range(80)]
+
+
 def test_similar_near_the_threshold(spark):
     rng, texts = random.Random(7), []
     for f in range(60):
