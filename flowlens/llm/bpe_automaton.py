@@ -19,8 +19,10 @@ from flowlens.llm.common import packed, unpacked
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
-#: Words whose codes a worker remembers, characters worked on at once, and answers kept of the transition test.
-WORDS, BLOCK, ANSWERS = 150_000, 1 << 19, 200_000
+#: Characters worked on at once, bytes of the words that run through the tables side by side (longer ones run alone), and cells of such a run.
+BLOCK, LANE, CELLS = 1 << 20, 128, 1 << 21
+#: Answers of the transition test that are kept: 2^KEPT slots, in each the last one that fell there.
+KEPT = 20
 
 Automaton = namedtuple("Automaton", "left rank parent created excluded target")
 
@@ -79,6 +81,125 @@ def compile_merges(n_tokens: int, merges: list[tuple[int, int, int]]) -> Automat
     return a
 
 
+class Transitions:
+    """Has the state behind a token a transition on another token? The automaton's answers, without walking its states one by one.
+
+    The states behind token x are copies that the rules (x, v) made, on top of the state that the right part of x led to when x was made. So
+    a transition on y is missing if and only if a rule joins a token of the right spine of x with one of the left spine of
+    y before the rules that hide these two: going down from (x, y), the younger of the two is taken apart, and a rule for the pair that is
+    left counts if it is older than what was taken apart last. The rule that made y counts too (of three equal symbols the first two are
+    joined), the one that made x does not. Answers are kept in a table of fixed size.
+    """
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray):
+        self.left, self.right, self.rank, self.n = left, right, rank, len(rank)
+        made = np.flatnonzero(rank >= 0)
+        key = left[made] * self.n + right[made]
+        order = np.argsort(key)
+        self.rule, self.when = np.append(key[order], -1), np.append(rank[made][order], 0)
+        self.keys, self.answers = np.full(1 << KEPT, -1, np.int64), np.zeros(1 << KEPT, bool)
+
+    def computed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), bool)
+        at, limit = np.arange(len(x)), np.full(len(x), self.n, np.int64)
+        while len(at):
+            key = x * self.n + y
+            place = np.searchsorted(self.rule[:-1], key)
+            missing = (self.rule[place] == key) & (self.when[place] < limit)
+            out[at[missing]] = False
+            a, b = self.rank[x], self.rank[y]
+            on = ~missing & ((a >= 0) | (b >= 0))
+            at, x, y, a, b = at[on], x[on], y[on], a[on], b[on]
+            first = a > b
+            x, y, limit = np.where(first, self.right[x], x), np.where(first, y, self.left[y]), np.where(first, a, b + 1)
+        return out
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """x = -1 is the start state, which has all transitions."""
+        key = x.astype(np.int64) * self.n + y
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KEPT)).astype(np.int64)
+        out = self.answers[slot] | (x < 0)
+        new = np.flatnonzero((self.keys[slot] != key) & (x >= 0))
+        if len(new):
+            distinct, inverse = np.unique(key[new], return_inverse=True)
+            answer = self.computed(distinct // self.n, distinct % self.n)
+            out[new] = answer[inverse]
+            self.keys[slot[new]], self.answers[slot[new]] = key[new], out[new]
+        return out
+
+
+class Ends:
+    """Which tokens end at a place of a word: flat tables over the tokens' bytes.
+
+    A state is the longest stretch of a word read so far with which a token begins. ``step`` holds the next state by state and class
+    of the byte, ``closing`` the state in which a word ends, ``longest`` the longest token that ends in a state, and ``shorter``, by token,
+    the longest one that ends it.
+    """
+
+    def __init__(self, tokens: list[tuple[bytes, bool, int]], n_tokens: int):
+        trie: list[dict[int, int]] = [{}]
+        parent, symbol, depth, own = [0], [0], [0], [-1]
+        for body, last, token in tokens:
+            at = 0
+            for c in [*body, 256] if last else body:
+                if c not in trie[at]:
+                    trie[at][c] = len(trie)
+                    trie.append({})
+                    parent.append(at)
+                    symbol.append(c)
+                    depth.append(depth[at] + 1)
+                    own.append(-1)
+                at = trie[at][c]
+            own[at] = token
+        parent, symbol, depth = np.array(parent), np.array(symbol), np.array(depth)
+        inside = symbol < 256  # a word's end leads nowhere
+        number = np.cumsum(inside) - 1
+        n = int(inside.sum())
+        # Bytes that only begin tokens lead to one state from everywhere.
+        deep = np.unique(symbol[(depth > 1) & inside])
+        self.kind = np.full(256, len(deep), np.int64)
+        self.kind[deep] = np.arange(len(deep))
+        self.begins = np.zeros(256, np.int32)
+        roots = (depth == 1) & inside
+        self.begins[symbol[roots]] = number[roots]
+        self.step = np.zeros((n, len(deep) + 1), np.int32)
+        self.closing = np.full(n, -1, np.int32)
+        end_of = np.full(n, -1, np.int32)  # the final token whose body is the path of the state
+        fail = np.zeros(n, np.int32)
+        self.longest = np.full(n, -1, np.int32)
+        self.shorter = np.full(n_tokens, -1, np.int32)
+        self.length = np.zeros(n_tokens, np.int64)
+        own = np.array(own)
+        leads = ~inside
+        end_of[number[parent[leads]]] = own[leads]
+        self.step[0, self.kind[symbol[roots]]] = number[roots]
+        self.step[0, len(deep)] = 0
+        for d in range(int(depth.max()) + 1):
+            level = np.flatnonzero((depth == d) & inside)
+            here, up = number[level], number[parent[level]]
+            if d > 1:
+                fail[here] = self.step[fail[up], self.kind[symbol[level]]]
+            if d:
+                self.step[here] = self.step[fail[here]]
+            below = np.flatnonzero((depth == d + 1) & inside)
+            if d:
+                self.step[number[parent[below]], self.kind[symbol[below]]] = number[below]
+            inner, final = own[level], end_of[here]
+            inner = np.where(level > 0, inner, -1)
+            back = self.longest[fail[here]] if d else np.full(len(here), -1)
+            close = self.closing[fail[here]] if d else np.full(len(here), -1)
+            self.longest[here] = np.where(inner >= 0, inner, back)
+            self.closing[here] = np.where(final >= 0, final, close)
+            self.shorter[inner[inner >= 0]] = back[inner >= 0]
+            self.shorter[final[final >= 0]] = close[final >= 0]
+            self.length[inner[inner >= 0]] = d
+            self.length[final[final >= 0]] = d
+
+    def after(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        kind = self.kind[byte]
+        return np.where(kind == self.step.shape[1] - 1, self.begins[byte], self.step[state, kind])
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> dict:
     """Tables of a tokenizer file, compiled: automaton, token bytes, labels, special tokens, character classes."""
@@ -113,7 +234,10 @@ def load(path: str) -> dict:
                 classes[ord(piece[1])] = OTHER
     alone = (place > 0) & (classes == SPACE)
     classes[alone] = NUMBER
-    return {"automaton": compile_merges(size, merges), "vocab": vocab, "end": end, "labels": labels, "classes": classes.tobytes(),
+    parts = np.full((3, size), -1, np.int64)
+    for rank, (u, v, t) in enumerate(merges):
+        parts[:, t] = u, v, rank
+    return {"automaton": compile_merges(size, merges), "parts": parts, "vocab": vocab, "end": end, "labels": labels, "classes": classes.tobytes(),
             "special": {t["content"]: t["id"] for t in spec["added_tokens"]}, "normalizer": json.dumps(spec["normalizer"])}
 
 
@@ -127,74 +251,102 @@ class Encoder:
         self.classes = np.frombuffer(tables["classes"], np.uint8)
         byte = {s: b for b, s in enumerate(byte_symbols())}
         end = tables["end"]
-        self.inner: dict[bytes, int] = {}
-        self.final: dict[bytes, int] = {}
+        tokens = []
         for token, i in tables["vocab"].items():
             if self.a.target[i] >= 0:
                 last = token.endswith(end) and len(token) > len(end)
                 body = token[: -len(end)] if last else token
                 if all(c in byte for c in body):
-                    (self.final if last else self.inner)[bytes(byte[c] for c in body)] = i
-        self.longest = max(map(len, [*self.inner, *self.final]))
+                    tokens.append((bytes(byte[c] for c in body), last, i))
+        self.ends, self.transition = Ends(tokens, len(self.labels)), Transitions(*tables["parts"])
         self.special = tables["special"]
         spec = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": json.loads(tables["normalizer"]), "pre_tokenizer": None, "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
         self.normal = Tokenizer.from_str(json.dumps(spec)).normalizer
-        self.words: dict[bytes, list[int]] = {}
-        self.answers: dict[int, bool] = {}
-
-    def transition(self, state: int, token: int) -> bool:
-        """``allowed`` through a table of the answers so far."""
-        key = state * len(self.labels) + token
-        found = self.answers.get(key)
-        if found is None:
-            if len(self.answers) >= ANSWERS:
-                self.answers.clear()
-            found = self.answers[key] = allowed(self.a, state, token)
-        return found
-
-    def paths(self, words: list[bytes]) -> list[list[int]]:
-        """Of each word, the only path of the automaton that spells it.
-
-        The path of a prefix is a prefix of paths, so one state per position is enough: position i is reached by the one token
-        that ends there and that the state at its start has a transition on. The words come sorted, and what a word shares with the
-        one before it is not walked again; the last symbol of a word, which carries the word end, is its own.
-        """
-        inner, final, target, longest, step = self.inner, self.final, self.a.target, self.longest, self.transition
-        states, tokens, starts, out = [0], [0], [0], []
-        before = b""
-        for word in words:
-            n, same, most = len(word), 0, min(len(before), len(word)) - 1
-            while same < most and before[same] == word[same]:
-                same += 1
-            del states[same + 1 :], tokens[same + 1 :], starts[same + 1 :]
-            for i in range(same + 1, n + 1):
-                table = inner if i < n else final
-                for j in range(i - longest if i > longest else 0, i):
-                    t = table.get(word[j:i])
-                    if t is not None and step(states[j], t):
-                        states.append(target[t])
-                        tokens.append(t)
-                        starts.append(j)
-                        break
-                else:
-                    raise ValueError(f"no path for {word!r}")
-            path, i = [], n
-            while i:
-                path.append(tokens[i])
-                i = starts[i]
-            out.append(path[::-1])
-            before = word
-        return out
 
-    def codes(self, words: list[bytes]) -> list[list[int]]:
-        """Paths of distinct words, through a bounded memory of the paths found before."""
-        new = sorted({w for w in words if w not in self.words})
-        found = dict(zip(new, self.paths(new)))
-        out = [found[w] if w in found else self.words[w] for w in words]
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-        self.words.update((w, found[w]) for w in new[:WORDS] if len(w) <= 64)
-        return out
+    def _lanes(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Paths of words that are sorted by size, longest first: their tokens one behind another, and how many each word has.
+
+        The path of a prefix is a prefix of paths, so one token per place is enough: that one of the tokens ending there which the
+        state at its start has a transition on, longest first. All words take a step at once.
+        """
+        m, most, ends = len(size), int(size[0]), self.ends
+        token = np.full((most + 1, m), -1, np.int32)
+        state = np.zeros(m, np.int32)
+        active = np.searchsorted(-size, -np.arange(most + 2), "right")  # words of at least so many bytes
+        for i in range(1, most + 1):
+            k, on = active[i], active[i + 1]
+            state = ends.after(state[:k], data[start[:k] + (i - 1)])
+            found = np.concatenate((ends.longest[state[:on]], ends.closing[state[on:k]]))
+            lane = np.arange(k)
+            while len(lane):
+                if found.min() < 0:
+                    at = lane[found.argmin()]
+                    raise ValueError(f"no path for {data[start[at] : start[at] + size[at]].tobytes()!r}")
+                fits = self.transition(token[i - ends.length[found], lane], found)
+                token[i, lane[fits]] = found[fits]
+                lane, found = lane[~fits], ends.shorter[found[~fits]]
+        steps, lane, place = [], np.arange(m), size.copy()
+        while len(lane):
+            t = token[place, lane]
+            row = np.full(m, -1, np.int32)
+            row[lane] = t
+            steps.append(row)
+            place = place - ends.length[t]
+            lane, place = lane[place > 0], place[place > 0]
+        paths = np.stack(steps[::-1], 1)
+        return paths[paths >= 0], (paths >= 0).sum(1)
+
+    def _alone(self, word: np.ndarray) -> np.ndarray:
+        """The path of one long word."""
+        ends, n = self.ends, len(word)
+        token, state = [-1], 0
+        kept: dict[tuple[int, int], bool] = {}
+        for i, c in enumerate(word.tolist(), 1):
+            kind = ends.kind[c]
+            state = ends.begins[c] if kind == ends.step.shape[1] - 1 else ends.step[state, kind]
+            t = int((ends.longest if i < n else ends.closing)[state])
+            while True:
+                if t < 0:
+                    raise ValueError(f"no path for {word.tobytes()[:100]!r}")
+                before = token[i - int(ends.length[t])]
+                if (before, t) not in kept:
+                    kept[before, t] = bool(self.transition(np.array([before]), np.array([t]))[0])
+                if kept[before, t]:
+                    break
+                t = int(ends.shorter[t])
+            token.append(t)
+        path = []
+        while n:
+            path.append(token[n])
+            n -= int(ends.length[token[n]])
+        return np.array(path[::-1], np.int32)
+
+    def paths(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word, the only path of the automaton that spells it; the words lie in ``data`` between the places ``at``.
+
+        Returns the tokens of all paths one behind another and where each word's begin.
+        """
+        size = np.diff(at)
+        order = np.argsort(-size, kind="stable")
+        order = order[size[order] > 0]
+        flat, count = [], np.zeros(len(size), np.int64)
+        lo = int((size[order] > LANE).sum())
+        for w in order[:lo].tolist():
+            flat.append(self._alone(data[at[w] : at[w + 1]]))
+            count[w] = len(flat[-1])
+        while lo < len(order):
+            hi = lo + max(1, CELLS // (int(size[order[lo]]) + 1))
+            some = order[lo:hi]
+            path, count[some] = self._lanes(data, at[some], size[some])
+            flat.append(path)
+            lo = hi
+        # The paths stand in the order of sizes; each moves to its word's place.
+        begin = np.concatenate(([0], np.cumsum(count)))
+        own = count[order]
+        out = np.zeros(begin[-1], np.int32)
+        if len(own):
+            out[np.arange(begin[-1]) - np.repeat(np.cumsum(own) - own, own) + np.repeat(begin[order], own)] = np.concatenate(flat)
+        return out, begin
 
     def normalise(self, text: str) -> str:
         return text.lower() if text.isascii() else self.normal.normalize_str(text)
@@ -233,7 +385,7 @@ class Encoder:
         segments, owner, ids_of = [], [], []
         for i, text in enumerate(texts):
             for part in self._parts(text):
-                special = self.special.get(part) if len(part) < 40 else None
+                special = self.special.get(part)
                 ids_of.append(special)
                 segments.append("" if special is not None else self.normalise(part))
                 owner.append(i)
@@ -242,14 +394,11 @@ class Encoder:
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         used = np.zeros(len(coded.dictionary), bool)
         used[code[word]] = True
-        lists: list[list[int]] = [[]] * len(used)
-        distinct = coded.dictionary.filter(pa.array(used)).to_pylist()
-        for i, path in zip(np.flatnonzero(used).tolist(), self.codes(distinct)):
-            lists[i] = path
-        flat = np.fromiter((t for x in lists for t in x), np.int32)
-        n_of = np.fromiter(map(len, lists), np.int64, len(lists))
-        n = np.where(word, n_of[code], 0) if len(code) else np.zeros(0, np.int64)
+        flat, begin = self.paths(*binary(coded.dictionary.filter(pa.array(used))))
+        n_of = np.zeros(len(used), np.int64)
+        n_of[used] = np.diff(begin)
         begin = np.cumsum(n_of) - n_of
+        n = np.where(word, n_of[code], 0) if len(code) else np.zeros(0, np.int64)
         before = np.concatenate(([0], np.cumsum(n)))
         out = flat[np.arange(before[-1]) - np.repeat(before[:-1], n) + np.repeat(begin[code], n)] if len(code) else flat
         per = before[first]  # where each segment begins
@@ -282,6 +431,12 @@ class Encoder:
         return [str(data[a : max(a, b - 1)], "utf-8") for a, b in zip(place[:-1].tolist(), place[1:].tolist())]
 
 
+def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of large binary values and where each begins in them."""
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8), at
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

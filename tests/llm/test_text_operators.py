@@ -90,6 +90,28 @@ def test_automaton_of_small_merges():
             assert by_paths(word) == [by_rank(word)]
 
 
+def test_transitions_equal_the_automaton(encoder):
+    """The answers from spines against the states of the gadgets one by one, for pairs that rules join, that share a part, and at random."""
+    a, r = encoder.a, encoder.transition
+    reached = np.flatnonzero(np.array(a.target) >= 0)
+    made = reached[r.rank[reached] >= 0]
+    rng = np.random.default_rng(2)
+    z, w = rng.choice(made, 3000), rng.choice(reached, 3000)
+    x = np.concatenate((r.left[z], r.right[z], z, r.left[z], w))
+    y = np.concatenate((r.right[z], z, r.left[z], z, rng.permutation(w)))
+    want = np.array([B.allowed(a, a.target[u], v) for u, v in zip(x.tolist(), y.tolist())])
+    assert 0.1 < want.mean() < 0.9
+    assert (r.computed(x, y) == want).all() and (r(x, y) == want).all() and (r(x, y) == want).all()
+
+
+@pytest.mark.parametrize("cells,lane", [(1 << 21, 128), (40, 6)])
+def test_bpe_lanes_of_any_size(encoder, cells, lane, monkeypatch):
+    monkeypatch.setattr(B, "CELLS", cells)
+    monkeypatch.setattr(B, "LANE", lane)
+    rng = random.Random(3)
+    same_as_library(encoder, ["".join(rng.choice(["l", "ll", "he", "r", "ñ", "an", "ing", "  ", "1", "s", "'", "é"]) for _ in range(rng.randint(0, 90))) for _ in range(400)] + ["", "x" * 500])
+
+
 def test_bpe_query_and_odd_rows(spark, odd):
     tokenizer = Tokenizer.from_file(WORD)
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
