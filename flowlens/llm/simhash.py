@@ -7,11 +7,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import LOWER_ASCII, connected
+from flowlens.llm.vectors import block_join
 from flowlens.tables import cut
 
 SEED = 42
@@ -257,10 +259,20 @@ def near_duplicates(
     return rows.join(groups(rows, "id", radius, blocks, tree), "fp").select("id", "fp", F.col("lead").alias("component_id"))
 
 
-#: Minima of a sketch and minima of a band.
-SKETCH, BAND = 128, 5
+#: Minima of a sketch, and the share of pairs at the similarity asked that may meet in no band.
+SKETCH, MISSED = 128, 1e-4
 #: Standard errors by which the sketches of a pair may agree less than asked before the pair is compared by its shingles.
 SLACK = 4
+#: Shingles of the texts that a task holds while others are compared with them.
+HELD_SHINGLES = 4_000_000
+
+
+def band_of(similarity: float) -> int:
+    """Minima of a band: as many as leave no more than MISSED of the pairs at this similarity without a common band."""
+    fits = [b for b in range(1, SKETCH + 1) if (1 - similarity**b) ** (SKETCH // b) <= MISSED]
+    if not fits:
+        raise ValueError(f"sketches of {SKETCH} minima do not find pairs at a similarity of {similarity}")
+    return max(fits)
 
 
 def sketch_of(hashes: list[np.ndarray]) -> np.ndarray:
@@ -332,22 +344,84 @@ def apart_pairs(group: np.ndarray, role: np.ndarray, label: np.ndarray, alike, s
             at, step = end, min(2 * step, 16)
 
 
+class Undecided:
+    """Texts of a shard whose sketches leave open whether they belong together: exact Jaccard over an inverted index of their shingles.
+
+    ``labels`` are the groups known so far. A pair of one group is not compared, and a link that is found unites two groups, so
+    that no more links come out of a shard than it has groups.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, similarity: float, least: float):
+        self.similarity, self.least, self.links = similarity, least, []
+        self.label, self.sketch, self.flat, self.at = self.columns(batch)
+        self.group = self.label.copy()
+        owner = np.repeat(np.arange(len(self.label)), np.diff(self.at))
+        order = np.argsort(self.flat, kind="stable")
+        self.keys, self.owner = self.flat[order], owner[order]
+        for i in range(len(self.label)):
+            self.compare(self.label[i], self.sketch[i], self.flat[self.at[i] : self.at[i + 1]], i + 1)
+
+    @staticmethod
+    def columns(batch: pa.RecordBatch):
+        lists = batch.column("shingles")
+        at = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists).to_numpy(zero_copy_only=False), np.int64))))
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
+        return batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64), sketch, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), at
+
+    def of(self, label: int) -> int:
+        """The group that a label belongs to by now: that of its members, if it has any here."""
+        place = np.flatnonzero(self.label == label)
+        return int(self.group[place[0]]) if len(place) else int(label)
+
+    def compare(self, label: int, sketch: np.ndarray, shingles: np.ndarray, first: int = 0) -> None:
+        group = self.of(label)
+        open_ = np.flatnonzero(self.group[first:] != group) + first
+        open_ = open_[(self.sketch[open_] == sketch).mean(1) >= self.least]
+        if not len(open_):
+            return
+        low, high = np.searchsorted(self.keys, shingles), np.searchsorted(self.keys, shingles, "right")
+        n = high - low
+        both = np.bincount(self.owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)], minlength=len(self.label))[open_]
+        size = np.diff(self.at)[open_] + len(shingles)
+        hit = open_[both >= self.similarity * (size - both)]
+        groups, one = np.unique(self.group[hit], return_index=True)
+        self.links += [(int(label), int(self.label[i])) for i in hit[one]]
+        if len(groups):
+            self.group[np.isin(self.group, groups)] = group
+
+    def meet(self, batch: pa.RecordBatch) -> None:
+        label, sketch, flat, at = self.columns(batch)
+        for i in range(len(label)):
+            self.compare(label[i], sketch[i], flat[at[i] : at[i + 1]])
+
+    def found(self) -> pa.RecordBatch:
+        links = np.array(self.links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(links.min(1)), pa.array(links.max(1))], names=["a", "b"])
+
+
 def similar_groups(
     docs: DataFrame, lead_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, tree: int = TREE
 ) -> DataFrame:
     """(lead, first): for every row of ``docs`` the smallest ``lead_col`` of its group of similar texts.
 
-    Texts are linked if their shingle sets have a Jaccard similarity of ``similarity`` or more, which is computed for every link. What is compared: shards
-    are dealt by bands of least shingle hashes, and at a similarity of 0.8 two texts meet in one of the 25 shards with a probability of 0.9999.
-    In a shard every row meets all others, and those whose sketches agree in ``similarity`` of their minima, less SLACK standard errors, are
-    candidates. First come the candidates that unite the rows whose sketches agree in full ``similarity``; then, over the groups
-    that these have proved, all candidates between different groups. So a group of copies costs its size and no link is left out.
-    Texts of one shingle set are one row from the start. A shard larger than ``tree`` is worked in several parts.
+    Texts are linked if their shingle sets have a Jaccard similarity of ``similarity`` or more, which is computed for every link. Texts of one
+    shingle set are one row from the start. What is compared: shards are dealt by bands of least shingle hashes, as many minima a band as
+    leave at most MISSED of the pairs that are just similar enough without a common shard; in a shard all rows meet, and those whose sketches agree
+    in ``similarity`` of their minima, less SLACK standard errors, are compared by their shingles. So a pair at exactly ``similarity`` is missed with a
+    probability of at most MISSED and that of SLACK standard errors together, about 1.3e-4 at 0.8, and a more similar one with less; it still
+    ends up in one group if other links lead there.
+
+    First come the pairs that unite the rows of a shard whose sketches agree in full ``similarity``. Where groups that these have proved leave
+    rows undecided, a shard gets the shingle sets of its undecided rows, one row each, compares them in the task, and sends only the links
+    that unite groups. So rows grow with the members of a group, never with its pairs. A shard larger than ``tree`` rows, or whose undecided
+    rows have more than HELD_SHINGLES shingles, is worked in several parts.
 
-    Null and wordless texts are similar to each other only. An empty table gives an empty result.
+    Null and wordless texts are similar to each other only. A very long text is read in pieces, but its shingle set is held whole by the task that
+    compares it. Rows that repeat a ``lead_col`` are rows of their own. An empty table gives an empty result.
     """
     least = similarity - SLACK * (similarity * (1 - similarity) / SKETCH) ** 0.5
-    band, ways = BAND, SKETCH // BAND
+    band = band_of(similarity)
+    ways = SKETCH // band
     narrow = docs.select(F.col(lead_col).alias("lead"), F.col(text_col).cast("binary").alias("_text"))
     lead_type = narrow.schema["lead"].dataType.simpleString()
 
@@ -380,8 +454,12 @@ def similar_groups(
     shingles = cut(texts.mapInArrow(sets, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
     keys: list[str | Column] = ["way", "shard", "tree"]
 
-    def candidates(labels: DataFrame, spanning: bool) -> DataFrame:
-        """Pairs (a, b) of nodes to compare; ``labels`` (node, label, sketch)."""
+    def in_shards(labels: DataFrame, schema: str, spanning: bool) -> DataFrame:
+        """What rows of a shard whose labels differ have in common; ``labels`` (node, label, sketch).
+
+        With ``spanning`` pairs (a, b) of rows to compare that unite all alike rows of a shard, else the rows (way, shard, node) that have a
+        partner to be compared with and no earlier shard in common with it.
+        """
         all_of = dealt.join(labels, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
         all_of = all_of.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
         all_of = all_of.select("way", "shard", "tree", (F.col("tree") == F.col("own")).cast("int").alias("role"), "node", "label", "sketch")
@@ -396,6 +474,7 @@ def similar_groups(
                 new = np.ones(len(node), bool)
                 new[1:] = (way[1:] != way[:-1]) | (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])
                 group = np.cumsum(new)
+                undecided = np.zeros(len(node), bool)
 
                 def alike(i, j):
                     same = sketch[i] == sketch[j]
@@ -405,9 +484,13 @@ def similar_groups(
                     return keep
 
                 for i, j in apart_pairs(group, role, label, alike, spanning):
-                    if len(i):
+                    if spanning and len(i):
                         a, b = node[i], node[j]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    undecided[i] = undecided[j] = True
+                if not spanning:
+                    at = np.flatnonzero(undecided)
+                    yield pa.RecordBatch.from_arrays([pa.array(way[at].astype(np.int32)), pa.array(shard[at]), pa.array(node[at])], names=["way", "shard", "node"])
                 held, n = [], 0
                 if not last:  # the last shard goes on: its rows are kept, and have met each other
                     stay = (group == group[-1]) & (role > 0)
@@ -423,7 +506,7 @@ def similar_groups(
                 yield from settle(True)
 
         ordered = all_of.repartition(*keys).sortWithinPartitions(*keys, F.col("role").desc(), "node")
-        return cut(ordered.mapInArrow(link, "a bigint, b bigint").distinct(), "candidates")
+        return cut(ordered.mapInArrow(link, schema).distinct(), "met")
 
     def proved(pairs: DataFrame) -> DataFrame:
         side = lambda c, x: shingles.select(F.col("node").alias(c), F.col("shingles").alias(x))
@@ -432,11 +515,27 @@ def similar_groups(
         sizes = met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
         return cut(sizes.where(F.col("both") >= F.lit(similarity) * (F.col("sum") - F.col("both"))).select("a", "b"), "links")
 
-    known = proved(candidates(meeting.select("node", F.col("node").alias("label"), "sketch"), True))
+    def uniting(labels: DataFrame) -> DataFrame:
+        """Links (a, b) of labels, proved in the shards that have undecided rows."""
+        members = in_shards(labels, "way int, shard bigint, node bigint", False).join(labels, "node").join(shingles, "node")
+        members = cut(members.select("way", "shard", "node", "label", "sketch", "shingles", F.size("shingles").alias("size")), "undecided")
+        sizes = members.groupBy("way", "shard").agg(F.sum("size").alias("size"))
+        sizes = sizes.select("way", "shard", F.ceil((F.col("size") + 1) / HELD_SHINGLES).cast("int").alias("parts"))
+        split = members.join(cut(sizes, "parts"), ["way", "shard"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        split = split.select("way", "shard", "part", (F.col("part") == F.col("own")).cast("int").alias("role"), "label", "sketch", "shingles")
+
+        def visit(block: Undecided, batch: pa.RecordBatch):
+            block.meet(batch)
+            return iter(())
+
+        return block_join(split, ["way", "shard", "part"], "a bigint, b bigint", lambda b: Undecided(b, similarity, least), visit, lambda block: iter([block.found()]))
+
+    known = proved(in_shards(meeting.select("node", F.col("node").alias("label"), "sketch"), "a bigint, b bigint", True))
     groups = cut(connected(known), "proved")
-    labels = meeting.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "sketch")
-    edges = known.unionByName(proved(candidates(labels, False)))
-    roots = cut(connected(edges), "roots")
-    named = per.select("node", "lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labels = cut(meeting.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "sketch"), "labels")
+    over = cut(connected(uniting(labels)), "roots")  # groups of groups
+    named = per.select("node", "lead").join(groups, "node", "left").select("lead", "node", F.coalesce("root", "node").alias("label"))
+    named = named.join(over.select(F.col("node").alias("label"), F.col("root").alias("over")), "label", "left").withColumn("root", F.coalesce("over", "label"))
     named = cut(named.join(named.groupBy("root").agg(F.min("lead").alias("first")), "root").select("node", "first"), "groups")
     return rows.select("lead", "node").join(named, "node").select("lead", "first")

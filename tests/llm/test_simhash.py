@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -139,7 +140,7 @@ def test_every_row_of_a_shard_searches(spark, monkeypatch):
     """One shard; the link between two large groups joins two rows that earlier rows have linked."""
     same = {"x": [1] * 63, "b": [1] * 32 + [2] * 31, "c": [3] * 32 + [2] * 31, "y": [3] * 32 + [4] * 31}
     kinds: dict[int, str] = {}
-    monkeypatch.setattr(S, "BAND", 65)
+    monkeypatch.setattr(S, "band_of", lambda similarity: 65)
     monkeypatch.setattr(S, "sketch_of", lambda hashes: np.array([0] * 65 + same[kinds[int(hashes[0][0])]], np.uint32))
     rng = random.Random(8)
 
@@ -186,6 +187,49 @@ def test_similar_near_the_threshold(spark):
     assert similar(spark, texts) == want
 
 
+def test_bands_follow_the_similarity(spark):
+    assert S.band_of(0.8) == 5
+    for similarity in (0.3, 0.5, 0.65, 0.9, 1.0):
+        band = S.band_of(similarity)
+        assert (1 - similarity**band) ** (S.SKETCH // band) <= S.MISSED
+    with pytest.raises(ValueError):
+        S.band_of(0.01)
+    rng, texts = random.Random(9), []
+    for f in range(25):  # pairs at about one half
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(200)]
+        own = [f"w{rng.randint(0, 10**9)}" if i % 24 == 3 else w for i, w in enumerate(words)][: 190 if f % 2 else 200]
+        texts += [" ".join(words), " ".join(own)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict((r.lead, r.first) for r in S.similar_groups(rows, "doc_id", similarity=0.5).collect())
+    assert [got[i] for i in range(len(texts))] == brute_similar(texts, 0.5)
+
+
+@pytest.mark.parametrize("held", [S.HELD_SHINGLES, 900])
+def test_undecided_rows_send_no_pairs(spark, monkeypatch, held):
+    """A group whose members are 0.7 alike, with some links among them: many candidates, few links, no row per pair."""
+    monkeypatch.setattr(S, "HELD_SHINGLES", held)
+    rng = random.Random(10)
+    words = [f"w{rng.randint(0, 10**9)}" for _ in range(250)]
+    texts = []
+    for i in range(160):
+        own = list(words)
+        for at in rng.sample(range(0, 250, 6), 8):
+            own[at] = f"w{rng.randint(0, 10**9)}"
+        texts.append(" ".join(own))
+        if i % 4 == 0:
+            own[rng.randint(0, 249)] = "changed"
+            texts.append(" ".join(own))
+    want = brute_similar(texts)
+    assert 20 < len(set(want)) < len(texts)
+    assert similar(spark, texts) == want
+    shingles = [S.shingle_set(list(S.shingle_hashes(t.encode(), 5))).view(np.int64) for t in texts]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts)), pa.int64()), pa.array([S.sketch_of([s.view(np.uint64)]).tobytes() for s in shingles]), pa.array(shingles, pa.list_(pa.int64()))], names=["label", "sketch", "shingles"],
+    )
+    sent = S.Undecided(batch, 0.8, 0.66).found()
+    assert sent.num_rows == len(texts) - len(set(want))
+
+
 def test_forest_finds_all():
     rng = np.random.default_rng(4)
     fps = rng.integers(0, 2**63, 500, dtype=np.uint64) & np.uint64(0xFFF0F)
