@@ -39,23 +39,38 @@ def positions(df: DataFrame, key: str = "window_id", out: str = "pos", total: st
     return keys.join(offsets, "_chunk").select(key, (inside + F.col("_offset")).cast("bigint").alias(out), total)
 
 
-def cut_keys(df: DataFrame, by: Sequence[str], key: str, wanted: DataFrame, digits: int = 3) -> DataFrame:
+#: Hex digits by which a bucket of keys is divided at once, rows that are sorted together at most, and hex digits of a key.
+DIGITS, BUCKET, LENGTH = 3, 250_000, 32
+
+
+def cut_keys(df: DataFrame, by: Sequence[str], key: str, wanted: DataFrame, digits: int = DIGITS, bucket: int = BUCKET, length: int = LENGTH) -> DataFrame:
     """For every group and named cut, the hash key below or at which exactly ``k`` rows lie.
 
-    ``df`` has the columns ``by`` and a unique hex digest ``key``; ``wanted`` has ``by``, ``cut``, ``k``.
-    Counts per leading hex digits find the one bucket that holds the k-th key; only that bucket
-    (1/4096 of a group) is sorted. A group of any size is never sorted or moved as a whole.
+    ``df`` has the columns ``by`` and a hex digest ``key``; ``wanted`` has ``by``, ``cut``, ``k``. Counts per leading digits find the bucket
+    that holds the k-th key. While one of these has more than ``bucket`` rows, it is divided by its next digits, in a pass that
+    counts the rows of these buckets only. What is left is sorted. A group of any size is never sorted or moved as a whole.
     """
     by = list(by)
-    keyed = df.select(*by, F.col(key).alias("_key")).withColumn("_bucket", F.substring("_key", 1, digits))
-    sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
-    along = Window.partitionBy(*by).orderBy("_bucket")
-    sizes = sizes.withColumn("_upto", F.sum("_size").over(along))
-    edge = sizes.join(wanted, by).where((F.col("_upto") - F.col("_size") < F.col("k")) & (F.col("k") <= F.col("_upto")))
-    edge = cut(edge.select(*by, "cut", "_bucket", (F.col("k") - F.col("_upto") + F.col("_size")).alias("_rank")))
+    rows = df.select(*by, F.col(key).alias("_key"))
+    edge = cut(wanted.where(F.col("k") > 0).select(*by, "cut", F.lit("").alias("_prefix"), F.col("k").alias("_rank")), "edges")
+    depth = 0
+    while depth < length:
+        depth += digits
+        inside = rows if depth == digits else rows.withColumn("_prefix", F.substring("_key", 1, depth - digits)).join(
+            edge.select(*by, "_prefix").distinct(), [*by, "_prefix"], "left_semi"
+        )
+        sizes = inside.groupBy(*by, F.substring("_key", 1, depth).alias("_bucket")).agg(F.count("*").alias("_size"))
+        sizes = sizes.withColumn("_prefix", F.substring("_bucket", 1, depth - digits))
+        upto = F.sum("_size").over(Window.partitionBy(*by, "_prefix").orderBy("_bucket"))
+        held = sizes.withColumn("_upto", upto).join(edge.drop("_size"), [*by, "_prefix"])
+        held = held.where((F.col("_upto") - F.col("_size") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
+        edge = cut(held.select(*by, "cut", F.col("_bucket").alias("_prefix"), (F.col("_rank") - F.col("_upto") + F.col("_size")).alias("_rank"), "_size"), "edges")
+        if (edge.agg(F.max("_size")).first()[0] or 0) <= bucket:
+            break
     inside = Window.partitionBy(*by, "cut").orderBy("_key")
     found = (
-        keyed.join(edge, [*by, "_bucket"])
+        rows.withColumn("_prefix", F.substring("_key", 1, depth))
+        .join(edge.drop("_size"), [*by, "_prefix"])
         .withColumn("_place", F.row_number().over(inside))
         .where(F.col("_place") == F.col("_rank"))
         .select(*by, "cut", F.col("_key").alias("upto_key"))
@@ -66,14 +81,39 @@ def cut_keys(df: DataFrame, by: Sequence[str], key: str, wanted: DataFrame, digi
     )
 
 
-def hash_positions(df: DataFrame, key: Column, out: str, digits: int = 3) -> DataFrame:
-    """``df`` with the 1-based position of each row in the order of a uniform hex digest."""
-    keyed = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, digits))
-    sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    offsets = sizes.select("_bucket", (F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size")).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
-    ranked = keyed.join(cut(offsets), "_bucket").withColumn(out, inside + F.col("_offset"))
-    return ranked.drop("_key", "_bucket", "_offset")
+def hash_positions(df: DataFrame, key: Column, out: str, digits: int = DIGITS, bucket: int = BUCKET, length: int = LENGTH) -> DataFrame:
+    """``df`` with the 1-based position of each row in the order of a uniform hex digest.
+
+    Buckets of leading digits with more than ``bucket`` rows are divided by their next digits, level by level. The tree of their counts gives
+    the rows before each bucket: inside a parent by a running sum over its children, down from the root; so no level is ordered in one
+    task but the first, of 16^``digits`` counts.
+    """
+    keyed = df.withColumn("_key", key)
+    level = keyed.groupBy(F.substring("_key", 1, digits).alias("_bucket")).agg(F.count("*").alias("_size"))
+    level = cut(level.withColumn("_before", F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size")), "level")
+    depth, leaves, depths = digits, None, [digits]
+    while True:
+        small = level.where(F.col("_size") <= bucket) if depth < length else level
+        leaves = small if leaves is None else leaves.unionByName(small)
+        full = level.where(F.col("_size") > bucket).select(F.col("_bucket").alias("_parent"), F.col("_before").alias("_outer"))
+        if depth >= length or full.isEmpty():
+            break
+        depth += digits
+        depths.append(depth)
+        deeper = keyed.select("_key", F.substring("_key", 1, depth - digits).alias("_parent")).join(full, "_parent")
+        sizes = deeper.groupBy("_parent", "_outer", F.substring("_key", 1, depth).alias("_bucket")).agg(F.count("*").alias("_size"))
+        along = F.sum("_size").over(Window.partitionBy("_parent").orderBy("_bucket"))
+        level = cut(sizes.select("_bucket", "_size", (F.col("_outer") + along - F.col("_size")).alias("_before")), "level")
+    if len(depths) == 1:
+        ranked = keyed.withColumn("_bucket", F.substring("_key", 1, digits)).join(leaves, "_bucket")
+    else:
+        leaves = cut(leaves, "leaves")
+        parts = [keyed.withColumn("_bucket", F.substring("_key", 1, d)).join(leaves.where(F.length("_bucket") == min(d, length)), "_bucket") for d in depths]
+        ranked = parts[0]
+        for p in parts[1:]:
+            ranked = ranked.unionByName(p)
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
+    return ranked.withColumn(out, place + F.col("_before")).drop("_key", "_bucket", "_size", "_before")
 
 
 def ranged(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:

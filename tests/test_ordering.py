@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions import ordering as O
@@ -52,16 +53,25 @@ def test_places_and_ranks(spark):
         assert ranks[v] == below + (same + 1) / 2
 
 
-def test_cut_keys_are_exact(spark):
+@pytest.mark.parametrize("digits,bucket", [(3, 250_000), (1, 20), (1, 1), (2, 7)])
+def test_cut_keys_are_exact(spark, digits, bucket):
     rows = [("hot" if i % 10 else "cold", str(i)) for i in range(2000)]
     df = spark.createDataFrame(rows, "g string, id string").withColumn("h", S.hash_order(5, F.col("id")))
     wanted = spark.createDataFrame([("hot", "a", 700), ("hot", "b", 1800), ("cold", "a", 0), ("cold", "b", 37)], "g string, cut string, k bigint")
-    keys = {(r["g"], r["cut"]): r["upto_key"] for r in O.cut_keys(df, ["g"], "h", wanted).collect()}
+    keys = {(r["g"], r["cut"]): r["upto_key"] for r in O.cut_keys(df, ["g"], "h", wanted, digits, bucket).collect()}
     for (g, c), k in {("hot", "a"): 700, ("hot", "b"): 1800, ("cold", "a"): 0, ("cold", "b"): 37}.items():
         assert df.where((F.col("g") == g) & (F.col("h") <= keys[(g, c)])).count() == k
 
 
-def test_hash_positions(spark):
+@pytest.mark.parametrize("digits,bucket", [(3, 250_000), (1, 40), (1, 1)])
+def test_hash_positions(spark, digits, bucket):
     df = spark.range(500).withColumn("id", F.col("id").cast("string"))
-    got = O.hash_positions(df, S.hash_order(1, F.col("id")), "p").withColumn("h", S.hash_order(1, F.col("id"))).orderBy("h").collect()
+    got = O.hash_positions(df, S.hash_order(1, F.col("id")), "p", digits, bucket).withColumn("h", S.hash_order(1, F.col("id"))).orderBy("h").collect()
     assert [r["p"] for r in got] == list(range(1, 501))
+
+
+def test_positions_of_equal_keys(spark):
+    """Keys that are equal to the last digit cannot be divided and are still ranked."""
+    df = spark.createDataFrame([(k,) for k in ["aa"] * 5 + ["ab", "b0", "00"]], "k string")
+    got = O.hash_positions(df, F.col("k"), "p", 1, 1, 2).orderBy("p").collect()
+    assert [r.p for r in got] == list(range(1, 9)) and [r.k for r in got] == sorted(["aa"] * 5 + ["ab", "b0", "00"])
