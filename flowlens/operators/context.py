@@ -71,12 +71,13 @@ def behavioural_context(df: DataFrame, alpha: float = 0.3, age_mode: str = "elap
 def host_context(
     df: DataFrame, structural: bool = True, behavioural: bool = True, role: bool = True, time: bool = False,
     alpha: float = 0.3, age_mode: str = "elapsed", age_cap: float | None = None, iters: int = 30, damping: float = 0.85,
+    grouped: bool = False,
 ) -> DataFrame:
     """All context columns per (window, host). Input: flows of kept windows with window_id.
 
     The flows are read twice: once for the pair table, which is written since four branches read it, and
     once for the port table. Tables per (window, host) share that partitioning, so their joins add no
-    shuffle; the history comes last and moves the assembled rows once, to their host.
+    shuffle; the history comes last and moves the assembled rows once, to their host. ``grouped`` works small windows whole in tasks, see ``graph.structure``.
     """
     pairs = cut(G.pair_table(df), "pairs")
     ends = G.endpoints(pairs)
@@ -86,7 +87,7 @@ def host_context(
     if behavioural or role:
         table = table.join(port_stats(G.port_counts(df)), G.NODE, "left")
     if structural:
-        table = G.structural_columns(table, pairs, ends, iters, damping)
+        table = G.structural_columns(table, pairs, ends, iters, damping, grouped)
     if role:
         table = role_columns(table)
     if behavioural:
@@ -97,7 +98,8 @@ def host_context(
                 "log_ports": F.log1p(F.coalesce("n_ports", F.lit(0))), "log_peers": F.log1p("peers"),
             }
         )
-        table = H.first_seen_flag(H.host_age(H.ewma_zscore(H.ewma_history(table, alpha=alpha)), age_mode, age_cap))
+        between = tuple(pairs.agg(F.min("window_id"), F.max("window_id")).first())
+        table = H.first_seen_flag(H.host_age(H.ewma_zscore(H.ewma_history(table, alpha=alpha, between=between)), age_mode, age_cap))
     if time:
         table = table.join(time_context(df), "window_id")
     names = context_names(structural, behavioural, role, time)

@@ -136,57 +136,120 @@ def _structure_of(iters: int, damping: float, with_triangles: bool):
     return run
 
 
-def structure_grouped(pairs: DataFrame, iters: int = 30, damping: float = 0.85, with_triangles: bool = True) -> DataFrame:
+#: Pairs of windows that a task of the grouped form holds at once; a larger window is refused there.
+GROUP = 200_000
+
+
+def structure_grouped(pairs: DataFrame, iters: int = 30, damping: float = 0.85, with_triangles: bool = True, group: int = GROUP) -> DataFrame:
     """PageRank times hosts, neighbours and triangles, each window whole in one task; many windows share a vectorised call.
 
-    The windows are dealt over ``spark.sql.shuffle.partitions`` hash buckets. The caller knows that a bucket of windows fits into a task.
+    For windows that a time span keeps small: none may have more than ``group`` pairs, which is checked. Windows are dealt over as many
+    hash buckets as keep the mean bucket at half of that.
     """
-    buckets = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = pairs.groupBy("window_id").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    total, largest = sizes[0] or 0, sizes[1] or 0
+    if largest > group:
+        raise ValueError(f"a window has {largest} pairs, more than the {group} that a task may hold; use the form by joins")
+    buckets = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // group))
     spread = pairs.select("window_id", "src", "dst", "w").withColumn("_bucket", F.pmod(F.xxhash64("window_id"), F.lit(buckets)))
     schema = f"window_id {dict(pairs.dtypes)['window_id']}, host string, pagerank double" + (", k bigint, triangles bigint" if with_triangles else "")
     work = _structure_of(iters, damping, with_triangles)
     return spread.groupBy("_bucket").applyInPandas(lambda pdf: work(pdf), schema)
 
 
-def pagerank_iterative(pairs: DataFrame, iters: int = 30, damping: float = 0.85) -> DataFrame:
-    """The same values by joins, for windows too large for one task. Each step is written, so that a step
-    never re-plans the ones before it and a lost executor costs one step.
+#: Iterations that one written table holds, and how far the growth of a window's hosts may differ for it to be settled.
+STEPS, SETTLED = 6, 1e-13
+
+
+def _coefficients(iters: int, damping: float):
+    """From the sums T[0..iters] of a window (column ``_t``), the weights with which y[0..iters] add up to the ranks after ``iters`` steps.
+
+    What hosts without sent flows hold in y[j] is what does not move on: T[j] - T[j+1] / d. With c[k] = (1 - d) + d * (rank held by those after k
+    steps), the ranks are y[k] + sum of c[k-1-j] * y[j].
+    """
+    held = F.transform(F.sequence(F.lit(0), F.lit(iters - 1)), lambda j: F.col("_t")[j] - F.col("_t")[j + 1] / damping)
+
+    def step(c, k):  # c holds c[k-1], ..., c[0], 1
+        lost = F.aggregate(F.zip_with(c, F.slice(held, F.lit(1), F.size(c)), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+        return F.concat(F.array(F.lit(1.0 - damping) + damping * lost), c)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(iters - 1)), F.array(F.lit(1.0)), step)
+
 
-    Rank that moves plus rank that is spread adds up to one, so only rounding needs the renormalisation:
-    it is done once, at the end.
+def pagerank_iterative(pairs: DataFrame, iters: int = 30, damping: float = 0.85, steps: int = STEPS, settled: float = SETTLED) -> DataFrame:
+    """The same values by joins, for windows of any size.
+
+    What is iterated is y[j+1] = d * P' * y[j] from the even start, without the rank that hosts which send nothing give back: that rank is spread evenly, so
+    it only scales the start, and the ranks are a weighted sum of all y[j], with weights that follow from a window's sums. So
+    an iteration is one join and one sum, and moves nothing but messages: steps and state are dealt alike on (window, host), and ``steps``
+    iterations are one job, in which the table of steps is dealt once, and one written table. A window ends early if its messages run
+    dry or if all its hosts shrink alike, since the rest is then a geometric series.
     """
+    if iters < 1:
+        raise ValueError("at least one iteration")
     sent = pairs.groupBy("window_id", F.col("src").alias("host")).agg(F.sum("w").alias("sent"))
     names = pairs.select("window_id", F.explode(F.array("src", "dst")).alias("host")).distinct()
-    sizes = cut(names.groupBy("window_id").agg(F.count("*").cast("double").alias("size")))
-    base = cut(names.join(sent, NODE, "left").join(sizes, "window_id").select(*NODE, "size", F.col("sent").isNull().alias("stuck"), "sent"))
-    step = cut(
-        pairs.join(base.select("window_id", F.col("host").alias("src"), "sent"), ["window_id", "src"]).select(
-            "window_id", F.col("src").alias("host"), "dst", (F.col("w") / F.col("sent")).alias("step")
-        )
+    sizes = cut(names.groupBy("window_id").agg(F.count("*").cast("double").alias("size")), "sizes")
+    first = cut(names.join(sizes, "window_id").select(*NODE, (1.0 / F.col("size")).alias("y")), "first")
+    step = pairs.select("window_id", F.col("src").alias("host"), "dst", "w").join(sent, NODE)
+    step = cut(step.select(*NODE, "dst", (damping * F.col("w") / F.col("sent")).alias("step")), "steps")
+    tables, ended = [first.withColumn("j", F.lit(0))], None
+    y, done = first, 0
+    while done < iters:
+        block = min(steps, iters - done)
+        rows = []
+        for j in range(done + 1, done + block + 1):
+            moved = step.join(y, NODE).select("window_id", F.col("dst").alias("host"), (F.col("step") * F.col("y")).alias("y"))
+            y = moved.groupBy(*NODE).agg(F.sum("y").alias("y"))
+            rows.append(y.withColumn("j", F.lit(j)))
+        together = rows[0]
+        for r in rows[1:]:
+            together = together.unionByName(r)
+        tables.append(cut(together, "ranks"))
+        done += block
+        y = tables[-1].where(F.col("j") == done).drop("j")
+        if done < iters and block > 1:
+            last = tables[-1].where(F.col("j") >= done - 1).groupBy(*NODE).agg(
+                F.max(F.when(F.col("j") == done - 1, F.col("y"))).alias("a"), F.max(F.when(F.col("j") == done, F.col("y"))).alias("b")
+            )
+            pace = F.col("b") / F.col("a")
+            same = last.groupBy("window_id").agg(F.min(pace).alias("slow"), F.max(pace).alias("fast"), F.count("*").alias("n"), F.count("a").alias("na"), F.count("b").alias("nb"))
+            same = same.where((F.col("n") == F.col("na")) & (F.col("n") == F.col("nb")) & (F.col("fast") - F.col("slow") <= settled * F.col("fast")))
+            same = cut(same.select("window_id", F.lit(done).alias("at"), ((F.col("slow") + F.col("fast")) / 2).alias("pace")), "settled")
+            ended = same if ended is None else ended.unionByName(same)
+            y = y.join(same.select("window_id"), "window_id", "left_anti")
+            if y.isEmpty():
+                break
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    sums = every.groupBy("window_id", "j").agg(F.sum("y").alias("t")).groupBy("window_id").agg(F.map_from_entries(F.collect_list(F.struct("j", "t"))).alias("_m"))
+    if ended is None:
+        sums = sums.withColumns({"at": F.lit(None).cast("int"), "pace": F.lit(None).cast("double")})
+    else:
+        sums = sums.join(ended, "window_id", "left")
+    whole = F.transform(
+        F.sequence(F.lit(0), F.lit(iters)),
+        lambda j: F.when(j > F.col("at"), F.try_element_at("_m", F.col("at")) * F.pow("pace", j - F.col("at"))).otherwise(F.coalesce(F.try_element_at("_m", j), F.lit(0.0))),
     )
-    base = base.drop("sent")
-    rank = base.withColumn("rank", F.lit(1.0) / F.col("size"))
-    for _ in range(iters):
-        lost = rank.where("stuck").groupBy("window_id").agg(F.sum("rank").alias("lost"))
-        moved = step.join(rank.select(*NODE, "rank"), NODE).groupBy("window_id", F.col("dst").alias("host")).agg(
-            F.sum(F.col("rank") * F.col("step")).alias("moved")
-        )
-        flow = F.coalesce("moved", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("size")
-        stepped = base.join(moved, NODE, "left").join(lost, "window_id", "left")
-        rank = cut(stepped.select(*NODE, "size", "stuck", ((1.0 - damping) / F.col("size") + damping * flow).alias("rank")), "rank")
-    whole = rank.groupBy("window_id").agg(F.sum("rank").alias("whole"))
-    return rank.join(whole, "window_id").select(*NODE, (F.col("rank") / F.col("whole") * F.col("size")).alias("pagerank"))
+    weights = sums.select("window_id", "at", "pace", whole.alias("_t")).withColumn("_c", _coefficients(iters, damping))
+    # A settled window adds all that is to come to its last row.
+    rest = F.aggregate(
+        F.sequence(F.lit(0), F.lit(iters) - F.col("at")), F.lit(0.0), lambda acc, i: acc + F.element_at("_c", F.col("at") + i + 1) * F.pow("pace", i)
+    )
+    weights = cut(weights.select("window_id", "_c", "at", F.when(F.col("at").isNotNull(), rest).alias("rest")).join(sizes, "window_id"), "weights")
+    scale = F.when(F.col("j") == F.col("at"), F.col("rest")).otherwise(F.element_at("_c", F.col("j") + 1))
+    return every.join(weights, "window_id").groupBy(*NODE).agg(F.sum(F.col("y") * scale * F.col("size")).alias("pagerank"))
 
 
 def structure(
-    pairs: DataFrame, ends: DataFrame | None = None, iters: int = 30, damping: float = 0.85, with_triangles: bool = True, grouped: bool = True,
+    pairs: DataFrame, ends: DataFrame | None = None, iters: int = 30, damping: float = 0.85, with_triangles: bool = True, grouped: bool = False,
 ) -> DataFrame:
     """PageRank times the number of hosts of the window, with neighbours ``k`` and ``triangles`` if asked.
 
-    Ranks follow the weighted multigraph; the rank of hosts without sent flows is spread evenly. The caller, not the data, says how: with
-    ``grouped`` a window is worked whole inside a task, as windows bounded by a time span allow; without it distributed joins
-    do the work, for windows of any size. Both give the same values. ``pairs`` (and ``ends``) should be written tables,
-    since they are read more than once.
+    Ranks follow the weighted multigraph; the rank of hosts without sent flows is spread evenly. Joins do the work, for windows of any
+    size. With ``grouped``, the caller's choice for windows that are known to be small, a window is worked whole inside a task, and one
+    that is too large is refused. Both give the same values. ``pairs`` (and ``ends``) should be written tables, since they are read more than once.
     """
     if grouped:
         return structure_grouped(pairs, iters, damping, with_triangles)
@@ -197,7 +260,7 @@ def structure(
     return ranks
 
 
-def pagerank(pairs: DataFrame, iters: int = 30, damping: float = 0.85, grouped: bool = True) -> DataFrame:
+def pagerank(pairs: DataFrame, iters: int = 30, damping: float = 0.85, grouped: bool = False) -> DataFrame:
     return structure(pairs, None, iters, damping, with_triangles=False, grouped=grouped)
 
 
@@ -241,9 +304,9 @@ def clustering(ends: DataFrame) -> DataFrame:
     return found.withColumn("clustering", clustering_of(F.col("k"), F.col("triangles")))
 
 
-def structural_columns(table: DataFrame, pairs: DataFrame, ends: DataFrame, iters: int = 30, damping: float = 0.85) -> DataFrame:
+def structural_columns(table: DataFrame, pairs: DataFrame, ends: DataFrame, iters: int = 30, damping: float = 0.85, grouped: bool = False) -> DataFrame:
     """Structural context columns for a host-count table."""
-    joined = table.join(structure(pairs, ends, iters, damping), NODE)
+    joined = table.join(structure(pairs, ends, iters, damping, grouped=grouped), NODE)
     return joined.withColumns(
         {
             "in_degree": F.log1p("flows_in"), "out_degree": F.log1p("flows_out"), "unique_peers": F.log1p("peers"),
@@ -252,11 +315,11 @@ def structural_columns(table: DataFrame, pairs: DataFrame, ends: DataFrame, iter
     )
 
 
-def structural_context(df: DataFrame, iters: int = 30, damping: float = 0.85) -> DataFrame:
+def structural_context(df: DataFrame, iters: int = 30, damping: float = 0.85, grouped: bool = False) -> DataFrame:
     """log degrees, log peers, PageRank times hosts, clustering."""
     pairs = cut(pair_table(df), "pairs")
     ends = cut(endpoints(pairs), "endpoints")
-    out = structural_columns(host_counts(ends), pairs, ends, iters, damping)
+    out = structural_columns(host_counts(ends), pairs, ends, iters, damping, grouped)
     return out.select(*NODE, "in_degree", "out_degree", "unique_peers", "pagerank", "clustering")
 
 

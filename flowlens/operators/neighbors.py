@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.context import BEHAVIOURAL, ROLE, STRUCTURAL
@@ -83,21 +83,69 @@ def neighbor_max(nodes: DataFrame, df: DataFrame, node_columns: Sequence[str], e
     return neighbor_agg(nodes, df, node_columns, edge_columns, "max")
 
 
-def segment_softmax(msgs: DataFrame, score: str, out: str = "alpha") -> DataFrame:
-    """Softmax of a score over the messages of each receiver. Peak and total are map-side combined
-    aggregates joined back, so a receiver with very many messages is never gathered in one task."""
-    peaks = msgs.groupBy(*KEY).agg(F.max(score).alias("_peak"))
-    raised = msgs.join(peaks, KEY).withColumn("_e", F.exp(F.col(score) - F.col("_peak")))
-    totals = raised.groupBy(*KEY).agg(F.sum("_e").alias("_total"))
-    return raised.join(totals, KEY).withColumn(out, F.col("_e") / F.greatest("_total", F.lit(1e-16))).drop("_peak", "_e", "_total")
+#: A receiver with more than one of so many messages has them dealt over several salts; no more receivers than that can have so many.
+SHARES = 64
 
 
-def softmax_mean(msgs: DataFrame, score: str, values: Sequence[str]) -> DataFrame:
-    """Softmax-weighted sum of values per receiver: two aggregations, no per-message weight is kept."""
-    peaks = msgs.groupBy(*KEY).agg(F.max(score).alias("_peak"))
-    raised = msgs.join(peaks, KEY).withColumn("_e", F.exp(F.col(score) - F.col("_peak")))
-    total = F.greatest(F.sum("_e"), F.lit(1e-16))
-    return raised.groupBy(*KEY).agg(*[(F.sum(F.col("_e") * F.col(v)) / total).alias(v) for v in values])
+class _Spread:
+    """Messages with a salt ``_salt``: 0 for most receivers, several for those with many messages.
+
+    The list of receivers with many messages has ``shares`` rows at most and is written, so that its size is known.
+    """
+
+    def __init__(self, msgs: DataFrame, shares: int):
+        counts = cut(msgs.groupBy(*KEY).agg(F.count("*").alias("_n")), "receivers")
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+        per = max(1, total // shares)
+        self.large = cut(counts.where(F.col("_n") > per).select(*KEY, F.ceil(F.col("_n") / per).cast("int").alias("_salts")), "large")
+        # Any salt of its receiver will do for a message, so a task that runs again may draw another one.
+        salt = F.floor(F.rand() * F.coalesce("_salts", F.lit(1))).cast("int")
+        self.msgs = msgs.join(self.large, KEY, "left").withColumn("_salt", salt).drop("_salts")
+
+    def every_salt(self, table: DataFrame) -> DataFrame:
+        """A table with one row per receiver, copied for every salt of it."""
+        salts = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+        return table.join(self.large, KEY, "left").withColumn("_salt", salts).drop("_salts")
+
+
+def softmax_states(msgs: DataFrame, score: str, values: Sequence[str] = ()) -> DataFrame:
+    """(window, receiver, salt) with the peak of the scores, ``_total`` = sum of exp(score - peak), and that sum weighted by every value.
+
+    Two such states of one receiver merge: both are lowered to the higher peak and added.
+    """
+    salted = [*KEY, "_salt"]
+    raised = msgs.withColumn("_peak", F.max(score).over(Window.partitionBy(*salted))).withColumn("_e", F.exp(F.col(score) - F.col("_peak")))
+    sums = [F.sum("_e").alias("_total"), *[F.sum(F.col("_e") * F.col(v)).alias(f"_sum_{v}") for v in values]]
+    return raised.groupBy(*salted).agg(F.max("_peak").alias("_peak"), *sums)
+
+
+def merged_states(states: DataFrame, values: Sequence[str] = ()) -> DataFrame:
+    """One state per receiver, from at most as many as it has salts."""
+    sums = ["_total", *[f"_sum_{v}" for v in values]]
+    held = states.groupBy(*KEY).agg(F.max("_peak").alias("_peak"), F.collect_list(F.struct("_peak", *sums)).alias("_parts"))
+
+    def lowered(name: str) -> Column:
+        return F.aggregate("_parts", F.lit(0.0), lambda acc, p: acc + F.coalesce(p[name] * F.exp(p["_peak"] - F.col("_peak")), F.lit(0.0)))
+
+    return held.select(*KEY, "_peak", *[lowered(n).alias(n) for n in sums])
+
+
+def segment_softmax(msgs: DataFrame, score: str, out: str = "alpha", shares: int = SHARES) -> DataFrame:
+    """Softmax of a score over the messages of each receiver.
+
+    Messages of a receiver with more than one of ``shares`` of them are dealt over salts; every salt has a state (peak, total), the states of a
+    receiver are merged, and the merged one goes back to all its salts. So no task holds a receiver with very many messages.
+    """
+    spread = _Spread(msgs, shares)
+    back = spread.every_salt(merged_states(softmax_states(spread.msgs, score)))
+    joined = spread.msgs.join(back, [*KEY, "_salt"])
+    return joined.withColumn(out, F.exp(F.col(score) - F.col("_peak")) / F.greatest("_total", F.lit(1e-16))).drop("_peak", "_total", "_salt")
+
+
+def softmax_mean(msgs: DataFrame, score: str, values: Sequence[str], shares: int = SHARES) -> DataFrame:
+    """Softmax-weighted sum of values per receiver: the merged states have it, nothing goes back to the messages."""
+    merged = merged_states(softmax_states(_Spread(msgs, shares).msgs, score, values), values)
+    return merged.select(*KEY, *[(F.col(f"_sum_{v}") / F.greatest("_total", F.lit(1e-16))).alias(v) for v in values])
 
 
 def khop(nodes: DataFrame, df: DataFrame, columns: Sequence[str], k: int = 2, how: str = "mean") -> DataFrame:
@@ -133,5 +181,7 @@ def node_init(nodes: DataFrame, variant: str) -> tuple[DataFrame, list[str]]:
     groups = {"structural": STRUCTURAL, "context": STRUCTURAL + BEHAVIOURAL + ROLE}
     if variant not in groups:
         raise ValueError(f"unknown variant {variant}")
-    present = [c for c in groups[variant] if c in nodes.columns]
-    return nodes.select("window_id", "host", *present), present
+    missing = [c for c in groups[variant] if c not in nodes.columns]
+    if missing:
+        raise ValueError(f"the node table lacks {missing}")
+    return nodes.select("window_id", "host", *groups[variant]), groups[variant]

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
+from flowlens.operators import context as X
 from flowlens.operators import graph as G
 from flowlens.operators import neighbors as N
 from flowlens.plans.base import kept
 from flowlens.plans.oracle import big, r6
 from flowlens.plans.registry import query
+from flowlens.sources import views as V
 from flowlens.tables import cut
 
 
@@ -68,6 +70,25 @@ def _(spark, sf):
     return G.pagerank(cut(G.pair_table(kept(spark, sf))), grouped=False).select("window_id", "host", *_r(None, "pagerank"))
 
 
+@query("pagerank_grouped", f"SELECT window_id, host, {r6('rank * n')} AS pagerank FROM pr30")
+def _(spark, sf):
+    return G.pagerank(cut(G.pair_table(kept(spark, sf))), grouped=True).select("window_id", "host", *_r(None, "pagerank"))
+
+
+# All order lines as flows from customers to parts in one window; a customer and a part of one number are one host.
+_LARGE = {"kept": """SELECT 0::BIGINT AS window_id, 'h' || o_custkey AS src_ip, 'h' || l_partkey AS dst_ip, 0 AS dst_port, l_extendedprice AS in_bytes, l_quantity AS out_bytes
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""}
+
+
+@query("structure_large_window", f"SELECT host, {r6('rank * n')} AS pagerank, {big('k')} AS k, {big('triangles')} AS triangles FROM pr30 JOIN clust USING (window_id, host)", _LARGE)
+def _(spark, sf):
+    orders = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("h"), "o_custkey").alias("src_ip"))
+    lines = V.table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("h"), "l_partkey").alias("dst_ip"), "l_extendedprice", "l_quantity")
+    flows = lines.join(orders, "l_orderkey").select(F.lit(0).cast("bigint").alias("window_id"), "src_ip", "dst_ip", F.col("l_extendedprice").alias("in_bytes"), F.col("l_quantity").alias("out_bytes"))
+    out = G.structure(cut(G.pair_table(flows)))
+    return out.select("host", *_r(None, "pagerank"), "k", "triangles")
+
+
 @query("clustering", f"SELECT window_id, host, {big('k')} AS k, {big('triangles')} AS triangles, {r6('clustering')} AS clustering FROM clust WHERE k > 0")
 def _(spark, sf):
     ends = cut(G.endpoints(G.pair_table(kept(spark, sf))))
@@ -189,17 +210,20 @@ def _(spark, sf):
     return out.select("flow_id", *_r(None, "src__in_degree", "dst__out_degree", "l_tax"))
 
 
+_GROUPS = {"structural": X.STRUCTURAL, "context": X.STRUCTURAL + X.BEHAVIOURAL + X.ROLE}
+
+
 @query("node_init_variants", f"""
-  SELECT variant, count(*) AS nodes, {big('sum(n_cols)')} AS cells, {r6('sum(total)')} AS total FROM (
+  SELECT variant, count(*) AS nodes, {big('sum(n_cols)')} AS cells, (round(sum(total), 3) + 0.0) AS total FROM (
     SELECT 'none' AS variant, 0 AS n_cols, 0.0::DOUBLE AS total FROM hosts UNION ALL SELECT 'constant', 1, 1.0::DOUBLE FROM hosts
-    UNION ALL SELECT 'structural', 3, in_degree + out_degree + unique_peers FROM sizes) GROUP BY variant""", _SIZES)
+    {' '.join(f"UNION ALL SELECT '{v}', {len(names)}, {' + '.join(names)} FROM ctx" for v, names in _GROUPS.items())}) GROUP BY variant""")
 def _(spark, sf):
-    nodes = cut(_sizes(kept(spark, sf)))
+    nodes = cut(X.host_context(kept(spark, sf)))
     out = None
-    for variant in ("none", "constant", "structural"):
+    for variant in ("none", "constant", *_GROUPS):
         table, names = N.node_init(nodes, variant)
         total = sum((F.col(c) for c in names), F.lit(0.0))
-        row = table.agg(F.count("*").alias("nodes"), F.sum(F.lit(len(names))).cast("bigint").alias("cells"), S.r6(F.sum(total)).alias("total"))
+        row = table.agg(F.count("*").alias("nodes"), F.sum(F.lit(len(names))).cast("bigint").alias("cells"), (F.round(F.sum(total), 3) + 0.0).alias("total"))
         row = row.select(F.lit(variant).alias("variant"), "nodes", "cells", "total")
         out = row if out is None else out.unionByName(row)
     return out

@@ -70,7 +70,49 @@ def test_large_windows_give_the_same_structure(spark):
     pairs = cut(G.pair_table(df))
     ends = cut(G.endpoints(pairs))
     key = lambda d: {(r["window_id"], r["host"]): (round(r["pagerank"], 9), r["k"], r["triangles"]) for r in d.collect()}
-    assert key(G.structure(pairs, ends, grouped=False)) == key(G.structure(pairs, ends))
+    assert key(G.structure(pairs, ends)) == key(G.structure(pairs, ends, grouped=True))
+    with pytest.raises(ValueError):
+        G.structure_grouped(pairs, group=10)
+    assert G.structure_grouped(pairs, group=400).count() == len(key(G.structure(pairs, ends)))
+
+
+def plain_ranks(edges, iters, damping=0.85):
+    """Power iteration of one window, {host: rank times hosts}, and the ranks' change in the last step."""
+    names = sorted({h for e in edges for h in e[:2]})
+    n, weight = len(names), np.zeros((len(names), len(names)))
+    for s, d, w in edges:
+        weight[names.index(s), names.index(d)] += w
+    sent = weight.sum(1)
+    rank = np.full(n, 1 / n)
+    for _ in range(iters):
+        rank = (1 - damping) / n + damping * ((rank / np.where(sent, sent, 1)) @ weight + rank[sent == 0].sum() / n)
+        rank /= rank.sum()
+    return dict(zip(names, rank * n))
+
+
+@pytest.mark.parametrize("iters,steps", [(1, 6), (2, 1), (30, 6), (31, 7), (30, 30)])
+def test_ranks_by_joins(spark, iters, steps):
+    """Windows that run dry, settle at once, settle late, swing without end, and have hosts that send nothing."""
+    rng = random.Random(4)
+    windows = {
+        0: [("a", "b", 2), ("b", "c", 1)], 1: [("a", "b", 1), ("b", "a", 3)], 2: [(f"h{i}", f"h{(i + 1) % 7}", 1) for i in range(7)], 3: [("x", "x", 5)], 4: [("x", "y", 1)],
+        5: [(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}", rng.randint(1, 9)) for _ in range(60)], 6: [(f"h{i}", f"h{j}", 1 + (i * j) % 3) for i in range(30) for j in range(30)],
+        7: [("a", "b", 1), ("b", "a", 1), ("c", "a", 1), ("c", "d", 2), ("e", "e", 1)],
+    }
+    merged = {w: {} for w in windows}
+    for w, edges in windows.items():
+        for s, d, x in edges:
+            merged[w][s, d] = merged[w].get((s, d), 0) + x
+    rows = [(w, s, d, x) for w, edges in merged.items() for (s, d), x in edges.items()]
+    pairs = cut(spark.createDataFrame(rows, "window_id bigint, src string, dst string, w bigint"))
+    got = {(r.window_id, r.host): r.pagerank for r in G.pagerank_iterative(pairs, iters, steps=steps).collect()}
+    want = {(w, h): v for w in windows for h, v in plain_ranks([(s, d, x) for (s, d), x in merged[w].items()], iters).items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-10) for k in got)
+
+
+def test_ranks_of_no_window(spark):
+    pairs = cut(spark.createDataFrame([], "window_id bigint, src string, dst string, w bigint"))
+    assert G.pagerank(pairs).count() == 0 == G.pagerank(pairs, grouped=True).count()
 
 
 def test_triangles_match_the_matrix():
@@ -177,3 +219,37 @@ def test_softmax_sums_to_one(star):
     msgs = N.both_directions(star, ["dst_port"]).withColumn("score", F.col("dst_port") / 10.0)
     sums = N.segment_softmax(msgs, "score").groupBy("receiver").agg(F.sum("alpha").alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-12 for r in sums)
+
+
+def test_softmax_of_a_hot_receiver(spark):
+    """One receiver with nine tenths of all messages, far-apart scores: merged states equal a plain softmax, and no task holds a tenth."""
+    rng = random.Random(7)
+    rows = [(0, "hot" if i % 10 else f"h{i % 70}", rng.choice([-900.0, 0.0, 3.0, 900.0]) + rng.random(), rng.random(), i) for i in range(20_000)]
+    msgs = spark.createDataFrame(rows, "window_id bigint, receiver string, score double, v double, id int")
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = N.segment_softmax(msgs, "score", shares=100).withColumn("part", F.spark_partition_id()).toPandas()
+        means = {r.receiver: r.v for r in N.softmax_mean(msgs, "score", ["v"], shares=100).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got.groupby("part").size().max() < 2000 and len(got) == len(rows)
+    by = {}
+    for _, host, s, v, i in rows:
+        by.setdefault(host, []).append((s, v, i))
+    alpha = dict(zip(got.id, got.alpha))
+    for host, own in by.items():
+        e = np.exp(np.array([s for s, _, _ in own]) - max(s for s, _, _ in own))
+        want = e / e.sum()
+        assert np.allclose([alpha[i] for _, _, i in own], want, rtol=1e-12, atol=1e-300)
+        assert means[host] == pytest.approx(float(want @ np.array([v for _, v, _ in own])), rel=1e-12)
+
+
+def test_node_init_wants_its_columns(star):
+    hosts = X.host_context(star)
+    assert N.node_init(hosts, "context")[1] == X.STRUCTURAL + X.BEHAVIOURAL + X.ROLE
+    with pytest.raises(ValueError):
+        N.node_init(hosts.drop("pagerank"), "structural")
