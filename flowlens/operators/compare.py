@@ -198,15 +198,16 @@ def contrast(
 
 
 def same_rows(pred: DataFrame) -> DataFrame:
-    """Whether every run scored the same flows: flows scored, runs, and flows that some run lacks or repeats."""
+    """Whether every run scored the same flows: flows scored, runs, and flows that some run lacks or repeats.
+
+    A flow is in order if it has as many rows as there are runs, each of another run: rows of one run do not stand in for another one.
+    """
     per_run = pred.groupBy(*RUN).agg(F.count("*").alias("n"))
-    per_flow = pred.groupBy("flow_id").agg(F.count("*").alias("times"))
-    facts = per_flow.groupBy("times").agg(F.count("*").alias("flows"))
+    per_flow = pred.groupBy("flow_id").agg(F.count("*").alias("times"), F.size(F.collect_set(F.struct(*RUN))).alias("runs"))  # one entry per run
+    facts = per_flow.groupBy("times", "runs").agg(F.count("*").alias("flows"))
     staged = facts.withColumn("_runs", per_run.agg(F.count("*").alias("r")).scalar())
-    return staged.agg(
-        F.sum("flows").alias("flows"), F.max("_runs").alias("runs"),
-        F.coalesce(F.sum(F.when(F.col("times") != F.col("_runs"), F.col("flows"))), F.lit(0)).alias("mismatched"),
-    )
+    wrong = (F.col("times") != F.col("_runs")) | (F.col("runs") != F.col("_runs"))
+    return staged.agg(F.sum("flows").alias("flows"), F.max("_runs").alias("runs"), F.coalesce(F.sum(F.when(wrong, F.col("flows"))), F.lit(0)).alias("mismatched"))
 
 
 def require_same_rows(pred: DataFrame) -> None:
