@@ -137,7 +137,8 @@ def nearest(
     a leaf: a vector that a third of the rows share makes no large leaf. Scores are in double precision on the original vectors; ties go to the smaller id.
 
     Vectors that are null, zero, of another dimension than most, or hold null or non-finite components, and rows without an id take no part.
-    Repeated rows are separate candidates, but none with the query's own id. With ``k`` candidates or fewer all are returned. An empty
+    Repeated rows are separate candidates, but none with the query's own id. An id is one query however many rows it has: repeated rows ask once, and
+    of different vectors under one id the least in the order of arrays is asked. With ``k`` candidates or fewer all are returned. An empty
     table gives an empty result.
     """
     every = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector"))
@@ -146,7 +147,7 @@ def nearest(
     kept = cut(taking.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "vector"), "vectors")
     length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, longest = kept.agg(F.count("*"), F.max(F.sqrt(length))).first()
-    asked = taking.where(is_query)
+    asked = taking.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
     if not n:
         return asked.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     fitted = np.array([r.vector for r in sample(kept, "id", n, fit_on).select("vector").collect()], np.float64).reshape(-1, dim)

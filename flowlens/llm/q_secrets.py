@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import read
-from flowlens.llm.secret_scan import ACCESS, ALLOWED, ASSIGN, CANDIDATE, HEX, KINDS, LEAST_BITS, WINDOW, _limit, find_secrets
+from flowlens.llm.secret_scan import ACCESS, ALLOWED, ASSIGN, CANDIDATE, HEX, KINDS, LEAST_BITS, PATH, TIMES, UNITS, WINDOW, WORDS, _limit, find_secrets
 
 
 def written(spans: Column) -> Column:
@@ -41,16 +41,22 @@ def _found(name: str, pattern: str) -> str:
   UNION ALL SELECT row_id, hits[1], len(gaps[1])::BIGINT, 1 FROM {name}_m)"""
 
 
-# DuckDB has no back reference in its patterns: a repeated unit is tested on the first characters.
-_UNIT = " OR ".join(f"(len(hit) >= {5 * k} AND left(hit, {5 * k}) = repeat(left(hit, {k}), 5))" for k in (1, 2, 3, 4))
-_PLAIN = ALLOWED.replace(r"|^(.{1,4})\1{4,}", "")
+def _runs(size: int, holds: str) -> str:
+    return f"list_transform(list_filter(range(0, len(hit) - {size} + 1), lambda q: {holds}), lambda q: {{'s': q, 'e': q + {size}}})"
+
+
+_STRETCHES = " || ".join(
+    [f"[{{'s': 0::BIGINT, 'e': len(regexp_extract(hit, {_q(PATH)}))::BIGINT}}]"]
+    + [_runs(TIMES * k, f"substr(hit, q + 1, {(TIMES - 1) * k}) = substr(hit, q + 1 + {k}, {(TIMES - 1) * k})") for k in range(1, UNITS + 1)]
+    + [_runs(len(w), f"substr(hit, q + 1, {len(w)}) = '{w}'") for w in WORDS]
+)
 SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
 {_found("assign", ASSIGN)}, {_found("access", ACCESS)}, {_found("hex", HEX)}, {_found("candidate", CANDIDATE)},
 suspect AS (SELECT *, CASE WHEN regexp_matches(hit, {_q(LEAST_BITS[0][0])}) THEN {_limit(LEAST_BITS[0][1])}
     WHEN regexp_matches(hit, {_q(LEAST_BITS[1][0])}) THEN {_limit(LEAST_BITS[1][1])} ELSE {_limit(LEAST_BITS[2][1])} END AS most
-  FROM candidate WHERE NOT regexp_matches(hit, {_q(_PLAIN)}) AND NOT ({_UNIT})),
-windows AS (SELECT *, unnest(range(0, len(hit) - {WINDOW} + 1)) AS w FROM suspect),
+  FROM (SELECT *, {_STRETCHES} AS allowed FROM candidate WHERE NOT regexp_matches(hit, {_q(ALLOWED)}))),
+windows AS (SELECT *, unnest(list_filter(range(0, len(hit) - {WINDOW} + 1), lambda w: len(list_filter(allowed, lambda r: r.s < w + {WINDOW} AND r.e > w)) = 0)) AS w FROM suspect),
 letters AS (SELECT row_id, i, ps, most, w, substr(hit, w + unnest(range(1, {WINDOW} + 1)), 1) AS c FROM windows),
 counts AS (SELECT row_id, i, ps, most, w, c, count(*) AS n FROM letters GROUP BY ALL),
 flagged AS (SELECT row_id, i, ps, w FROM counts GROUP BY row_id, i, ps, most, w HAVING sum(round(n * log2(n) * 1e9)::BIGINT) <= most),

@@ -196,18 +196,19 @@ def write_records(
 ) -> DataFrame:
     """Write the token ids of every whole text in ascending id order; returns the written files, one row each.
 
-    Rows are range-partitioned by id and sorted; a task encodes its range, block by block, and writes one data file and its index under
+    Rows are range-partitioned by id and, within one id, by a hash of the text, and sorted, so that rows of one id or without an id are no single task; a task encodes its range, block by block, and writes one data file and its index under
     names of its own, so that a repeated attempt disturbs nothing: only the files that the result names count. Result: (part,
     path, records, tokens, start), ``start`` counting the ids in all files before. ``folder`` may be on any store that pyarrow
     opens; the default is the shared checkpoint folder. The tokenizer file must be readable on every executor.
 
     Null text counts as empty; ``end_id`` closes every document, also an empty one. Rows without an id come first. Rows
-    of one id are ordered by text. An empty table writes no file.
+    of one id are ordered by the hash of their text, then by text. An empty table writes no file. A text is encoded block by block, but the ids of one
+    document are held together until its record is framed.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "records")
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    ordered = narrow.repartitionByRange("id").sortWithinPartitions("id", "_text")
+    ordered = narrow.repartitionByRange("id", F.xxhash64("_text")).sortWithinPartitions("id", F.xxhash64("_text"), "_text")
 
     def write(batches):
         library, out, index, records, tokens, place = None, None, None, 0, 0, 0

@@ -22,13 +22,17 @@ KINDS = ["assign", "access", "hex", "entropy"]
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
 LEAST_BITS = [(r"^[0-9a-f]+$|^[0-9A-F]+$", 2.95), (r"^[A-Z0-9]+$", 3.35), (r"", 3.75)]
-#: Never reported: no digit or no letter, a UUID, a path of words, a repeated unit, text that says it is none.
+#: Candidates that are never reported: no digit or no letter, a UUID.
 ALLOWED = (
     r"^[^0-9]+$|^[^A-Za-z]+$"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|^/?[a-z_-]+(?:/[a-z_-]+){2,}/?[a-z0-9_-]*$|^(.{1,4})\1{4,}"
-    r"|EXAMPLE|example|placeholder|changeme|xxxx|XXXX"
 )
+#: Allowed stretches of a candidate, of which no reported window holds a character: a path of words at its start, one to four characters
+#: five times in a row, and words that say the text is none. What stands beside them is looked at like anything else.
+PATH = r"^/?[a-z_-]+(?:/[a-z_-]+){2,}/?"
+UNITS, TIMES = 4, 5
+WORDS = ["EXAMPLE", "example", "placeholder", "changeme", "xxxx", "XXXX"]
+_STRETCH = PATH + r"|(.{1,%d})\1{%d,}|" % (UNITS, TIMES - 1) + "|".join(WORDS)
 _SCALE = 10**9
 _CHUNK = 256
 
@@ -82,8 +86,23 @@ def _limit(bits: float) -> int:
     return math.floor((math.log2(WINDOW) - bits) * WINDOW * _SCALE)
 
 
+def allowed_stretches(text: Column) -> Column:
+    """(start, end) of the stretches of a candidate that may stand in no reported window; they may overlap."""
+    def places(size: int, holds) -> Column:
+        at = F.when(F.length(text) >= size, F.sequence(F.lit(0), F.length(text) - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(at, holds), lambda q: F.struct(q.alias("start"), (q + size).alias("end")))
+
+    part = lambda q, n: F.substring(text, q + 1, F.lit(n))
+    is_unit = lambda k: lambda q: part(q, (TIMES - 1) * k) == part(q + k, (TIMES - 1) * k)
+    is_word = lambda w: lambda q: part(q, len(w)) == F.lit(w)
+    repeated = [places(TIMES * k, is_unit(k)) for k in range(1, UNITS + 1)]
+    words = [places(len(w), is_word(w)) for w in WORDS]
+    path = F.length(F.regexp_extract(text, PATH, 0))
+    return F.concat(F.array(F.struct(F.lit(0).alias("start"), path.alias("end"))), *repeated, *words)
+
+
 def entropy_windows(text: Column) -> Column:
-    """Merged (start, end) of the windows of a candidate whose entropy suffices for its class.
+    """Merged (start, end) of the windows of a candidate whose entropy suffices for its class and that touch no allowed stretch.
 
     One step per character: the counts of the entering and the leaving character change by one, and with them the sum of
     n log2 n, taken from a table in whole billionths, so that the sum is exact however long the candidate is.
@@ -94,8 +113,9 @@ def entropy_windows(text: Column) -> Column:
     ).otherwise(F.lit(_limit(LEAST_BITS[2][1]))).cast("bigint")
     value = lambda n: F.element_at(table, n + 1)
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    first = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("i"), empty.alias("spans"))
     code = lambda i: F.ascii(F.substring(text, i + 1, F.lit(1)))
+    allowed = F.when(text.rlike(_STRETCH), allowed_stretches(text)).otherwise(empty)
+    first = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("i"), empty.alias("spans"), allowed.alias("allowed"))
 
     def step(acc: Column, new: Column) -> Column:
         i, counts = acc["i"], acc["counts"]
@@ -110,8 +130,9 @@ def entropy_windows(text: Column) -> Column:
             F.slice(acc["spans"], F.lit(1), F.greatest(F.size(acc["spans"]) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), end.alias("end")))
         )
         appended = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        spans = F.when((start < 0) | (total > most), acc["spans"]).when(last["end"] >= start, longer).otherwise(appended)
-        return F.struct(moved.alias("counts"), total.alias("sum"), (i + 1).alias("i"), spans.alias("spans"))
+        touched = F.exists(acc["allowed"], lambda s: (s["start"] < end) & (s["end"] > start))
+        spans = F.when((start < 0) | (total > most) | touched, acc["spans"]).when(last["end"] >= start, longer).otherwise(appended)
+        return F.struct(moved.alias("counts"), total.alias("sum"), (i + 1).alias("i"), spans.alias("spans"), acc["allowed"].alias("allowed"))
 
     chars = F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda i: code(i))
     return F.when(text.rlike(ALLOWED), empty).otherwise(F.aggregate(chars, first, step)["spans"])

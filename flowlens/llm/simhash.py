@@ -253,7 +253,8 @@ def near_duplicates(
     """(id, fp, component_id), one row per row of ``docs``: the smallest id reachable over links of at most ``radius`` bits.
 
     Null or wordless text has fingerprint zero and links like any other. Rows without an id take part; a component
-    of such rows only has a null component_id. Repeated rows get the same answer. An empty table gives an empty result.
+    of such rows only has a null component_id. Repeated rows get the same answer. An empty table gives an empty result. A text of any length is read whole, in
+    pieces of bounded size.
     """
     rows = cut(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], "text", words), "simhash")
     return rows.join(groups(rows, "id", radius, blocks, tree), "fp").select("id", "fp", F.col("lead").alias("component_id"))

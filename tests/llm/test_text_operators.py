@@ -225,10 +225,20 @@ def brute_secrets(t):
         c = m[0]
         if re.search(S.ALLOWED, c):
             continue
+        path = re.match(S.PATH, c)
+        allowed = set(range(path.end() if path else 0))
+        for k in range(1, S.UNITS + 1):
+            for q in range(len(c) - S.TIMES * k + 1):
+                if c[q : q + S.TIMES * k] == c[q : q + k] * S.TIMES:
+                    allowed |= set(range(q, q + S.TIMES * k))
+        for word in S.WORDS:
+            for q in range(len(c)):
+                if c.startswith(word, q):
+                    allowed |= set(range(q, q + len(word)))
         least, spans = next(b for p, b in S.LEAST_BITS if re.search(p, c)), []
         for i in range(len(c) - S.WINDOW + 1):
             w = c[i : i + S.WINDOW]
-            if -sum(w.count(x) / S.WINDOW * math.log2(w.count(x) / S.WINDOW) for x in set(w)) >= least - 1e-9:
+            if not allowed & set(range(i, i + S.WINDOW)) and -sum(w.count(x) / S.WINDOW * math.log2(w.count(x) / S.WINDOW) for x in set(w)) >= least - 1e-9:
                 if spans and spans[-1][1] >= i:
                     spans[-1][1] = i + S.WINDOW
                 else:
@@ -237,6 +247,20 @@ def brute_secrets(t):
     return sorted(out)
 
 
+RANDOM = "9f8Kq2ZxL0pWv7RtYbN3mD5sHj1cGa"
+BESIDE = ["-----" + RANDOM, "aws_path_xxxx" + RANDOM, RANDOM + "EXAMPLE", "/home/user/keys/9f8kq2zxl0pwv7rtybn3md5shj1cga", "AAAAAAAA" + RANDOM + "abcabcabcabcabc", RANDOM[:10] + "00000" + RANDOM[10:], RANDOM]
+
+
+def test_secrets_beside_allowed_stretches(spark):
+    """What an allowed stretch stands beside is still found, and nothing of the stretch is."""
+    rows = spark.createDataFrame(list(enumerate(BESIDE)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in S.find_secrets(rows).collect()}
+    assert got[0] == [(5, 35)] and got[1] == [(13, 43)] and got[2] == [(0, 30)] and got[3] == [(16, 46)] and got[4] == [(8, 38)] and got[6] == [(0, 30)]
+    assert got[5] == [(15, 35)]
+    for i, t in enumerate(BESIDE):
+        assert got[i] == [(a, b) for a, k, b in brute_secrets(t) if k == 3]
+
+
 def test_secrets_equal_brute_force(spark):
     rng = random.Random(5)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
@@ -252,6 +276,8 @@ def test_secrets_equal_brute_force(spark):
             return some("abcdef0123456789", rng.choice([5, 23, 24, 40, 300]))
         if r < 0.4:
             return some(b64, rng.choice([19, 20, 21, 44, 200])) + rng.choice(["", "=", "=="])
+        if r < 0.43:
+            return rng.choice(BESIDE)
         if r < 0.45:
             return rng.choice(["ab1" * 20, "123e4567-e89b-12d3-a456-426614174000", "/usr/local/share/lib/python3", "token=token:abcdefgh", "a" * 24 + "1b2c3d4e5f6g7h8i9j0k"])
         return rng.choice(["the", "é中\U0001f600", "ſecret=abcdefgh", "toKen=abcdefg", " ", "\n", "words", "=", ":"])
@@ -302,6 +328,51 @@ def test_forward_backward_equals_one_pass():
         assert np.allclose(got, want) and np.allclose(moved, pairs)
 
 
+def test_labelled_sample_loses_no_row(spark):
+    """All rows of a label that has no more than the bound; exactly the bound of any other, whatever repeats."""
+    rows = [(i, "text %d" % i, "a" if i < 100 else "b" if i < 150 else "c") for i in range(5150)] + [(None, "none %d" % i, "d") for i in range(40)] + [(9000, "twice", "d")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    told = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    got = L.labelled_sample(docs, told, "doc_id", "text", 100)
+    count = {k: sum(r.label == k for r in got) for k in "abcd"}
+    assert count == {"a": 100, "b": 50, "c": 100, "d": 2}
+    assert len({(r.label, r.id) for r in got}) == 252 and got == L.labelled_sample(docs, told, "doc_id", "text", 100)
+    assert L.labelled_sample(docs.limit(0), told.limit(0), "doc_id", "text", 100) == []
+
+
+def plain_marginals(model, text):
+    """Letters' shares of a whole text from word scores and one unscaled pass in each direction."""
+    w = L.features([text], model.lexicon)
+    score = L.emissions(w, model.weights)
+    n, k = score.shape
+    alpha, beta = np.zeros((n, k)), np.zeros((n, k))
+    lse = lambda x, axis: np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis)) + x.max(axis)
+    alpha[0] = model.initial + score[0]
+    for i in range(1, n):
+        alpha[i] = score[i] + lse(alpha[i - 1][:, None] + model.transition, 0)
+    for i in range(n - 2, -1, -1):
+        beta[i] = lse(model.transition + (score[i + 1] + beta[i + 1])[None], 1)
+    p = np.exp(alpha + beta - lse(alpha[-1], 0))
+    return (p * w.letters[:, None]).sum(0) / w.letters.sum()
+
+
+def test_language_query_recomputed(spark, monkeypatch):
+    """Predictions and scores of the query from the learned model, text by text, without lanes, blocks or batches."""
+    seen = []
+    train = L.train
+    from flowlens.llm import q_language
+
+    monkeypatch.setattr(q_language, "train", lambda *a, **b: seen.append(train(*a, **b)) or seen[-1])
+    got = {r.doc_id: r for r in q_language.op1_language(spark, SF).collect()}
+    model = seen[0]
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        share = plain_marginals(model, r.text)
+        assert got[r.doc_id].lang_pred == model.langs[int(share.argmax())] and got[r.doc_id].score == pytest.approx(float(share.max()), abs=1e-5)
+
+
 def test_language_held_out(spark, odd):
     out = QUERIES["op1_language"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = out.where("held_out").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("right"), "score").collect()
@@ -316,6 +387,38 @@ def test_language_held_out(spark, odd):
     assert {r.lang_pred for r in L.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_toxicity_query_recomputed(spark, monkeypatch):
+    """Scores of the query from the learned dictionaries, each window compressed on its own by the plain interface."""
+    import zstandard
+
+    from flowlens.llm import q_toxicity
+
+    seen = []
+    train = X.train
+    monkeypatch.setattr(q_toxicity, "train", lambda *a, **b: seen.append(train(*a, **b)) or seen[-1])
+    got = {r.doc_id: r for r in q_toxicity.op3_toxicity(spark, SF).collect()}
+    m = seen[0]
+
+    def length(window, content):
+        p = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(content), source_size=X.WINDOW, min_match=X.MATCH, strategy=zstandard.STRATEGY_FAST, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(window))
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    for r in docs[:60]:
+        parts = X.windows((r.text or "").encode())
+        assert b"".join(parts) == re.sub(rb"[A-Z]", lambda c: c[0].lower(), (r.text or "").encode())
+        gain = [length(w, m.ordinary) - length(w, m.ordinary + m.toxic) for w in parts] if m.ordinary and m.toxic else []
+        if gain:
+            top = sorted((max(g, 0) for g in gain), reverse=True)[:3]
+            over = [sum(g >= t for g in gain) for t in X.GAINS]
+            x = [*top, *[0] * (3 - len(top)), sum(gain) / len(gain), *np.log1p(over), *[o / len(gain) for o in over]]
+        else:
+            x = [0.0] * (4 + 2 * len(X.GAINS))
+        z = ((np.array(x) - m.mean) / m.scale) @ m.weights[:-1] + m.weights[-1]
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+
+
 def test_toxicity_held_out(spark, odd):
     sf = "/root/testdata/sf0.1"
     out = QUERIES["op3_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")

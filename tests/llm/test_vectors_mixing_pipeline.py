@@ -101,6 +101,22 @@ def test_nearest_recall_and_scores(spark, leaf, block):
     assert len(few) == 4 and nearest(spark.createDataFrame([], VEC), F.col("id") == 0).count() == 0
 
 
+def test_nearest_of_repeated_queries(spark):
+    """An id asks once: repeated rows bring no answer twice, and of two vectors the lesser one is asked."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (0, x[0].tolist()), (20, x[3].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in sorted(nearest(table, F.col("id") % 20 == 0, leaf=8, recall=1.0).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    asked = {0: x[0], 20: min(x[3], x[20], key=lambda v: v.tolist()), 40: x[40]}
+    assert got.keys() == asked.keys()
+    for q, v in asked.items():
+        scores = sorted((-float(np.float64(v) @ np.float64(w)), i) for i, w in rows if i != q)
+        assert [i for _, i in got[q]] == [i for _, i in scores[:20]] and [k for k, _ in got[q]] == list(range(1, 21))
+
+
 def test_nearest_query_recall(spark):
     sf = "/root/testdata/sf0.1"
     e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
