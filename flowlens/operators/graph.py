@@ -158,7 +158,7 @@ def structure_grouped(pairs: DataFrame, iters: int = 30, damping: float = 0.85,
 
 
 #: Iterations that one written table holds, and how far the growth of a window's hosts may differ for it to be settled.
-STEPS, SETTLED = 6, 1e-13
+STEPS, SETTLED = 10, 1e-13
 
 
 def _coefficients(iters: int, damping: float):

@@ -49,15 +49,15 @@ def _(spark, sf):
     return E.macro_f1(prf).join(kept, E.RUN).select("model", "seed", *_r("macro_f1", "macro_f1_kept"))
 
 
-_SUMMARY = {
+SUMMARY = {
     "macro_f1": "avg(f1) FILTER (support > 0)", "macro_f1_attacks": "avg(f1) FILTER (support > 0 AND class > 0)",
     "weighted_f1": "sum(f1 * support) / sum(support)", "accuracy": "sum(tp) / sum(support)",
 }
 
 
-@query("summary_metrics", f"SELECT model, seed, {', '.join(f'{r6(v)} AS {k}' for k, v in _SUMMARY.items())} FROM prf GROUP BY ALL")
+@query("summary_metrics", f"SELECT model, seed, {', '.join(f'{r6(v)} AS {k}' for k, v in SUMMARY.items())} FROM prf GROUP BY ALL")
 def _(spark, sf):
-    return E.summary_metrics(_prf(spark, sf)).select("model", "seed", *_r(*_SUMMARY))
+    return E.summary_metrics(_prf(spark, sf)).select("model", "seed", *_r(*SUMMARY))
 
 
 @query("balanced_accuracy", f"SELECT model, seed, {r6('avg(recall) FILTER (support > 0)')} AS balanced_accuracy FROM prf GROUP BY ALL")
@@ -65,13 +65,13 @@ def _(spark, sf):
     return E.summary_metrics(_prf(spark, sf)).select("model", "seed", *_r("balanced_accuracy"))
 
 
-_BIN = """SELECT model, seed, sum(CAST(y_true > 0 AND y_pred > 0 AS INT)) AS tp, sum(CAST(y_true = 0 AND y_pred > 0 AS INT)) AS fp,
+BINARY = """SELECT model, seed, sum(CAST(y_true > 0 AND y_pred > 0 AS INT)) AS tp, sum(CAST(y_true = 0 AND y_pred > 0 AS INT)) AS fp,
   sum(CAST(y_true > 0 AND y_pred = 0 AS INT)) AS fn, sum(CAST(y_true = 0 AND y_pred = 0 AS INT)) AS tn FROM pred GROUP BY ALL"""
 
 
 @query("binary_metrics", f"""
   SELECT model, seed, {r6('2 * tp / (2 * tp + fp + fn)')} AS binary_f1, {r6('tp / (tp + fp)')} AS binary_precision, {r6('tp / (tp + fn)')} AS detection_rate,
-         {r6('fp / (fp + tn)')} AS false_positive_rate FROM ({_BIN})""")
+         {r6('fp / (fp + tn)')} AS false_positive_rate FROM ({BINARY})""")
 def _(spark, sf):
     return E.binary_metrics(predictions(spark, sf)).select("model", "seed", *_r("binary_f1", "binary_precision", "detection_rate", "false_positive_rate"))
 
@@ -93,7 +93,7 @@ def _(spark, sf):
 
 
 _AGGREGATED = {"agg": f"""SELECT model, metric, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std, count(*) AS n_seeds FROM (
-  {' UNION ALL '.join(f"SELECT model, seed, '{k}' AS metric, {v} AS value FROM prf GROUP BY model, seed" for k, v in _SUMMARY.items())}) GROUP BY model, metric"""}
+  {' UNION ALL '.join(f"SELECT model, seed, '{k}' AS metric, {v} AS value FROM prf GROUP BY model, seed" for k, v in SUMMARY.items())}) GROUP BY model, metric"""}
 
 
 def _aggregated(spark, sf):

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
 from flowlens.operators import audit as A
+from flowlens.operators import columns as C
 from flowlens.operators import context as X
 from flowlens.operators import graph as G
 from flowlens.operators import models as M
 from flowlens.operators import neighbors as N
 from flowlens.plans.base import N_CLASSES, kept, labelled, predictions, prepared
 from flowlens.plans.oracle import r6
+from flowlens.plans.q_metrics import BINARY, SUMMARY
 from flowlens.plans.registry import query
+from flowlens.sources import views as V
 from flowlens.sources.views import FEATURES
+from flowlens.tables import cut
 
 TREES, DEPTH, LIMIT = 10, 6, 400_000
 
@@ -56,10 +60,7 @@ def _(spark, sf):
 @query("graph_feature_classifier")
 def _(spark, sf):
     df = labelled(spark, sf)
-    hosts = G.host_counts(G.endpoints(G.pair_table(df))).select(
-        *G.NODE, F.log1p("flows_in").alias("in_degree"), F.log1p("flows_out").alias("out_degree"), F.log1p("peers").alias("unique_peers")
-    )
-    nodes, names = N.node_init(hosts, "structural")
+    nodes, names = N.node_init(cut(G.structural_context(df)), "structural")
     near = N.neighbor_mean(nodes, df, names, FEATURES[:2])
     columns = names + [f"agg__{c}" for c in names + FEATURES[:2]]
     frame = N.edge_classifier_frame(df, near, columns, FEATURES, keep=("flow_id", "target", "split"))
@@ -87,14 +88,110 @@ def _(spark, sf):
     )
 
 
-@query("single_feature_probe")
+# The probes in SQL: bins of equal shares, six levels of splits, leaves with the values between them as bounds.
+_COLUMNS = {
+    **{c: c for c in FEATURES}, "feature__IN_BYTES": "CASE WHEN src_port % 11 = 0 OR src_port % 13 = 0 THEN 0 ELSE round(in_bytes) END",
+    "feature__OUT_BYTES": "CAST(out_bytes AS BIGINT)", "feature__FLOW_DURATION_MILLISECONDS": "CAST(duration_ms AS BIGINT)", "feature__PROTOCOL": "protocol", "feature__CONSTANT": "5",
+    "proto_is_tcp": "CAST(protocol = 6 AS INT)", "proto_is_udp": "CAST(protocol = 17 AS INT)", "proto_is_icmp": "CAST(protocol = 1 AS INT)",
+    "probe__MIN_TTL": "dst_port % 256", "probe__SRC_TO_DST_SECOND_BYTES": "CASE WHEN l_discount = 0 THEN 1e30 ELSE round(l_discount * 100) END",
+}
+_K = range(N_CLASSES)
+
+
+def _unpivot(names, split: int) -> str:
+    cells = ", ".join(f"{{'feature': '{c}', 'value': CAST({_COLUMNS[c]} AS DOUBLE)}}" for c in names)
+    return f"SELECT flow_id, target, c.feature, c.value FROM (SELECT flow_id, target, unnest([{cells}]) AS c FROM lab WHERE split = {split})"
+
+
+def _quality(side: str) -> str:
+    whole = " + ".join(side.format(k=k) for k in _K)
+    return f"CASE WHEN {whole} > 0 THEN ({' + '.join(f'({side.format(k=k)}) * ({side.format(k=k)})' for k in _K)}) / ({whole}) ELSE 0 END"
+
+
+def _level(source: str, by: str, joint: bool) -> str:
+    """Cells of ``source`` (by, feature, bin, x0, x1, ...) with the best split of their node."""
+    node = f"{by}, feature" if joint else by
+    split = f"""
+      SELECT *, round(({_quality('l{k}')}) + ({_quality('(t{k} - l{k})')}) - ({_quality('t{k}')}), 9) AS gain FROM (
+        SELECT *, {', '.join(f'sum(x{k}) OVER (PARTITION BY {node} ORDER BY bin) AS l{k}, sum(x{k}) OVER (PARTITION BY {node}) AS t{k}' for k in _K)},
+          max(bin) OVER (PARTITION BY {node}) AS last FROM {source})"""
+    place = "feature, bin" if joint else "bin"
+    return f"""
+      SELECT *, max(CASE WHEN bin < last AND gain > 0 THEN gain END) OVER (PARTITION BY {by}) AS best_gain,
+        first_value(CASE WHEN bin < last AND gain > 0 THEN bin END) OVER w AS best_bin, first_value(feature) OVER w AS best_feature FROM ({split})
+      WINDOW w AS (PARTITION BY {by} ORDER BY CASE WHEN bin < last AND gain > 0 THEN -gain ELSE 1 END, {place} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
+_LABEL = f"list_position(ws, list_max(ws)) - 1"
+_WS = f"[{', '.join(f'round(sum(x{k}), 12)' for k in _K)}] AS ws"
+
+
+def _bins(names) -> dict[str, str]:
+    return {
+        "tl": _unpivot(names, 0),
+        "tc": "SELECT feature, value, target, count(*) AS n FROM tl GROUP BY ALL",
+        "tb": """SELECT feature, value, CAST(floor((sum(n) OVER (PARTITION BY feature ORDER BY value) - n) * 256 / sum(n) OVER (PARTITION BY feature)) AS INTEGER) AS bin
+          FROM (SELECT feature, value, sum(n) AS n FROM tc GROUP BY ALL)""",
+        "tw": "SELECT target, 1.0::DOUBLE / (count(*) OVER () * count(*)) AS w FROM lab WHERE split = 0 GROUP BY target",
+    }
+
+
+_SINGLE = _bins(_COLUMNS) | {
+    "th0": f"""SELECT feature, bin, 1 AS node, min(value) AS lo, max(value) AS hi, {', '.join(f'coalesce(sum(n * w) FILTER (target = {k}), 0.0::DOUBLE) AS x{k}' for k in _K)}
+      FROM (SELECT feature, bin, target, min(value) AS value, max(value) AS hi, sum(n) AS n FROM tc JOIN tb USING (feature, value) GROUP BY ALL
+            UNION ALL SELECT feature, bin, target, max(value), max(value), 0 FROM tc JOIN tb USING (feature, value) GROUP BY ALL) JOIN tw USING (target) GROUP BY feature, bin""",
+    **{
+        f"th{i + 1}": f"""SELECT feature, bin, CASE WHEN best_gain IS NULL THEN node ELSE 2 * node + CASE WHEN bin > best_bin THEN 1 ELSE 0 END END AS node, lo, hi,
+          {', '.join(f'x{k}' for k in _K)} FROM ({_level(f'th{i}', 'feature, node', False)})"""
+        for i in range(6)
+    },
+    "leaf": f"SELECT feature, lo, hi, {_LABEL} AS y FROM (SELECT feature, node, min(lo) AS lo, max(hi) AS hi, {_WS} FROM th6 GROUP BY feature, node)",
+    "bounds": "SELECT feature, y, (lag(hi) OVER w + lo) / 2 AS above, (hi + lead(lo) OVER w) / 2 AS upto FROM leaf WINDOW w AS (PARTITION BY feature ORDER BY lo)",
+    "pred": f"""SELECT t.feature AS model, 0 AS seed, target AS y_true, y AS y_pred FROM ({_unpivot(_COLUMNS, 2)}) t JOIN bounds b
+      ON b.feature = t.feature AND (above IS NULL OR value > above) AND (upto IS NULL OR value <= upto)""",
+}
+_FIELDS = FEATURES[:3]
+_BINOF = ", ".join(f"max(bin) FILTER (feature = '{c}') AS b{i}" for i, c in enumerate(_FIELDS))
+_JOINT = _bins(_FIELDS) | {
+    "jr0": f"SELECT flow_id, target, w, 1 AS node, {_BINOF} FROM tl JOIN tb USING (feature, value) JOIN tw USING (target) GROUP BY flow_id, target, w",
+    "edge": "SELECT feature, bin, min(value) AS lo, max(value) AS hi FROM tb GROUP BY ALL",
+}
+for _i in range(6):
+    _JOINT[f"js{_i}"] = f"""SELECT DISTINCT node, best_feature AS f, best_bin AS b FROM (""" + _level(
+        f"""(SELECT node, c.feature, c.bin, {', '.join(f'sum(CASE WHEN target = {k} THEN w ELSE 0.0::DOUBLE END) AS x{k}' for k in _K)} FROM (
+          SELECT node, target, w, unnest([{', '.join(f"{{'feature': {i}, 'bin': b{i}}}" for i in range(len(_FIELDS)))}]) AS c FROM jr{_i} WHERE node >= {2**_i}) GROUP BY node, c.feature, c.bin)""",
+        "node", True) + ") WHERE best_gain IS NOT NULL"
+    _JOINT[f"jr{_i + 1}"] = f"""SELECT flow_id, target, w, CASE WHEN f IS NULL THEN node ELSE 2 * node + CASE WHEN [{', '.join(f'b{i}' for i in range(len(_FIELDS)))}][f + 1] > b THEN 1 ELSE 0 END END AS node,
+      {', '.join(f'b{i}' for i in range(len(_FIELDS)))} FROM jr{_i} LEFT JOIN js{_i} USING (node)"""
+_JOINT["jl"] = f"SELECT node, {_LABEL} AS y FROM (SELECT node, [{', '.join(f'round(sum(CASE WHEN target = {k} THEN w ELSE 0.0::DOUBLE END), 12)' for k in _K)}] AS ws FROM jr6 GROUP BY node)"
+_JOINT["jt0"] = f"SELECT target, 1 AS node, {', '.join(f'CAST({_COLUMNS[c]} AS DOUBLE) AS v{i}' for i, c in enumerate(_FIELDS))} FROM lab WHERE split = 2"
+_JOINT["cutat"] = "SELECT feature, bin, (hi + lead(lo) OVER (PARTITION BY feature ORDER BY bin)) / 2 AS bound FROM edge"
+for _i in range(6):
+    _JOINT[f"jt{_i + 1}"] = f"""SELECT target, CASE WHEN f IS NULL THEN node ELSE 2 * node + CASE WHEN [{', '.join(f'v{i}' for i in range(len(_FIELDS)))}][f + 1] > bound THEN 1 ELSE 0 END END AS node,
+      {', '.join(f'v{i}' for i in range(len(_FIELDS)))} FROM jt{_i} LEFT JOIN (SELECT node, f, bound FROM js{_i} JOIN cutat ON bin = b AND feature = [{', '.join(repr(c) for c in _FIELDS)}][f + 1]) USING (node)"""
+_JOINT["pred"] = f"SELECT '{'+'.join(_FIELDS)}' AS model, 0 AS seed, target AS y_true, y AS y_pred FROM jt6 JOIN jl USING (node)"
+
+
+def _scores_sql() -> str:
+    """The long metrics table of what ``pred`` names."""
+    share = lambda top, bottom: f"CASE WHEN {bottom} > 0 THEN {top} / ({bottom})::DOUBLE ELSE 0 END"
+    binary = {"binary_f1": share("2 * tp", "2 * tp + fp + fn"), "binary_precision": share("tp", "tp + fp"), "detection_rate": share("tp", "tp + fn"), "false_positive_rate": share("fp", "fp + tn")}
+    parts = [f"SELECT model, seed, '{k}' AS metric, {r6(v)} AS value FROM prf GROUP BY model, seed" for k, v in {**SUMMARY, "balanced_accuracy": "avg(recall) FILTER (support > 0)"}.items()]
+    parts += [f"SELECT model, seed, '{k}', {r6(v)} FROM ({BINARY})" for k, v in binary.items()]
+    return " UNION ALL ".join(parts)
+
+
+@query("single_feature_probe", _scores_sql(), _SINGLE)
 def _(spark, sf):
-    return M.single_feature_probe(labelled(spark, sf), FEATURES, N_CLASSES, LIMIT).withColumn("value", S.r6(F.col("value")))
+    clean = C.clean_flows(V.raw_flows(spark, sf), carry=["flow_id"])
+    more = [c for c in clean.columns if c.startswith(("feature__", "proto_is_", "probe__"))]
+    frame = cut(labelled(spark, sf).select("flow_id", "target", "split", *FEATURES).join(clean.select("flow_id", *more), "flow_id"), "probe")
+    return M.single_feature_probe(frame, FEATURES + more, N_CLASSES, LIMIT).withColumn("value", S.r6(F.col("value")))
 
 
-@query("joint_feature_probe")
+@query("joint_feature_probe", _scores_sql(), _JOINT)
 def _(spark, sf):
-    return M.joint_feature_probe(labelled(spark, sf), FEATURES[:3], N_CLASSES, LIMIT).withColumn("value", S.r6(F.col("value")))
+    return M.joint_feature_probe(labelled(spark, sf), _FIELDS, N_CLASSES, LIMIT).withColumn("value", S.r6(F.col("value")))
 
 
 @query("host_fingerprint_probe")
