@@ -98,6 +98,10 @@ def test_same_rows_guard(spark):
     C.require_same_rows(pred)
     with pytest.raises(ValueError):
         C.require_same_rows(pred.where("NOT (model = 'a' AND seed = 2 AND flow_id = 'f7')"))
+    # As many rows as runs for each flow, but no flow that both runs scored.
+    rows = [("a", 1, "f1")] * 2 + [("b", 1, "f2")] * 2
+    apart = C.same_rows(spark.createDataFrame(rows, "model string, seed int, flow_id string")).first()
+    assert (apart["flows"], apart["runs"], apart["mismatched"]) == (2, 2, 2)
 
 
 def test_shift_statistics_by_all_pairs(spark):
@@ -144,10 +148,22 @@ def test_offset_search_against_brute_force(spark):
             assert got[("a", s)] == brute_offsets(rows, 4)
 
 
-def test_bootstrap_offsets_cover_every_replicate(spark):
+def test_bootstrap_offsets_equal_brute_force(spark):
+    """Every replicate against a search by trying all offsets on rows weighted by the drawn windows."""
     val, test = predictions(spark, 5, n=120), predictions(spark, 6, n=120)
-    got = K.val_bootstrap_offsets(val, test, 3, n_boot=3).collect()
-    assert len(got) == 3 * 2 * 3 and all(0 <= r["macro_f1"] <= 1 for r in got)
+    got = {(r["replicate"], r["model"], r["seed"]): r["macro_f1"] for r in K.val_bootstrap_offsets(val, test, 3, n_boot=4).collect()}
+    assert len(got) == 4 * 2 * 3
+    windows = sorted(r[0] for r in val.select("window_id").distinct().collect())
+    drawn = {}
+    for r in C.sampled_windows(C.block_samples(spark, len(windows), 4)).collect():
+        drawn[r["replicate"], windows[r["pos"]]] = r["multiplicity"]
+    answer = lambda sc, b: max(range(3), key=lambda c: (sc[c] + b[c], -c))
+    learned, scored = val.collect(), test.collect()
+    for (rep, model, seed), value in got.items():
+        rows = [(r["y_true"], r["scores"], drawn.get((rep, r["window_id"]), 0)) for r in learned if (r["model"], r["seed"]) == (model, seed)]
+        bias = brute_offsets([r for r in rows if r[2]], 3)
+        want = plain_macro([(r["y_true"], answer(r["scores"], bias), 1) for r in scored if (r["model"], r["seed"]) == (model, seed)])
+        assert value == pytest.approx(want, abs=1e-9)
 
 
 def test_identity_probe_breaks_ties_to_the_smaller_class(spark):
