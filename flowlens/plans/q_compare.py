@@ -12,7 +12,7 @@ from flowlens.plans.base import N_CLASSES, labelled, predictions
 from flowlens.plans.oracle import big, r6
 from flowlens.plans.registry import query
 
-N_BOOT = 200
+N_BOOT = 2000
 PAIRS = {"forest-boost": [("forest", 1), ("boost", -1)], "boost-plain": [("boost", 1), ("plain", -1)]}
 NESTED = {**PAIRS, "change": [("forest", 1), ("boost", -1), ("boost", -1), ("plain", 1)]}
 
