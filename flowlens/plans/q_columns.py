@@ -37,7 +37,18 @@ def _(spark, sf):
     return IO.load_flows(spark, path, ["flow_id", "src_ip", "dst_ip", "window_id", "attack"])
 
 
-@query("write_load_graphs", "SELECT (SELECT count(*) FROM kept) AS edges, (SELECT count(*) FROM hosts) AS nodes")
+_DAY = (803_347_200_000.0, 803_433_600_000.0)  # 17 June 1995, UTC
+
+
+@query("load_flows_of_a_day", f"SELECT flow_id, src_ip, dst_ip, attack, {r6('start_ms')} AS start_ms FROM kept WHERE start_ms >= {_DAY[0]} AND start_ms < {_DAY[1]}")
+def _(spark, sf):
+    path = new_path(spark, "flow_days")
+    IO.write_flows(kept(spark, sf).select("flow_id", "src_ip", "dst_ip", "attack", "start_ms"), path)
+    return IO.load_flows(spark, path, between=_DAY).withColumn("start_ms", S.r6(F.col("start_ms"))).select("flow_id", "src_ip", "dst_ip", "attack", "start_ms")
+
+
+@query("write_load_graphs", """
+  SELECT window_id, flow_id, src_ip AS src, dst_ip AS dst, n AS nodes FROM kept JOIN (SELECT window_id, count(*) AS n FROM hosts GROUP BY window_id) USING (window_id)""")
 def _(spark, sf):
     from flowlens.operators import graph as G
 
@@ -45,7 +56,7 @@ def _(spark, sf):
     df = kept(spark, sf)
     IO.write_graphs(G.edges(df), G.nodes(df), path)
     edges, nodes = IO.load_graphs(spark, path)
-    return edges.agg(F.count("*").alias("edges")).withColumn("nodes", nodes.agg(F.count("*").alias("n")).scalar())
+    return edges.join(nodes.groupBy("window_id").agg(F.count("*").alias("nodes")), "window_id").select("window_id", "flow_id", "src", "dst", "nodes")
 
 
 @query("write_load_predictions", "SELECT flow_id, seed, y_true, y_pred FROM pred WHERE model = 'forest' AND seed IN (1, 3)")

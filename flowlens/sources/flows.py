@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,20 +24,50 @@ def read_flows(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df if nrows is None else df.limit(nrows)
 
 
-def write_flows(df: DataFrame, path: str, mode: str = "errorifexists", days: bool = True) -> None:
-    """Clean flow table as Parquet. By default partitioned by UTC day, so that time filters prune folders."""
+#: Rows of one hour that one file of the day layout holds, about.
+FILE_ROWS = 1_000_000
+HOUR_MS = 3_600_000
+
+
+def write_flows(df: DataFrame, path: str, mode: str = "errorifexists", days: bool = True, file_rows: int = FILE_ROWS) -> None:
+    """Clean flow table as Parquet. By default in one folder per UTC day, of which ``load_flows`` reads those that a time range touches.
+
+    Rows are counted by hour first, and an hour with more than ``file_rows`` rows is dealt over several files, so that a busy hour is no
+    single task. The counts, with the first and last time of every hour, stay beside the table as ``<path>.hours``.
+    """
     if not days:
         df.write.mode(mode).parquet(path)
         return
-    dated = df.withColumn("flow_day", S.to_day(F.col("start_ms")))
-    # Rows of a day spread over many writers: a busy day is not one task's work.
-    dated.repartition("flow_day", F.floor(F.col("start_ms") / 3_600_000.0)).sortWithinPartitions("start_ms").write.mode(
-        mode
-    ).partitionBy("flow_day").parquet(path)
+    hour = F.floor(F.col("start_ms") / HOUR_MS)
+    dated = df.withColumn("flow_day", S.to_day(F.col("start_ms"))).withColumn("_hour", hour)
+    hours = dated.groupBy("flow_day", "_hour").agg(F.count("*").alias("flows"), F.min("start_ms").alias("first_ms"), F.max("start_ms").alias("last_ms"))
+    beside = hours_path(path)
+    hours.write.mode(mode).parquet(beside)
+    # An hour, or the rows without a time, that need several files: a list as long as the table has such hours, written, so of a known size.
+    full = df.sparkSession.read.parquet(beside).where(F.col("flows") > file_rows).select(F.col("_hour").alias("_full"), F.ceil(F.col("flows") / file_rows).cast("int").alias("_files"))
+    dealt = dated.join(full, F.col("_hour").eqNullSafe(F.col("_full")), "left").withColumn("_file", F.floor(F.rand(5) * F.coalesce("_files", F.lit(1))))
+    dealt = dealt.repartition("flow_day", "_hour", "_file").drop("_hour", "_full", "_files", "_file")
+    dealt.sortWithinPartitions("flow_day", "start_ms").write.mode(mode).partitionBy("flow_day").parquet(path)
 
 
-def load_flows(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def hours_path(path: str) -> str:
+    return f"{path.rstrip('/')}.hours"
+
+
+def load_flows(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, between: tuple[float, float] | None = None,
+) -> DataFrame:
+    """The flow table; with ``between`` the flows that start at or after the first and before the second epoch millisecond.
+
+    In the day layout only the folders of the days in the range are read.
+    """
     df = spark.read.parquet(path)
+    if between is not None:
+        low, high = between
+        df = df.where((F.col("start_ms") >= F.lit(float(low))) & (F.col("start_ms") < F.lit(float(high))))
+        if "flow_day" in df.columns:
+            day = lambda ms: F.lit(datetime.fromtimestamp(ms / 1000.0, timezone.utc).date())
+            df = df.where(F.col("flow_day").between(day(low), day(high - 1e-3)))
     if "flow_day" in df.columns:
         df = df.drop("flow_day")
     return df if columns is None else df.select(*columns)

@@ -80,3 +80,28 @@ def test_event_time_does_not_hang_on_the_session_zone(spark):
             assert row["ms"] == 1_719_835_200_000.0 and row["day"] == "2024-07-01"
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_a_day_is_one_folder(spark, tmp_path):
+    """A time range reads the folders of its days only, and a busy hour is dealt over several files."""
+    day = 86_400_000
+    rows = [(f"f{i}", float(i % 4 * day + (i % 7) * 1000)) for i in range(400)] + [("none", None)]
+    df = spark.createDataFrame(rows, "flow_id string, start_ms double")
+    path = str(tmp_path / "flows")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be put together again
+    try:
+        IO.write_flows(df, path, file_rows=20)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = IO.load_flows(spark, path, between=(day + 2000, 2 * day))
+    want = {f for f, ms in rows if ms is not None and day + 2000 <= ms < 2 * day}
+    assert {r.flow_id for r in back.collect()} == want and back.columns == ["flow_id", "start_ms"]
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(flow_day" in plan and "1970-01-02" in plan
+    folders = {r.f.rsplit("/", 2)[1] for r in back.select(F.input_file_name().alias("f")).collect()}
+    assert folders == {"flow_day=1970-01-02"}
+    files = list((tmp_path / "flows" / "flow_day=1970-01-02").glob("*.parquet"))
+    assert len(files) > 1
+    assert IO.load_flows(spark, path).count() == len(rows)
+    hours = spark.read.parquet(IO.hours_path(path))
+    assert hours.agg(F.sum("flows")).first()[0] == len(rows) and hours.count() == 5
