@@ -125,7 +125,7 @@ def single_feature_outcomes(df: DataFrame, columns: Sequence[str], leaves: DataF
 class JointTree:
     """A tree over several features: its splits by node, and the class of every node."""
 
-    def __init__(self, splits: dict[int, tuple[str, float]], labels: dict[int, int]):
+    def __init__(self, splits: dict[int, tuple[str, float]], labels: dict):
         self.splits, self.labels = splits, labels
 
     def predict(self) -> Column:
@@ -140,55 +140,103 @@ class JointTree:
         return below(1)
 
 
+class _Binned:
+    """Training rows with the bins of their features (``b0``, ``b1``, ...), and the splits made so far. The bins' ends are at the driver."""
+
+    def __init__(self, train: DataFrame, columns: Sequence[str], label: str, bins: int):
+        self.columns, self.splits = list(columns), {}
+        counts = cut(long_values(train, columns, []).groupBy("feature", "value").agg(F.count("*").alias("n")), "values")
+        edges = value_bins(counts, bins).groupBy("feature", "bin").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+        self.places: dict[str, list] = {c: [] for c in columns}
+        for r in edges.collect():
+            self.places[r.feature].append((r.lo, r.bin, r.hi))
+        for held in self.places.values():
+            held.sort()
+        self.empty = not any(self.places.values())
+        self.rows = None if self.empty else cut(train.select(F.col(label).alias("label"), *[self._bin(c).alias(f"b{i}") for i, c in enumerate(columns)]), "binned")
+
+    def _bin(self, c: str) -> Column:
+        """A value's bin is the last one that does not begin above it: training values fall where they were counted."""
+        starts = F.array(*[F.lit(float(lo)) for lo, _, _ in self.places[c][1:]]).cast("array<double>")
+        value = S.clip_extreme(F.col(f"`{c}`").cast("double"))
+        return F.element_at(F.array(*[F.lit(int(b)) for _, b, _ in self.places[c]]), F.size(F.filter(starts, lambda s: s <= value)) + 1)
+
+    def node(self, at: int = 1) -> Column:
+        """The node that the splits so far lead a row to."""
+        if at not in self.splits:
+            return F.lit(at)
+        i, b = self.splits[at]
+        return F.when(F.col(f"b{i}") <= b, self.node(2 * at)).otherwise(self.node(2 * at + 1))
+
+    def counted(self, level: int) -> DataFrame:
+        """(node, label, feature, bin, n) of the rows whose node lies on ``level``."""
+        cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"b{i}").alias("bin")) for i in range(len(self.columns))])
+        open_ = self.rows.withColumn("node", self.node()).where(F.col("node") >= 2**level)
+        return open_.select("node", "label", F.explode(cells).alias("_c")).groupBy("node", "label", "_c.feature", "_c.bin").agg(F.count("*").alias("n"))
+
+    def tree(self, labels: dict) -> JointTree:
+        def bound(i: int, b: int) -> float:
+            values = self.places[self.columns[i]]
+            at = [x[1] for x in values].index(b)
+            return (values[at][2] + values[at + 1][0]) / 2
+
+        return JointTree({node: (self.columns[i], bound(i, b)) for node, (i, b) in self.splits.items()}, labels)
+
+
 def joint_tree(train: DataFrame, columns: Sequence[str], n_classes: int, depth: int = 6, bins: int = BINS, label: str = "target") -> JointTree | None:
-    """One tree over all ``columns``; None without rows. One aggregation (node, feature, bin, class) per level.
+    """One class-balanced tree over all ``columns``; None without rows. One aggregation (node, feature, bin, class) per level.
 
-    A row carries its features' values and finds its node by the splits so far, which are at most 2^depth. The driver gets the best
+    A row carries its features' bins and finds its node by the splits so far, which are at most 2^depth. The driver gets the best
     split and the class of each node.
     """
-    counts = value_counts(train, columns, label)
-    weights = class_weights(counts, label)
-    if not weights:
+    held = _Binned(train, columns, label, bins)
+    if held.empty:
         return None
-    edges = cut(histogram(counts, value_bins(counts, bins), n_classes, label).select("feature", "bin", "lo", "hi"), "edges")
-    places: dict[str, list] = {c: [] for c in columns}
-    for r in edges.collect():  # the bins of each feature
-        places[r.feature].append((r.lo, r.bin, r.hi))
-    for c in columns:
-        places[c].sort()
-    # A value's bin is the last one that does not begin above it: training values fall where they were counted.
-    bin_of = {}
-    reached = lambda c: lambda s: s <= S.clip_extreme(F.col(f"`{c}`").cast("double"))
-    for c in columns:
-        starts = F.array(*[F.lit(float(lo)) for lo, _, _ in places[c][1:]]).cast("array<double>")
-        numbers = F.array(*[F.lit(int(b)) for _, b, _ in places[c]])
-        bin_of[c] = F.element_at(numbers, F.size(F.filter(starts, reached(c))) + 1)
-    rows = cut(train.select(label, *[bin_of[c].alias(f"b{i}") for i, c in enumerate(columns)]), "binned")
-    splits: dict[int, tuple[int, int]] = {}
+    found = held.rows.groupBy("label").agg(F.count("*").alias("n")).collect()
+    weights = {r.label: 1.0 / (len(found) * r.n) for r in found}
     labels: dict[int, int] = {}
     for level in range(depth + 1):
-        def where(node: int) -> Column:
-            if node not in splits:
-                return F.lit(node)
-            i, b = splits[node]
-            return F.when(F.col(f"b{i}") <= b, where(2 * node)).otherwise(where(2 * node + 1))
-
-        cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"b{i}").alias("bin")) for i in range(len(columns))])
-        open_ = rows.withColumn("node", where(1)).where(F.col("node") >= 2**level)
-        counted = open_.select("node", label, F.explode(cells).alias("_c")).groupBy("node", label, "_c").agg(F.count("*").alias("n"))
-        table = counted.groupBy("node", "_c.feature", "_c.bin").agg(*_sums(n_classes, label))
+        table = held.counted(level).groupBy("node", "feature", "bin").agg(*_sums(n_classes, "label"))
         sums = [F.sum(F.when(F.col("feature") == 0, F.col(f"c{k}") * F.lit(w))).alias(f"w{k}") for k, w in sorted(weights.items())]
         nodes = best_splits(table, ["node"], weights).groupBy("node").agg(F.first("best").alias("best"), *sums).collect()
         for r in nodes:
             labels[r.node] = max(weights, key=lambda k: (round(r[f"w{k}"], 12), -k))
             if r.best is not None and level < depth:
-                splits[r.node] = (r.best.feature, r.best.bin)
+                held.splits[r.node] = (r.best.feature, r.best.bin)
         if not any(r.best is not None for r in nodes):
             break
+    return held.tree(labels)
+
 
-    def bound(i: int, b: int) -> float:
-        values = places[columns[i]]
-        at = [x[1] for x in values].index(b)
-        return (values[at][2] + values[at + 1][0]) / 2
+def many_class_tree(train: DataFrame, columns: Sequence[str], label: str, depth: int = 10, bins: int = BINS) -> JointTree | None:
+    """One tree over all ``columns`` that names the value of ``label``, of which there may be any number; rows count alike.
 
-    return JointTree({node: (columns[i], bound(i, b)) for node, (i, b) in splits.items()}, labels)
+    No class has a number or a column. The sums of squares in the Gini impurity change from bin to bin only by the classes that have rows in
+    the bin: of a class with l rows before and n in it, by 2ln + n^2 on the left and n^2 - 2rn on the right. So counts of what occurs are enough.
+    A leaf names its most frequent label, the least of equally frequent ones.
+    """
+    held = _Binned(train, columns, label, bins)
+    if held.empty:
+        return None
+    total = held.rows.count()
+    for level in range(depth):
+        each = Window.partitionBy("node", "feature", "label")
+        cells = held.counted(level).withColumn("n", F.col("n").cast("double"))
+        cells = cells.withColumn("_l", F.sum("n").over(each.orderBy("bin")) - F.col("n")).withColumn("_r", F.sum("n").over(each) - F.col("_l"))
+        n = F.col("n")
+        table = cells.groupBy("node", "feature", "bin").agg(F.sum(n).alias("c"), F.sum(2 * F.col("_l") * n + n * n).alias("dl"), F.sum(n * n - 2 * F.col("_r") * n).alias("dr"))
+        upto = Window.partitionBy("node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = Window.partitionBy("node", "feature")
+        table = table.select(
+            "node", "feature", "bin", F.sum("c").over(upto).alias("l"), F.sum("dl").over(upto).alias("l2"), F.sum("dr").over(upto).alias("r2"),
+            F.sum("c").over(whole).alias("t"), F.sum("dl").over(whole).alias("t2"), F.max("bin").over(whole).alias("last"),
+        )
+        right = F.col("t") - F.col("l")
+        gain = F.round((F.col("l2") / F.col("l") + F.when(right > 0, (F.col("t2") + F.col("r2")) / right).otherwise(0.0) - F.col("t2") / F.col("t")) / total, DECIMALS)
+        best = F.min(F.when((F.col("bin") < F.col("last")) & (gain > 0), F.struct((-gain).alias("loss"), "feature", "bin")))
+        found = [r for r in table.groupBy("node").agg(best.alias("best")).collect() if r.best is not None]
+        held.splits |= {r.node: (r.best.feature, r.best.bin) for r in found}
+        if not found:
+            break
+    named = held.rows.groupBy(held.node().alias("node"), "label").agg(F.count("*").alias("n"))
+    return held.tree({r.node: r.m.label for r in named.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).collect()})

@@ -99,7 +99,7 @@ _K = range(N_CLASSES)
 
 
 def _unpivot(names, split: int) -> str:
-    cells = ", ".join(f"{{'feature': '{c}', 'value': CAST({_COLUMNS[c]} AS DOUBLE)}}" for c in names)
+    cells = ", ".join(f"{{'feature': '{c}', 'value': CAST({_COLUMNS.get(c, c)} AS DOUBLE)}}" for c in names)
     return f"SELECT flow_id, target, c.feature, c.value FROM (SELECT flow_id, target, unnest([{cells}]) AS c FROM lab WHERE split = {split})"
 
 
@@ -194,9 +194,38 @@ def _(spark, sf):
     return M.joint_feature_probe(labelled(spark, sf), _FIELDS, N_CLASSES, LIMIT).withColumn("value", S.r6(F.col("value")))
 
 
-@query("host_fingerprint_probe")
+# The fingerprint tree in SQL: counts of hosts by node and bin, sums of squares from what each bin changes.
+_HOST_FIELDS = ["l_quantity", "l_extendedprice", "src_port"]
+_HB = ", ".join(f"b{i}" for i in range(3))
+_HOST = _bins(_HOST_FIELDS) | {
+    "hr0": f"SELECT src_ip, 1 AS node, {', '.join(f'max(bin) FILTER (feature = {c!r}) AS b{i}' for i, c in enumerate(_HOST_FIELDS))} FROM tl JOIN tb USING (feature, value) JOIN lab USING (flow_id) GROUP BY flow_id, src_ip",
+    "edge": "SELECT feature, bin, min(value) AS lo, max(value) AS hi FROM tb GROUP BY ALL",
+    "cutat": "SELECT feature, bin, (hi + lead(lo) OVER (PARTITION BY feature ORDER BY bin)) / 2 AS bound FROM edge",
+    "ht0": f"SELECT src_ip, 1 AS node, {', '.join(f'CAST({c} AS DOUBLE) AS v{i}' for i, c in enumerate(_HOST_FIELDS))} FROM lab WHERE split = 2",
+}
+for _i in range(10):
+    _HOST[f"hs{_i}"] = f"""SELECT DISTINCT node, first_value(feature) OVER w AS f, first_value(bin) OVER w AS b FROM (
+      SELECT *, round((l2 / l + CASE WHEN t > l THEN (t2 + r2) / (t - l) ELSE 0 END - t2 / t) / (SELECT count(*) FROM hr0), 9) AS gain FROM (
+        SELECT node, feature, bin, sum(c) OVER u AS l, sum(dl) OVER u AS l2, sum(dr) OVER u AS r2, sum(c) OVER p AS t, sum(dl) OVER p AS t2, max(bin) OVER p AS last FROM (
+          SELECT node, feature, bin, sum(n) AS c, sum(2 * lb * n + n * n) AS dl, sum(n * n - 2 * (tk - lb) * n) AS dr FROM (
+            SELECT *, sum(n) OVER (PARTITION BY node, feature, src_ip ORDER BY bin) - n AS lb, sum(n) OVER (PARTITION BY node, feature, src_ip) AS tk FROM (
+              SELECT node, src_ip, c.feature, c.bin, count(*)::DOUBLE AS n FROM (
+                SELECT node, src_ip, unnest([{', '.join(f"{{'feature': {i}, 'bin': b{i}}}" for i in range(3))}]) AS c FROM hr{_i} WHERE node >= {2**_i}) GROUP BY ALL)) GROUP BY ALL)
+        WINDOW u AS (PARTITION BY node, feature ORDER BY bin), p AS (PARTITION BY node, feature)))
+      WHERE bin < last AND gain > 0 WINDOW w AS (PARTITION BY node ORDER BY -gain, feature, bin)"""
+    _HOST[f"hr{_i + 1}"] = f"SELECT src_ip, CASE WHEN f IS NULL THEN node ELSE 2 * node + CASE WHEN [{_HB}][f + 1] > b THEN 1 ELSE 0 END END AS node, {_HB} FROM hr{_i} LEFT JOIN hs{_i} USING (node)"
+    _HOST[f"ht{_i + 1}"] = f"""SELECT src_ip, CASE WHEN f IS NULL THEN node ELSE 2 * node + CASE WHEN [v0, v1, v2][f + 1] > bound THEN 1 ELSE 0 END END AS node, v0, v1, v2
+      FROM ht{_i} LEFT JOIN (SELECT node, f, bound FROM hs{_i} JOIN cutat ON bin = b AND feature = [{', '.join(map(repr, _HOST_FIELDS))}][f + 1]) USING (node)"""
+_HOST["hl"] = "SELECT node, arg_min(src_ip, (-n, src_ip)) AS y FROM (SELECT node, src_ip, count(*) AS n FROM hr10 GROUP BY ALL) GROUP BY node"
+_HOST["hp"] = """SELECT 'fingerprint' AS model, src_ip, y FROM ht10 JOIN hl USING (node) UNION ALL
+  SELECT 'majority', src_ip, (SELECT arg_min(src_ip, (-n, src_ip)) FROM (SELECT src_ip, count(*) AS n FROM hr0 GROUP BY src_ip)) FROM ht0"""
+
+
+@query("host_fingerprint_probe", f"""
+  SELECT model, {r6('sum(hit) / sum(n)')} AS accuracy, {r6('avg(hit / n)')} AS balanced_accuracy FROM (
+    SELECT model, src_ip, count(*) AS n, count(*) FILTER (y = src_ip)::DOUBLE AS hit FROM hp GROUP BY ALL) GROUP BY model""", _HOST)
 def _(spark, sf):
-    out = M.host_fingerprint_probe(labelled(spark, sf), ["l_quantity", "l_extendedprice", "src_port"], depth=6)
+    out = M.host_fingerprint_probe(labelled(spark, sf), _HOST_FIELDS)
     return out.select("model", *[S.r6(F.col(c)).alias(c) for c in ("accuracy", "balanced_accuracy")])
 
 

@@ -98,6 +98,25 @@ def test_trees_equal_trying_every_split(spark, bins, depth, monkeypatch):
     assert got == {r[0]: answer(tree, x, binned, some) for r, (x, _) in zip(learned, some)}
 
 
+def test_many_classes_equal_trying_every_split(spark):
+    rows = [(*r[:3], *r[3:]) for r in rows_of(3, 300)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("host", F.concat(F.lit("h"), "target")).repartition(3)
+    tree = R.many_class_tree(df, ["a", "b", "c"], "host", 5)
+    some = [(tuple(clean(v) for v in r[3:6]), r[2]) for r in rows]
+    plain, binned = plain_tree(some, 3, {k: 1 / len(rows) for k in range(4)}, 5, R.BINS)
+    got = {r.flow_id: r.y for r in df.select("flow_id", tree.predict().alias("y")).collect()}
+    assert got == {r[0]: f"h{answer(plain, x, binned, some)}" for r, (x, _) in zip(rows, some)}
+
+
+def test_unseen_hosts_are_classes_of_their_own(spark):
+    """Two hosts that only the test flows have: each has a recall of zero."""
+    rows = [(f"f{i}", 0, 0, float(i % 2), 0.0, 0.0, 0.0, f"h{i % 2}") for i in range(20)] + [("g", 0, 0, 1.0, 0.0, 0.0, 0.0, "h1")]
+    rows += [("t0", 2, 0, 0.0, 0.0, 0.0, 0.0, "h0"), ("t1", 2, 0, 1.0, 0.0, 0.0, 0.0, "h1"), ("t2", 2, 0, 1.0, 0.0, 0.0, 0.0, "new"), ("t3", 2, 0, 0.0, 0.0, 0.0, 0.0, "newer")]
+    df = spark.createDataFrame(rows, SCHEMA + ", src_ip string")
+    got = {r.model: (r.accuracy, r.balanced_accuracy) for r in M.host_fingerprint_probe(df, ["a"]).collect()}
+    assert got == {"fingerprint": (0.5, 0.5), "majority": (0.25, 0.25)}
+
+
 def test_probes(spark):
     df = spark.createDataFrame(rows_of(2, 900), SCHEMA).repartition(3)
     single = {(r.model, r.metric): r.value for r in M.single_feature_probe(df, ["a", "b", "same"], 4, 10_000).collect()}
