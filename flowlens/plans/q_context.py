@@ -101,6 +101,11 @@ def _(spark, sf):
     return X.host_context(kept(spark, sf)).select("window_id", "host", *[S.r6(F.col(c)).alias(c) for c in _ALL])
 
 
+@query("host_context_grouped", f"SELECT window_id, host, {_list({c: c for c in _ALL})} FROM ctx")
+def _(spark, sf):
+    return X.host_context(kept(spark, sf), grouped=True).select("window_id", "host", *[S.r6(F.col(c)).alias(c) for c in _ALL])
+
+
 @query("host_context_groups", f"""
   SELECT window_id, host, {_list({c: c for c in X.ROLE})}, {r6('sin(2 * pi() * a)')} AS tod_sin, {r6('cos(2 * pi() * a)')} AS tod_cos FROM ctx
   JOIN (SELECT window_id, ((min(start_ms) / 1000.0::DOUBLE) % 86400.0::DOUBLE) / 86400.0::DOUBLE AS a FROM kept GROUP BY window_id) USING (window_id)""")
