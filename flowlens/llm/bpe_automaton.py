@@ -20,9 +20,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: Characters worked on at once, bytes of the words that run through the tables side by side (longer ones run alone), and cells of such a run.
-BLOCK, LANE, CELLS = 1 << 20, 128, 1 << 21
+BLOCK, LANE, CELLS = 1 << 19, 128, 1 << 20
 #: Answers of the transition test that are kept: 2^KEPT slots, in each the last one that fell there.
-KEPT = 20
+KEPT = 19
 
 Automaton = namedtuple("Automaton", "left rank parent created excluded target")
 
@@ -131,25 +131,25 @@ class Transitions:
 class Ends:
     """Which tokens end at a place of a word: flat tables over the tokens' bytes.
 
-    A state is the longest stretch of a word read so far with which a token begins. ``step`` holds the next state by state and class
+    A state is the longest stretch of a word read so far with which a token begins. ``step`` holds the next state by the row of a state and the class
     of the byte, ``closing`` the state in which a word ends, ``longest`` the longest token that ends in a state, and ``shorter``, by token,
     the longest one that ends it.
     """
 
     def __init__(self, tokens: list[tuple[bytes, bool, int]], n_tokens: int):
-        trie: list[dict[int, int]] = [{}]
+        trie: dict[int, int] = {}  # by state and symbol
         parent, symbol, depth, own = [0], [0], [0], [-1]
         for body, last, token in tokens:
             at = 0
             for c in [*body, 256] if last else body:
-                if c not in trie[at]:
-                    trie[at][c] = len(trie)
-                    trie.append({})
+                key = at * 257 + c
+                if key not in trie:
+                    trie[key] = len(own)
                     parent.append(at)
                     symbol.append(c)
                     depth.append(depth[at] + 1)
                     own.append(-1)
-                at = trie[at][c]
+                at = trie[key]
             own[at] = token
         parent, symbol, depth = np.array(parent), np.array(symbol), np.array(depth)
         inside = symbol < 256  # a word's end leads nowhere
@@ -195,9 +195,19 @@ class Ends:
             self.length[inner[inner >= 0]] = d
             self.length[final[final >= 0]] = d
 
+        # A state that nothing goes on from has the row of the longest stretch that ends it.
+        inner = np.zeros(n, bool)
+        inner[number[parent[inside]]] = True
+        self.row = (np.cumsum(inner) - 1).astype(np.int32)
+        for d in range(1, int(depth.max()) + 1):
+            last = number[np.flatnonzero((depth == d) & inside)]
+            last = last[~inner[last]]
+            self.row[last] = self.row[fail[last]]
+        self.step = self.step[inner]
+
     def after(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         kind = self.kind[byte]
-        return np.where(kind == self.step.shape[1] - 1, self.begins[byte], self.step[state, kind])
+        return np.where(kind == self.step.shape[1] - 1, self.begins[byte], self.step[self.row[state], kind])
 
 
 @lru_cache(maxsize=2)
@@ -303,7 +313,7 @@ class Encoder:
         kept: dict[tuple[int, int], bool] = {}
         for i, c in enumerate(word.tolist(), 1):
             kind = ends.kind[c]
-            state = ends.begins[c] if kind == ends.step.shape[1] - 1 else ends.step[state, kind]
+            state = ends.begins[c] if kind == ends.step.shape[1] - 1 else ends.step[ends.row[state], kind]
             t = int((ends.longest if i < n else ends.closing)[state])
             while True:
                 if t < 0:
