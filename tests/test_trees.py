@@ -123,3 +123,20 @@ def test_probes(spark):
     joint = {r.metric: r.value for r in M.joint_feature_probe(df, ["a", "b"], 4, 10_000).collect()}
     assert joint["macro_f1"] > 0.7 > max(single["a", "macro_f1"], single["b", "macro_f1"]) > single["same", "macro_f1"]
     assert R.joint_tree(df.where(F.lit(False)), ["a"], 4) is None
+
+
+@pytest.mark.parametrize("name", ["joint_feature_probe"])
+def test_registered_probes_learn_from_all_training_rows(spark, monkeypatch, name):
+    """However small the sample of other queries is: the checking SQL knows no sample."""
+    import duckdb
+
+    from flowlens.plans import q_models, registry
+
+    registry.load()
+    monkeypatch.setattr(q_models, "LIMIT", 100)
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("customer", "supplier", "part", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = sorted(con.execute(f"SELECT model, seed, metric, value FROM ({registry.ORACLES[name]})").fetchall())
+    got = sorted(tuple(r) for r in registry.QUERIES[name](spark, folder).select("model", "seed", "metric", "value").collect())
+    assert got == want
