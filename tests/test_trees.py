@@ -125,7 +125,7 @@ def test_probes(spark):
     assert R.joint_tree(df.where(F.lit(False)), ["a"], 4) is None
 
 
-@pytest.mark.parametrize("name", ["joint_feature_probe"])
+@pytest.mark.parametrize("name", ["joint_feature_probe", "single_feature_probe"])
 def test_registered_probes_learn_from_all_training_rows(spark, monkeypatch, name):
     """However small the sample of other queries is: the checking SQL knows no sample."""
     import duckdb
