@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, namedtuple
 
@@ -16,12 +17,14 @@ from flowlens.llm.common import LOWER_ASCII, packed, unpacked
 from flowlens.llm.language_crf import labelled_sample
 from flowlens.tables import cut
 
-#: Labelled rows of a class that are learned from, at most; the share of them that the dictionaries are made of (the rest calibrates).
-PER_CLASS, SHARE = 1500, 0.65
+#: Labelled rows of a class that are learned from, at most; parts into which they are dealt for the calibration.
+PER_CLASS, PARTS = 1500, 3
 #: Bytes of a window, of the ordinary dictionary, and of the toxic one; shortest match that the compressor takes.
 WINDOW, ORDINARY, TOXIC, MATCH = 48, 32_768, 16_384, 6
 #: A toxic segment stands in this share of the toxic texts at least, and so many times more often in them than in ordinary ones.
-SUPPORT, CONTRAST, LEAST = 0.01, 20, 3
+SUPPORT, CONTRAST, LEAST, LONGEST = 0.01, 20, 3, 16
+#: How strongly weights are drawn to which slope, and the least spread by which a gain is scaled.
+RIDGE, SLOPE, FLAT = 0.5, 0.2, 0.01
 #: Gains, in bytes, from which windows are counted.
 GAINS = (2, 3, 4, 5, 6)
 
@@ -70,17 +73,36 @@ def ordinary_dictionary(texts: list[bytes], seed: int = 3) -> bytes:
         return b"".join(pieces)[-ORDINARY:]
 
 
-def toxic_dictionary(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """What toxic texts repeat and ordinary ones do not, most frequent last, where it is nearest."""
-    toxic = apart(toxic)
-    seen, other = Counter(), Counter()
-    for t in toxic:
-        seen.update(words(t))
-    for t in ordinary:
-        other.update(words(t))
-    least = max(LEAST, SUPPORT * len(toxic))
-    chosen = [w for w, c in seen.items() if c >= least and c * len(ordinary) > CONTRAST * other[w] * len(toxic)]
-    return b"".join(b" " + w + b" " for w in sorted(chosen, key=lambda w: (seen[w], w)))[-TOXIC:]
+def beginnings(text: bytes) -> set[bytes]:
+    """Distinct beginnings of words, each behind the byte that a word starts after: all of MATCH bytes or more, whole characters, and the words."""
+    out = set()
+    for w in words(text):
+        w = b" " + w
+        out.add(w + b" ")
+        out.update(w[:j] for j in range(MATCH, min(len(w), LONGEST) + 1) if j == len(w) or w[j] & 0xC0 != 0x80)
+    return out
+
+
+def toxic_dictionary(seen: Counter, other: Counter, n_toxic: int, n_ordinary: int) -> bytes:
+    """Beginnings of words and whole words that toxic texts repeat and ordinary ones do not, most frequent last, where it is nearest.
+
+    So many toxic texts must hold a segment that about one of all segments would do so by chance. If none does, what stands in ``LEAST`` of
+    them is taken, else in two, else in one. A segment that another one begins with is left out: it is found there. ``seen`` and ``other`` say
+    in how many of the ``n_toxic`` and ``n_ordinary`` texts a segment stands.
+    """
+    rare = [s for s, c in seen.items() if c * n_ordinary > CONTRAST * other[s] * n_toxic]
+    chance = math.log(max(2, len(seen))) / math.log(1 + n_ordinary / max(1, n_toxic)) if n_ordinary else 0
+    chosen: list[bytes] = []
+    for least in (max(LEAST, SUPPORT * n_toxic, chance), LEAST, 2, 1):
+        chosen = chosen or sorted(s for s in rare if seen[s] >= least)
+    kept: dict[bytes, int] = {}
+    for s, after in zip(chosen, [*chosen[1:], b""]):
+        most = max(seen[s], kept.pop(b"", 0))
+        if after.startswith(s):
+            kept[b""] = most  # handed on to the longer one
+        else:
+            kept[s] = most
+    return b"".join(sorted(kept, key=lambda s: (kept[s], s)))[-TOXIC:]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -111,35 +133,63 @@ class Meter:
 
 
 def fit(texts: list[bytes], toxic: list[int], rate: float) -> Model:
-    """Dictionaries from the first part of the rows, and a logistic calibration of the gains on the rest.
+    """Dictionaries from the rows, and a logistic calibration of the gains of rows that are not in the dictionaries at hand.
 
-    ``rate`` is the share of toxic rows where the scores are to hold: the rows count accordingly.
+    The rows are dealt into ``PARTS``, class by class; the gains of a part are measured with dictionaries of the other parts, so that every row
+    is learned from and calibrates. ``rate`` is the share of toxic rows where the scores are to hold: the rows count accordingly.
+    The weights are drawn to a small positive slope and not to zero, so that with few rows more gain still is a higher score.
     """
     is_toxic = np.array(toxic, bool)
-    turn = np.zeros(len(texts))
+    part = np.zeros(len(texts), int)
     for c in (False, True):
         mine = np.flatnonzero(is_toxic == c)
-        turn[mine] = np.arange(len(mine)) / max(1, len(mine))
-    learn = turn < SHARE
-    side = lambda c: [t for t, x, u in zip(texts, is_toxic, learn) if x == c and u]
-    ordinary = ordinary_dictionary(side(False))
-    model = Meter(ordinary, special := toxic_dictionary(side(True), side(False)))
-    x = np.array([model.features(t) for t, u in zip(texts, learn) if not u]).reshape(-1, 4 + 2 * len(GAINS))
-    y = is_toxic[~learn]
-    mean, scale = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        part[mine] = np.arange(len(mine)) % PARTS
+    first = set(apart([t for t, c in zip(texts, is_toxic) if c]))
+    toxic_parts = [[t for t, c, p in zip(texts, is_toxic, part) if c and p == k and t in first] for k in range(PARTS)]
+    plain_parts = [[t for t, c, p in zip(texts, is_toxic, part) if not c and p == k] for k in range(PARTS)]
+    seen = [Counter(s for t in held for s in beginnings(t)) for held in toxic_parts]
+    some = set().union(*seen)
+    other = [Counter(s for t in held for s in beginnings(t) if s in some) for held in plain_parts]
+
+    def made(k: int) -> tuple[bytes, bytes]:
+        """The ordinary and the toxic dictionary of all parts but ``k``."""
+        rest = [i for i in range(PARTS) if i != k]
+        joined = [Counter(), Counter()]
+        for total, counts in zip(joined, (seen, other)):
+            for i in rest:
+                total.update(counts[i])
+        sizes = [sum(len(held[i]) for i in rest) for held in (toxic_parts, plain_parts)]
+        return ordinary_dictionary([t for i in rest for t in plain_parts[i]]), toxic_dictionary(*joined, *sizes)
+
+    x = np.zeros((len(texts), 4 + 2 * len(GAINS)))
+    for k in range(PARTS):
+        meter = Meter(*made(k))
+        for i in np.flatnonzero(part == k):
+            x[i] = meter.features(texts[i])
+    y = is_toxic
+    mean, scale = (x.mean(0), np.maximum(x.std(0), FLAT)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     z = np.concatenate(((x - mean) / scale, np.ones((len(x), 1))), 1)
-    w = np.zeros(z.shape[1])
+    drawn_to = np.append(np.full(x.shape[1], SLOPE), 0.0)
+    w = drawn_to.copy()
     rate = min(max(rate, 1e-3), 1 - 1e-3)
     w[-1] = np.log(rate / (1 - rate))
     if y.any() and not y.all():
         weight = np.where(y, rate / y.mean(), (1 - rate) / (1 - y.mean()))
-        for _ in range(30):
+        ridge = np.full(len(w), RIDGE)
+        ridge[-1] = 1e-6
+        sign = np.where(y, 1.0, -1.0)
+        loss = lambda w: (weight * np.logaddexp(0, -sign * (z @ w))).sum() + (ridge * (w - drawn_to) ** 2).sum() / 2
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            ridge = np.full(len(w), 0.5)
-            ridge[-1] = 1e-6
             hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(ridge)
-            w -= np.linalg.solve(hessian, z.T @ (weight * (p - y)) + ridge * w)
-    return Model(ordinary, special, mean, scale, w)
+            step = np.linalg.solve(hessian, z.T @ (weight * (p - y)) + ridge * (w - drawn_to))
+            now, share = loss(w), 1.0
+            while share > 1e-6 and not loss(w - share * step) <= now:  # a whole step may go past the least loss
+                share /= 2
+            if share <= 1e-6:
+                break
+            w = w - share * step
+    return Model(*made(PARTS), mean, scale, w)
 
 
 def score(model: Model, meter: Meter, text: bytes) -> float:

@@ -433,3 +433,23 @@ def test_toxicity_held_out(spark, odd):
     got = X.toxicity(odd, model).collect()
     assert len(got) == len(ODD) and all(0 <= r.toxicity <= 1 for r in got)
     assert X.toxicity(odd, X.fit([], [], 0.0)).count() == len(ODD) and X.toxicity(odd.limit(0), model).count() == 0
+
+
+def test_toxicity_ranks_with_few_labels(spark):
+    """Six toxic texts to learn from: texts with the words that they repeat stand above the others, none is scored alike for want of a dictionary."""
+    sf = "/root/testdata/sf0.001"
+    held = QUERIES["op3_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    order, n1, n0 = held.score.rank(), (held.toxic == 1).sum(), (held.toxic == 0).sum()
+    assert (order[held.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.7
+
+
+def test_toxicity_learns_beginnings_of_words():
+    """The toxic words share their beginning only; as whole words each stands in one text."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join(word() for _ in range(40)).encode() for _ in range(60)]
+    texts += [" ".join([word() for _ in range(20)] + ["vilethi" + word() for _ in range(3)] + [word() for _ in range(20)]).encode() for _ in range(30)]
+    model = X.fit(texts, [0] * 60 + [1] * 30, 0.3)
+    meter = X.Meter(model.ordinary, model.toxic)
+    calm, toxic = " ".join(word() for _ in range(40)), " ".join([word() for _ in range(38)] + ["vilethi" + word()])
+    assert b" vilethi" in model.toxic and X.score(model, meter, toxic.encode()) > X.score(model, meter, calm.encode())
