@@ -194,3 +194,20 @@ def test_comparisons_refuse_runs_on_different_flows(spark):
     for compare in (C.paired_bootstrap, C.contrast):
         with pytest.raises(ValueError, match="exactly once"):
             compare(lacking, parts, 5)
+
+
+def test_grid_losses_and_best_class_as_by_trying_all():
+    """Losses along the grid and the best other class equal trying every grid value and class, also where sums are equal or round."""
+    rng = np.random.default_rng(5)
+    score = np.log(np.concatenate([rng.integers(0, 3, (200, 4)) / 2, rng.random((200, 4))]) + 1e-6)
+    score[:50] = rng.integers(-4, 5, (50, 4)) * 0.5
+    offsets, kind = K._kinds(rng.choice(K.GRID, (6, 4))[[0, 1, 2, 3, 4, 5, 0, 1]])
+    assert len(offsets) == 6 and kind[0] == kind[6] and kind[1] == kind[7]
+    for c in (1, 3):
+        shifted = score[:, None] + offsets[None]
+        shifted[..., c] = -np.inf
+        rival, top = K._best(score, offsets, c)
+        assert (rival == shifted.argmax(2)).all() and (top == shifted.max(2)).all()
+        own = score[:, c, None, None] + np.array(K.GRID)
+        wins = (own > top[..., None]) | ((own == top[..., None]) & (c < rival)[..., None])
+        assert (K._losses(score[:, c, None], top, c < rival) == (~wins).sum(2)).all()
