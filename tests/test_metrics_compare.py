@@ -211,3 +211,14 @@ def test_grid_losses_and_best_class_as_by_trying_all():
         own = score[:, c, None, None] + np.array(K.GRID)
         wins = (own > top[..., None]) | ((own == top[..., None]) & (c < rival)[..., None])
         assert (K._losses(score[:, c, None], top, c < rival) == (~wins).sum(2)).all()
+
+
+def test_offsets_go_to_the_rows(spark, tmp_path):
+    """Offsets that are made from the predictions are written first: the rows of a run are not moved to one task."""
+    spark.range(2000).selectExpr("CAST(id % 3 AS STRING) AS model", "0 AS seed", "array(0.1D, 0.2D) AS scores", "id AS flow_id").write.parquet(str(tmp_path / "p"))
+    pred = spark.read.parquet(str(tmp_path / "p"))
+    # The size of an exploded and grouped table is not known to the planner.
+    table = pred.select("model", "seed", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).groupBy("model", "seed").agg(F.sort_array(F.collect_set(F.col("i") * 0.0)).alias("o"))
+    out = K.apply_offsets(pred, table.select("model", "seed", F.array(F.get("o", F.lit(0)) + 1, F.get("o", F.lit(0))).alias("offsets")))
+    assert {r.y_pred for r in out.collect()} == {0} and out.count() == 2000
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
