@@ -222,3 +222,12 @@ def test_offsets_go_to_the_rows(spark, tmp_path):
     out = K.apply_offsets(pred, table.select("model", "seed", F.array(F.get("o", F.lit(0)) + 1, F.get("o", F.lit(0))).alias("offsets")))
     assert {r.y_pred for r in out.collect()} == {0} and out.count() == 2000
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weights_go_to_the_rows(spark, tmp_path):
+    """Class weights counted from the flows are written first: the rows of a class are not moved to one task."""
+    spark.range(2000).selectExpr("'m' AS model", "0 AS seed", "array(0.25D, 0.75D) AS scores", "CAST(id % 2 AS INT) AS y_true", "CAST(id % 2 AS INT) AS target").write.parquet(str(tmp_path / "p"))
+    pred = spark.read.parquet(str(tmp_path / "p"))
+    out = E.log_loss(pred.drop("target"), E.class_weights(pred))
+    assert out.first()["loss"] == pytest.approx(-(np.log(0.25) + np.log(0.75)) / 2)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
