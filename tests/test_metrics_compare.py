@@ -231,3 +231,24 @@ def test_weights_go_to_the_rows(spark, tmp_path):
     out = E.log_loss(pred.drop("target"), E.class_weights(pred))
     assert out.first()["loss"] == pytest.approx(-(np.log(0.25) + np.log(0.75)) / 2)
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prior_correction_equals_plain_loop(spark):
+    """Every strength, ties and all, against a loop over the rows; a row is not multiplied by the strengths."""
+    val, test = K.log_scores(predictions(spark, 3)), K.log_scores(predictions(spark, 4))
+    weights = spark.createDataFrame([(0, 0.4), (1, 2.0), (2, 3.0)], "target int, weight double")
+    w = np.log([0.4, 2.0, 3.0])
+
+    def macro(rows, strength):
+        y, p = np.array([r.y_true for r in rows]), (np.array([r.scores for r in rows]) - strength * w).argmax(1)
+        return np.mean([2 * ((y == c) & (p == c)).sum() / ((y == c).sum() + (p == c).sum()) for c in range(3) if (y == c).any()])
+
+    split = lambda df: {k: list(g) for k, g in itertools.groupby(sorted(df.collect(), key=lambda r: (r.model, r.seed)), key=lambda r: (r.model, r.seed))}
+    val_rows, test_rows = split(val), split(test)
+    curve = K.lambda_curve(val, weights)
+    assert "Generate explode(transform" not in curve._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.model, r.seed, r["lambda"]): r.value for r in curve.collect()}
+    assert got == pytest.approx({(*run, x): macro(rows, x) for run, rows in val_rows.items() for x in K.LAMBDAS})
+    for r in K.prior_correction(val, test, weights).collect():
+        mine = test_rows[r.model, r.seed]
+        assert (r.test_plain, r.test_full, r.test_tuned) == pytest.approx(tuple(macro(mine, x) for x in (0.0, 1.0, r["lambda"])))
