@@ -7,16 +7,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.bpe_automaton import encode_decode
-from flowlens.llm.common import packed
+from flowlens.llm.common import connected, packed
 from flowlens.llm.language_crf import identify, train
 from flowlens.llm.mixing import cut_table, random_key, with_taken, word_count
 from flowlens.llm.secret_scan import find_secrets, redacted
-from flowlens.llm.simhash import similar_groups
+from flowlens.llm.simhash import fingerprints, groups, similar_groups
 from flowlens.tables import cut, new_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: A text in which no language reaches this share of the letters is rejected.
 LEAST_SHARE = 0.3
+#: Words of a shingle of the fingerprints, as in ``op5_simhash``.
+WORDS = 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +36,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts, the one with the smallest id.
+    """One document of each group of near copies, the one with the smallest id.
+
+    Texts are linked if their fingerprints differ in at most 3 bits, found by the trees of ``op5_simhash``, and also if their shingle sets are
+    similar, which fingerprints alone would miss. Groups are what both kinds of links connect.
 
     Rows without an id are told apart by their text and come after those with one; of rows that agree in id and text one stays.
     """
     lead = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
     rows = packed(docs, "text", lead=lead)
-    groups = similar_groups(rows, "lead", "_text")
-    kept = cut(groups.where(F.col("lead") == F.col("first")).select("lead").distinct(), "kept")
+    prints = cut(fingerprints(rows.select("lead", "_text"), ["lead"], "_text", WORDS), "prints")
+    near = prints.join(groups(prints, "lead").withColumnRenamed("lead", "near"), "fp").select("lead", "near").distinct()
+    alike = similar_groups(rows, "lead", "_text").distinct()
+    both = cut(alike.join(near, "lead").select("lead", F.xxhash64("near").alias("a"), F.xxhash64("first").alias("b")), "both")
+    roots = cut(connected(both.select("a", "b")), "united")  # a group stands under its first document
+    placed = both.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select("lead", F.coalesce("root", "b").alias("root"))
+    kept = cut(placed.groupBy("root").agg(F.min("lead").alias("lead")).select("lead"), "kept")
     others = [F.col(f"_row.`{c}`") for c in docs.columns if c != "text"]  # as JSON, since a map has no order
     first = F.row_number().over(Window.partitionBy("lead").orderBy(F.to_json(F.struct(*others))))
     stays = rows.select("_row", "lead").join(kept, "lead", "left_semi").withColumn("place", first).where(F.col("place") == 1)

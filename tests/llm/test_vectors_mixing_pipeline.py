@@ -227,3 +227,25 @@ def test_pipeline_run(spark):
 
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "lang", "source", "ids", "decoded"] and 100 < out.count() < 400
+
+
+def test_near_copies_links_fingerprints_and_sets(spark):
+    """Long repetition with other tails: fingerprints differ in few bits, shingle sets are not similar. Both kinds of links make one group."""
+    import corpus_pipeline as P
+    from flowlens.llm.simhash import fingerprint_of, shingle_hashes, shingle_set
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    line = " ".join(word() for _ in range(7))
+    tail = lambda n: " ".join(word() for _ in range(n))
+    one, two = (" ".join([line] * 60) + " " + tail(40) for _ in range(2))
+    like_two = two + " " + tail(5)
+    alone = [tail(50) for _ in range(6)]
+    sets = [set(shingle_set(list(shingle_hashes(t.encode(), 5))).tolist()) for t in (one, two, like_two)]
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    assert jaccard(sets[0], sets[1]) < 0.5 and jaccard(sets[1], sets[2]) >= 0.8
+    bits = lambda x, y: bin((fingerprint_of(x.encode(), 3) ^ fingerprint_of(y.encode(), 3)) & (2**64 - 1)).count("1")
+    assert bits(one, two) <= 3
+    rows = [(5, one, "en", "a", 1), (3, two, "en", "a", 1), (9, like_two, "en", "a", 1), (None, one, "en", "a", 1)] + [(20 + i, t, "en", "a", 1) for i, t in enumerate(alone)]
+    out = P.near_copies(spark, spark.createDataFrame(rows, DOC), "")
+    assert sorted(r.doc_id for r in out.collect()) == [3, *range(20, 26)]
