@@ -45,3 +45,15 @@ def test_scores_equal_the_formula_and_compile(spark):
         want = F.transform(F.array(raw), lambda r: F.transform(r, lambda x: F.round(x / F.aggregate(r, F.lit(0.0), lambda t, y: t + y), 4)))[0]
         both = out.withColumn("want", want)
         assert both.count() == 2700 and both.where((F.col("scores") != F.col("want")) | (F.col("y_pred") != S.first_argmax(F.col("want")))).count() == 0
+
+
+def test_flows_are_counted_once_for_the_windows(spark, monkeypatch):
+    """Positions read the windows several times: what they read is the written count, not the flows."""
+    from flowlens.plans import base
+
+    seen, real = [], base.W.window_ordinal
+    monkeypatch.setattr(base.W, "window_ordinal", lambda df: seen.append(df) or real(df))
+    flows = spark.range(100).select(F.floor(F.col("id") / 7).alias("window_id"))
+    out = base.window_splits(flows)
+    assert "Aggregate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.window_id, r.pos, r.n_windows) for r in out.orderBy("pos").collect()] == [(i, i, 15) for i in range(15)]
