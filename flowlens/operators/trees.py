@@ -10,8 +10,10 @@ good ones the first feature and the lowest bin win; a node that no split improve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,26 @@ def single_feature_outcomes(df: DataFrame, columns: Sequence[str], leaves: DataF
     return out.groupBy("model", "seed", "y_true", "y_pred").agg(F.count("*").alias("n"))
 
 
+def _reached(values: Sequence[Column], splits: dict[int, tuple[int, float]]) -> Column:
+    """The node that ``splits`` (the number of a value and its bound, by node) lead a row to. A row looks its node up in a table of splits,
+    level by level, so the expression has one step however many splits there are."""
+    if not splits:
+        return F.lit(1)
+    ends = range(1, max(splits) + 1)
+    feature = F.lit([splits[n][0] + 1 if n in splits else 0 for n in ends])
+    bound = F.lit([splits[n][1] if n in splits else 0 * splits[ends[-1]][1] for n in ends])
+
+    def down(held: Column) -> Column:
+        def step(node: Column, _: Column) -> Column:
+            at = F.when(node <= len(ends), F.element_at(feature, node)).otherwise(0)
+            return F.when(at == 0, node).otherwise(2 * node + (F.element_at(held, at) > F.element_at(bound, node)).cast("int"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(len(ends).bit_length())), F.lit(1), step)
+
+    # As the one entry of an array, the values are worked out once for all levels.
+    return F.element_at(F.transform(F.array(F.array(*values)), down), 1)
+
+
 class JointTree:
     """A tree over several features: its splits by node, and the class of every node."""
 
@@ -130,14 +152,10 @@ class JointTree:
 
     def predict(self) -> Column:
         """The class of a row as an expression over the features."""
-
-        def below(node: int) -> Column:
-            if node not in self.splits:
-                return F.lit(self.labels[node])
-            name, bound = self.splits[node]
-            return F.when(S.clip_extreme(F.col(f"`{name}`").cast("double")) <= bound, below(2 * node)).otherwise(below(2 * node + 1))
-
-        return below(1)
+        names = sorted({name for name, _ in self.splits.values()})
+        values = [S.clip_extreme(F.col(f"`{c}`").cast("double")) for c in names]
+        node = _reached(values, {n: (names.index(c), float(bound)) for n, (c, bound) in self.splits.items()})
+        return F.element_at(F.array(*[F.lit(self.labels.get(n)) for n in range(1, max(self.labels) + 1)]), node)
 
 
 class _Binned:
@@ -153,26 +171,37 @@ class _Binned:
         for held in self.places.values():
             held.sort()
         self.empty = not any(self.places.values())
-        self.rows = None if self.empty else cut(train.select(F.col(label).alias("label"), *[self._bin(c).alias(f"b{i}") for i, c in enumerate(columns)]), "binned")
-
-    def _bin(self, c: str) -> Column:
-        """A value's bin is the last one that does not begin above it: training values fall where they were counted."""
-        starts = F.array(*[F.lit(float(lo)) for lo, _, _ in self.places[c][1:]]).cast("array<double>")
-        value = S.clip_extreme(F.col(f"`{c}`").cast("double"))
-        return F.element_at(F.array(*[F.lit(int(b)) for _, b, _ in self.places[c]]), F.size(F.filter(starts, lambda s: s <= value)) + 1)
-
-    def node(self, at: int = 1) -> Column:
+        self.rows = None if self.empty else cut(self._binned(train, label), "binned")
+
+    def _binned(self, train: DataFrame, label: str) -> DataFrame:
+        """A value's bin is the last one that does not begin above it, found by halving: training values fall where they were counted."""
+        # Adding zero makes -0.0 the same as 0.0, which a search over doubles would tell apart.
+        values = [(S.clip_extreme(F.col(f"`{c}`").cast("double")) + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(self.columns)]
+        df, out = train.select(F.col(label).alias("label"), *values), [F.col("label")]
+        for i, c in enumerate(self.columns):
+            held = self.places[c]
+            if len(held) == 1:
+                out.append(F.lit(int(held[0][1])).alias(f"b{i}"))
+                continue
+            splits = [-math.inf, *[float(lo) + 0.0 for lo, _, _ in held[1:]], math.inf]
+            df = Bucketizer(splits=splits, inputCol=f"v{i}", outputCol=f"p{i}", handleInvalid="error").transform(df)
+            out.append(F.element_at(F.array(*[F.lit(int(b)) for _, b, _ in held]), F.col(f"p{i}").cast("int") + 1).alias(f"b{i}"))
+        return df.select(*out)
+
+    def node(self) -> Column:
         """The node that the splits so far lead a row to."""
-        if at not in self.splits:
-            return F.lit(at)
-        i, b = self.splits[at]
-        return F.when(F.col(f"b{i}") <= b, self.node(2 * at)).otherwise(self.node(2 * at + 1))
+        return _reached([F.col(f"b{i}") for i in range(len(self.columns))], self.splits)
 
     def counted(self, level: int) -> DataFrame:
         """(node, label, feature, bin, n) of the rows whose node lies on ``level``."""
-        cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"b{i}").alias("bin")) for i in range(len(self.columns))])
-        open_ = self.rows.withColumn("node", self.node()).where(F.col("node") >= 2**level)
-        return open_.select("node", "label", F.explode(cells).alias("_c")).groupBy("node", "label", "_c.feature", "_c.bin").agg(F.count("*").alias("n"))
+        # Feature and bin are one number until they are counted.
+        cells = F.array(*[F.lit(i << 32).cast("bigint") + F.col(f"b{i}") for i in range(len(self.columns))])
+        rows = self.rows.withColumn("node", self.node())
+        if any(n not in self.splits for n in range(1, 2**level)):
+            rows = rows.where(F.col("node") >= 2**level)
+        counts = rows.select("node", "label", F.explode(cells).alias("_c")).groupBy("node", "label", "_c").agg(F.count("*").alias("n"))
+        place = [F.shiftright("_c", 32).cast("int").alias("feature"), F.col("_c").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("bin")]
+        return counts.select("node", "label", *place, "n")
 
     def tree(self, labels: dict) -> JointTree:
         def bound(i: int, b: int) -> float:

@@ -140,3 +140,27 @@ def test_registered_probes_learn_from_all_training_rows(spark, monkeypatch, name
     want = sorted(con.execute(f"SELECT model, seed, metric, value FROM ({registry.ORACLES[name]})").fetchall())
     got = sorted(tuple(r) for r in registry.QUERIES[name](spark, folder).select("model", "seed", "metric", "value").collect())
     assert got == want
+
+
+def test_many_class_trees_look_bins_and_nodes_up(spark):
+    """No expression grows with the bins or the splits of a tree: bins are found by halving, nodes and answers by look-up."""
+    df = spark.range(4000).select(
+        F.col("id").cast("double").alias("a"), (F.col("id") * 7919 % 4001).cast("double").alias("b"), F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("zero"),
+        F.concat(F.lit("h"), F.floor(F.col("id") / 97).cast("string")).alias("host"),
+    )
+    held = R._Binned(df, ["a", "b", "zero"], "host", R.BINS)
+    plan = held._binned(df, "host")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+    assert {r.b2 for r in held.rows.select("b2").distinct().collect()} == {0}
+    tree = R.many_class_tree(df, ["a", "b", "zero"], "host", 7)
+    assert len(tree.splits) > 40
+    assert tree.predict()._jc.toString().count("CASE WHEN") < 20
+
+    def plain(row, node=1):
+        if node not in tree.splits:
+            return tree.labels[node]
+        name, bound = tree.splits[node]
+        return plain(row, 2 * node + (row[name] > bound))
+
+    rows = df.withColumn("got", tree.predict()).collect()
+    assert [r.got for r in rows] == [plain(r) for r in rows]
