@@ -253,3 +253,32 @@ def test_node_init_wants_its_columns(star):
     assert N.node_init(hosts, "context")[1] == X.STRUCTURAL + X.BEHAVIOURAL + X.ROLE
     with pytest.raises(ValueError):
         N.node_init(hosts.drop("pagerank"), "structural")
+
+
+def test_iterations_are_worked_out_once_and_hubs_are_several_rows(spark, monkeypatch):
+    """The sums that are kept and those that go on share their exchanges; a host with many steps is not one row."""
+    pairs = cut(G.pair_table(random_windows(spark, seed=5)))
+    want = {(r.window_id, r.host): r.pagerank for r in G.structure_grouped(pairs, 4, with_triangles=False).collect()}
+    seen, widths = [], []
+
+    def noted(df, name="table"):
+        if name == "ranks":
+            plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            seen.append(sum("Exchange hashpartitioning" in x and "ReusedExchange" not in x for x in plan))
+        out = cut(df, name)
+        if name == "steps":
+            widths.append(out.agg(F.max(F.size("near"))).first()[0])
+        return out
+
+    monkeypatch.setattr(G, "cut", noted)
+    monkeypatch.setattr(G, "PIECE", 4)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = {(r.window_id, r.host): r.pagerank for r in G.pagerank_iterative(pairs, 4, steps=4).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert seen == [6] and widths[0] < 16
