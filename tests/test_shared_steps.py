@@ -57,3 +57,46 @@ def test_flows_are_counted_once_for_the_windows(spark, monkeypatch):
     out = base.window_splits(flows)
     assert "Aggregate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.window_id, r.pos, r.n_windows) for r in out.orderBy("pos").collect()] == [(i, i, 15) for i in range(15)]
+
+
+def test_one_versus_rest_answers_as_sparks_and_side_by_side(spark):
+    """The same trees and answers as ``OneVsRest``; nothing is cached, and the answers are columns, not a chain of arrays."""
+    from pyspark.ml.classification import OneVsRest
+
+    from flowlens.operators import models as M
+
+    n = F.col("id")
+    rows = spark.range(0, 600, 1, 3).select((n % 4).cast("int").alias("target"), *[((n * p) % 97 + (n % 4) * 20).cast("double").alias(c) for p, c in ((7, "a"), (31, "b"))])
+    df = M.assemble(rows.where("target != 1").withColumns({"y": F.col("target").cast("double"), "class_weight": F.lit(0.5)}), ["a", "b"])
+    mine = M.boosted_trees(1, 3, 4)
+    theirs = OneVsRest(classifier=mine.classifier, featuresCol="features", labelCol="y", weightCol="class_weight").fit(df)
+    model = mine.fit(df)
+    trees = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert [trees(m) for m in model.models] == [trees(m) for m in theirs.models] and len(model.models) == 4
+    out = model.transform(df)
+    assert out.columns == [*df.columns, "prediction"]
+    assert [r.prediction for r in out.collect()] == [r.prediction for r in theirs.transform(df).collect()]
+    plan = out.select("prediction")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_insert" not in plan and "InMemoryRelation" not in plan
+
+
+def test_boosted_trees_keep_the_rows_of_one_classifier(spark, monkeypatch):
+    """No copy of all rows is kept while the classifiers learn, and one learns after the other."""
+    from pyspark.ml.classification import GBTClassifier
+
+    from flowlens.operators import models as M
+
+    df = M.assemble(spark.range(0, 60, 1, 2).select((F.col("id") % 3).cast("double").alias("y"), F.col("id").cast("double").alias("a"), F.lit(1.0).alias("class_weight")), ["a"])
+    at_once, seen, fit = [], [], GBTClassifier._fit
+
+    def watched(self, rows):
+        at_once.append(1)
+        seen.append((len(at_once), "InMemoryRelation" in rows._jdf.queryExecution().withCachedData().toString()))
+        try:
+            return fit(self, rows)
+        finally:
+            at_once.pop()
+
+    monkeypatch.setattr(GBTClassifier, "_fit", watched)
+    M.boosted_trees(1, 2, 2).fit(df)
+    assert seen == [(1, False)] * 3
