@@ -100,3 +100,18 @@ def test_boosted_trees_keep_the_rows_of_one_classifier(spark, monkeypatch):
     monkeypatch.setattr(GBTClassifier, "_fit", watched)
     M.boosted_trees(1, 2, 2).fit(df)
     assert seen == [(1, False)] * 3
+
+
+def test_flows_are_counted_once_for_the_history(spark):
+    """The observations are written: the history reads them for its span and for its rows, and neither counts flows again."""
+    from flowlens.plans import q_context
+
+    n = F.col("id")
+    host = lambda c: F.concat(F.lit("h"), (c % 5).cast("string"))
+    flows = spark.range(500).select(
+        F.floor(n / 50).alias("window_id"), host(n).alias("src_ip"), host(F.floor(n / 3)).alias("dst_ip"), (n % 7).cast("int").alias("dst_port"), n.cast("double").alias("in_bytes")
+    )
+    observed = q_context._observed(flows)
+    assert observed.count() == 50
+    plan = observed.agg(F.min("window_id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
