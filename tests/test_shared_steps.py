@@ -115,3 +115,48 @@ def test_flows_are_counted_once_for_the_history(spark):
     assert observed.count() == 50
     plan = observed.agg(F.min("window_id"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def _learned(spark, rows, monkeypatch, **more):
+    """The training rows that reach the classifier of ``run_baseline``, by class."""
+    from flowlens.operators import models as M
+
+    class Noted:
+        def fit(self, train):
+            self.counts = {int(r.y): r["count"] for r in train.groupBy("y").count().collect()}
+            return self
+
+    noted = Noted()
+    monkeypatch.setattr(M, "predict", lambda model, df, n_classes: df)
+    df = spark.createDataFrame(rows, "flow_id string, target int, split int, a double")
+    M.run_baseline(df, noted, "m", 1, ["a"], 3, **more)
+    return noted.counts
+
+
+def test_a_classifier_learns_from_all_training_flows(spark, monkeypatch):
+    """Without a limit nothing is left out; with one, benign flows go as soon as the attacks reach it."""
+    rows = [(str(i), i % 3, 0 if i < 90 else 2, float(i)) for i in range(120)]
+    assert _learned(spark, rows, monkeypatch) == {0: 30, 1: 30, 2: 30} == _learned(spark, rows, monkeypatch, weighted=False)
+    assert _learned(spark, rows, monkeypatch, limit=60) == {1: 30, 2: 30}
+
+
+def _limits(spark, monkeypatch, name):
+    """The limits with which a query calls ``run_baseline``."""
+    from flowlens.operators import models as M
+    from flowlens.plans import q_models, registry
+
+    registry.load()
+    seen = []
+
+    def noted(df, estimator, name, seed, columns, n_classes, limit=None, **more):
+        seen.append(limit)
+        return df, None
+
+    monkeypatch.setattr(M, "run_baseline", noted)
+    monkeypatch.setattr(q_models, "_table", lambda pred: pred)
+    registry.QUERIES[name](spark, SF)
+    return seen
+
+
+def test_boosted_trees_learn_from_all_flows(spark, monkeypatch):
+    assert _limits(spark, monkeypatch, "boosted_trees") == [None]
