@@ -160,3 +160,7 @@ def _limits(spark, monkeypatch, name):
 
 def test_boosted_trees_learn_from_all_flows(spark, monkeypatch):
     assert _limits(spark, monkeypatch, "boosted_trees") == [None]
+
+
+def test_the_perceptron_learns_from_all_flows(spark, monkeypatch):
+    assert _limits(spark, monkeypatch, "perceptron") == [None]
