@@ -344,6 +344,16 @@ def endpoint_context(df: DataFrame, node_table: DataFrame, columns: list[str]) -
     return out
 
 
+def node_context(df: DataFrame, node_table: DataFrame, columns: list[str], number: str = "node") -> DataFrame:
+    """The columns of ``endpoint_context`` for flows that carry the numbers of their nodes, ``src__node`` and ``dst__node``, in place of window and addresses."""
+    out = df
+    for side in ("src", "dst"):
+        key = f"{side}__{number}"
+        named = node_table.select(F.col(number).alias(key), *[F.col(c).alias(f"{side}__{c}") for c in columns])
+        out = out.join(named, key).drop(key)
+    return out
+
+
 def host_degree(context: DataFrame) -> DataFrame:
     """Number of flows of a host, recovered from its log degrees."""
     return context.withColumn("degree", F.expm1("in_degree") + F.expm1("out_degree"))

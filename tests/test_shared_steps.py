@@ -164,3 +164,43 @@ def test_boosted_trees_learn_from_all_flows(spark, monkeypatch):
 
 def test_the_perceptron_learns_from_all_flows(spark, monkeypatch):
     assert _limits(spark, monkeypatch, "perceptron") == [None]
+
+
+def _watched_shuffled_probe(spark, monkeypatch):
+    """The calls of ``context_probe`` by the query, the columns that it writes, and what its rows must be: the context of another flow, permuted as columns."""
+    from flowlens.operators import audit as A
+    from flowlens.operators import context as X
+    from flowlens.operators import graph as G
+    from flowlens.operators import models as M
+    from flowlens.plans import q_models, registry
+    from flowlens.plans.base import labelled
+
+    registry.load()
+    flows, names = labelled(spark, SF), X.context_names()
+    context = G.nodes(flows).select("window_id", "host", *[F.xxhash64("window_id", "host", F.lit(c)).cast("double").alias(c) for c in names])
+    calls, written, real = [], {}, q_models.cut
+
+    def noted(df, sets, n_classes, limit=None, **more):
+        calls.append((df, sets, limit))
+        return spark.createDataFrame([("m", 1, "macro_f1", 0.5)], "model string, seed int, metric string, value double"), None
+
+    def writes(df, name="table"):
+        written[name] = df.columns
+        return real(df, name)
+
+    monkeypatch.setattr(q_models, "_context", lambda spark, sf: context)
+    monkeypatch.setattr(q_models, "cut", writes)
+    monkeypatch.setattr(M, "context_probe", noted)
+    registry.QUERIES["shuffled_context_probe"](spark, SF)
+    both = [f"{s}__{c}" for s in ("src", "dst") for c in names]
+    joined = G.endpoint_context(flows.select("flow_id", "window_id", "src_ip", "dst_ip", "target", "split", *V.FEATURES), context, names)
+    want = A.permuted_rows(joined, "flow_id", both, 9).where("split != 1")
+    return calls, written, want, both
+
+
+def test_the_shuffled_probe_uses_all_columns_and_flows(spark, monkeypatch):
+    """All context columns of both ends, all seven of behaviour, no sample."""
+    calls, _, _, both = _watched_shuffled_probe(spark, monkeypatch)
+    sets = {name: columns for _, s, _ in calls for name, columns in s.items()}
+    assert {n: len(c) for n, c in sets.items()} == {"shuffled": 4 + 34, "without_behaviour": 4 + 20, "behaviour_only": 4 + 14}
+    assert sets["shuffled"] == V.FEATURES + both and all(limit is None for _, _, limit in calls)
