@@ -204,3 +204,13 @@ def test_the_shuffled_probe_uses_all_columns_and_flows(spark, monkeypatch):
     sets = {name: columns for _, s, _ in calls for name, columns in s.items()}
     assert {n: len(c) for n, c in sets.items()} == {"shuffled": 4 + 34, "without_behaviour": 4 + 20, "behaviour_only": 4 + 14}
     assert sets["shuffled"] == V.FEATURES + both and all(limit is None for _, _, limit in calls)
+
+
+def test_the_shuffled_probe_moves_numbers_of_nodes(spark, monkeypatch):
+    """What is written are numbers of nodes, and the rows are those of a permutation of the context columns."""
+    calls, written, want, both = _watched_shuffled_probe(spark, monkeypatch)
+    assert set(written["mixed"]) == {"target", "split", *V.FEATURES, "src__node", "dst__node"}
+    columns = ["target", "split", *V.FEATURES, *both]
+    got, want = calls[0][0].select(columns), want.select(columns)
+    assert got.count() == want.count() > 1000
+    assert got.exceptAll(want).count() == 0
