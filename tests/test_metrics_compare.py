@@ -252,3 +252,36 @@ def test_prior_correction_equals_plain_loop(spark):
     for r in K.prior_correction(val, test, weights).collect():
         mine = test_rows[r.model, r.seed]
         assert (r.test_plain, r.test_full, r.test_tuned) == pytest.approx(tuple(macro(mine, x) for x in (0.0, 1.0, r["lambda"])))
+
+
+def test_replicates_read_chunks_and_count_by_window(spark, monkeypatch):
+    """Validation rows are packed, not grouped and not moved; chunks of any size, and either way to count, give the same."""
+    val, test = predictions(spark, 5, n=120), predictions(spark, 6, n=120)
+    written, real = {}, K.cut
+
+    def noted(df, name="table"):
+        written[name] = (df.columns, df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(K, "cut", noted)
+    answers = []
+    for rows in (32768, 7):
+        monkeypatch.setattr(K, "ROWS", rows)
+        answers.append({tuple(r)[:3]: r.macro_f1 for r in K.val_bootstrap_offsets(val, test, 3, n_boot=3).collect()})
+    assert answers[0] == pytest.approx(answers[1])
+    columns, plan = written["weighted"]
+    assert columns == ["model", "seed", "scores", "truth", "place", "weights"] and "Aggregate" not in plan
+
+
+def test_weights_of_windows_meet_their_counts(spark):
+    """The vectors of a cell, counted densely by window and, with many windows, by what occurs."""
+    rng = np.random.default_rng(2)
+    weights, window = rng.integers(0, 4, (6, 5)).astype(np.int32), rng.integers(0, 6, 300)
+    truth = rng.integers(0, 3, 300)
+    rows = [("m", 1, int(t), [0.0], int(w), bytearray(weights[w].tobytes())) for t, w in zip(truth, window)]
+    df = spark.createDataFrame(rows, "model string, seed int, y_true int, scores array<double>, window_id bigint, w binary").coalesce(1)
+    want = {t: weights[window[truth == t]].sum(0) for t in range(3)}
+    for cells in (3, 1000):
+        code = lambda run, score, truth: [(truth, np.array([0, 2])), (truth, np.array([1, 3, 4]))]
+        got = {r.cell: r.n for r in K._vector_counts(K._pack(df, 5), 5, cells, code).collect()}
+        assert got.keys() == want.keys() and all(list(got[t]) == list(want[t]) for t in want)
