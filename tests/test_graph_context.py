@@ -282,3 +282,26 @@ def test_iterations_are_worked_out_once_and_hubs_are_several_rows(spark, monkeyp
             spark.conf.set(k, v)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert seen == [6] and widths[0] < 16
+
+
+def test_numbered_hosts_give_the_same_structure(spark, monkeypatch):
+    """With numbers in place of names in all steps: the same ranks, neighbours and triangles, self-loops, silent and nameless hosts included."""
+    pairs = cut(G.pair_table(random_windows(spark, seed=7)))
+    loops = spark.createDataFrame([(90, "x", "x", 2), (90, "x", "y", 1), (90, "y", "z", 1), (90, "x", "z", 3)], "window_id bigint, src string, dst string, w bigint")
+    named = cut(pairs.select("window_id", "src", "dst", "w").unionByName(loops).withColumn("bytes", F.lit(1.0)))
+    nameless = cut(named.unionByName(spark.createDataFrame([(90, "x", None, 1, 1.0)], named.schema)))
+    seen = {}
+
+    def noted(df, name="table"):
+        seen.setdefault(name, dict(df.dtypes))
+        return cut(df, name)
+
+    rows = lambda df: {(r.window_id, r.host): (r.k, r.triangles, round(r.pagerank, 9)) for r in df.collect()}
+    for table in (named, nameless):
+        want = rows(G.structure(table, iters=5))
+        with monkeypatch.context() as m:
+            m.setattr(G, "cut", noted)
+            assert rows(G.structure(table, iters=5, numbered=True)) == want
+        if table is named:
+            assert want[90, "x"][:2] == (2, 1)
+            assert seen["steps"]["host"] == seen["links"]["peer"] == seen["ranks"]["host"] == "bigint" and set(seen["links"]) == {"window_id", "host", "peer"}
