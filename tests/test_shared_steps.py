@@ -127,7 +127,7 @@ def _learned(spark, rows, monkeypatch, **more):
             return self
 
     noted = Noted()
-    monkeypatch.setattr(M, "predict", lambda model, df, n_classes: df)
+    monkeypatch.setattr(M, "predict", lambda model, df, n_classes, keep: df)
     df = spark.createDataFrame(rows, "flow_id string, target int, split int, a double")
     M.run_baseline(df, noted, "m", 1, ["a"], 3, **more)
     return noted.counts
